@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns, word lists and glyphs the results depend on.
@@ -20,8 +20,11 @@ POWER_LETTER = r"x\s*10\s*([A-Za-z])(?=\z|\s|OR\b|[.,;:])"
 GLYPHS_FROM = "\uf0b4\uf0ae\uf0ee\uf0b7×"
 GLYPHS_TO = "x→→•x"
 SHEET_LABEL = r"(?i)IGCSE\s+Physics"
-SHEET_LABEL_START = r"(?i)^IGCSE\s+Physics"
-DISCLAIMER_FOOTER = "permission to reproduce"
+OTHER_BREAK = r"\r\n?|[\x0B\f\x1C-\x1E\u0085\u2028\u2029]"
+FOOTER_LINE = r"(?imd)^\s*IGCSE\s+Physics|^.*permission to reproduce"
+OPTION_BLOCK = (r"(?imd)^[^\S\n]*A[^\S\n]*$(?=[\s\S]*?\n[^\S\n]*B[^\S\n]*(?:\n|\z))"
+                r"(?=[\s\S]*?\n[^\S\n]*C[^\S\n]*(?:\n|\z))")
+LONE_LETTER = r"(?imd)^[^\S\n]*([A-D])[^\S\n]*$"
 ANCHOR_NUMBER = r"^\s*(\d{1,2})(?:\s*\z|\s*\([a-zA-Z]\))"
 ANCHOR_INLINE = r"^\s*(\d{1,2})\s+\S"
 ANCHOR_ANY = r"^\s*\d{1,2}(?:\s*\z|\s*\([a-zA-Z]\)|\s)"
@@ -104,20 +107,15 @@ def science_text(text: Column) -> Column:
 # ---- question type and answers ----------------------------------------------------------
 
 
-def option_block_start(lines: Column) -> Column:
-    """1-based index of the lone ``A`` line with lone ``B`` and ``C`` lines below it, or NULL."""
-    marks = F.transform(lines, lambda s: F.upper(strip(s)))
-    first = F.array_position(marks, F.lit("A"))
-    tail = F.slice(marks, first + 1, F.size(marks))
-    found = (first > 0) & F.array_contains(tail, "B") & F.array_contains(tail, "C")
-    return F.when(found, first)
+def unix_lines(text: Column) -> Column:
+    """Every line break as ``\\n``; texts without other breaks pass untouched."""
+    return F.when(text.rlike(OTHER_BREAK), F.regexp_replace(text, OTHER_BREAK, "\n")).otherwise(text)
 
 
 def question_type(text: Column) -> Column:
     low = F.lower(text)
-    is_mc = low.contains("multiple choice") | text.rlike(OPTION_WITH_DIGIT) | option_block_start(
-        lines_of(text)
-    ).isNotNull()
+    is_mc = (low.contains("multiple choice") | text.rlike(OPTION_WITH_DIGIT)
+             | unix_lines(text).rlike(OPTION_BLOCK))
     return (
         F.when(is_mc, "multiple_choice")
         .when(low.contains("calculate") | low.contains("show your working"), "calculation")
@@ -147,49 +145,30 @@ def printed_letters(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(PRINTED_ANSWER), 1), lambda s: F.upper(s))
 
 
-def option_struct_list(lines: Column) -> Column:
-    """``array<struct<letter,text>>`` of the option block in ``lines``; empty below two options.
+def with_options(df: DataFrame, text: str, stem: str, options: str) -> DataFrame:
+    """Split the option block of ``text``: ``stem`` and ``options`` as ``array<struct<letter,text>>``.
 
-    One left fold over the lines: a lone letter opens an option, other lines extend the open
-    one, a footer line closes the block.
+    The block opens at the first lone ``A`` line with lone ``B`` and ``C`` lines below it and ends
+    at a footer line. Bodies without text are dropped; below two options nothing is split.
     """
-    start = option_block_start(lines)
-    block = F.slice(lines, F.coalesce(start, F.lit(1).cast("bigint")), F.size(lines))
-    footer = F.transform(
-        block, lambda s: strip(s).rlike(SHEET_LABEL_START) | F.lower(s).contains(DISCLAIMER_FOOTER)
-    )
-    stop = F.array_position(footer, F.lit(True))
-    kept = F.when(stop > 0, F.slice(block, F.lit(1).cast("bigint"), stop - 1)).otherwise(block)
     empty = F.expr("cast(array() as array<struct<letter:string,text:string>>)")
-
-    def step(acc, line):
-        label = F.upper(F.regexp_extract(line, r"(?U)^\s*([A-Da-d])\s*\z", 1))
-        last = F.element_at(acc, -1)
-        opened = F.concat(acc, F.array(F.struct(label.alias("letter"), F.lit("").alias("text"))))
-        grown = F.concat(
-            F.slice(acc, F.lit(1), F.size(acc) - 1),
-            F.array(F.struct(last["letter"].alias("letter"),
-                             F.concat_ws(" ", last["text"], line).alias("text"))),
-        )
-        return F.when(label != "", opened).when(F.size(acc) > 0, grown).otherwise(acc)
-
-    folded = F.aggregate(kept, empty, step)
-    tidy = F.transform(
-        folded,
-        lambda o: F.struct(
-            o["letter"].alias("letter"),
-            science_text(strip(F.regexp_replace(o["text"], r"(?U)\s+", " "))).alias("text"),
-        ),
-    )
-    options = F.filter(tidy, lambda o: o["text"] != "")
-    return F.when(start.isNotNull() & (F.size(options) >= 2), options).otherwise(empty)
-
-
-def option_stem(text: Column, lines: Column, options: Column) -> Column:
-    """Stem before the option block where options were found, else the whole text."""
-    start = option_block_start(lines)
-    head = F.array_join(F.slice(lines, F.lit(1).cast("bigint"), start - 1), "\n")
-    return F.when(F.size(options) >= 2, science_text(strip(head))).otherwise(text)
+    parts = F.split(unix_lines(F.col(text)), OPTION_BLOCK, 2)
+    block = F.get(F.split(F.get(F.col("_parts"), F.lit(1)), FOOTER_LINE, 2), F.lit(0))
+    letters = F.concat(F.array(F.lit("A")), F.regexp_extract_all("_block", F.lit(LONE_LETTER), 1))
+    bodies = F.split("_block", LONE_LETTER)
+    zipped = F.arrays_zip(letters.alias("letter"), bodies.alias("body"))
+    tidy = F.transform(zipped, lambda o: F.struct(
+        F.upper(o["letter"]).alias("letter"),
+        science_text(strip(F.regexp_replace(o["body"], r"(?U)\s+", " "))).alias("text")))
+    found = F.filter(tidy, lambda o: o["text"] != "")
+    df = df.withColumn("_parts", parts)
+    df = df.withColumn("_block", F.when(F.size("_parts") > 1, block))
+    df = df.withColumn("_found", F.when(F.col("_block").isNotNull(), found))
+    split = F.coalesce(F.size("_found") >= 2, F.lit(False))
+    return df.withColumns({
+        stem: F.when(split, science_text(strip(F.get(F.col("_parts"), F.lit(0))))).otherwise(F.col(text)),
+        options: F.when(split, F.col("_found")).otherwise(empty),
+    }).drop("_parts", "_block", "_found")
 
 
 def options_display(options: Column) -> Column:

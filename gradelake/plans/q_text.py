@@ -144,12 +144,9 @@ select q.doc_id, coalesce(n_options, 0)::bigint as n_options, coalesce(options,
   case when options is null then q.text else {S.science(S.strip("array_to_string(" + S.lines('q.text') + "[1:start-1], chr(10))"))} end as stem
 from q left join f using (doc_id) left join st using (doc_id)""")
 def win_mc_option_split(spark, sf_dir):
-    lines = text.lines_of(F.col("text"))
-    df = question_texts(spark, sf_dir).withColumn("lines", lines)
-    df = df.withColumn("opts", text.option_struct_list(F.col("lines")))
+    df = text.with_options(question_texts(spark, sf_dir), "text", "stem", "opts")
     return df.select("doc_id", F.size("opts").cast("bigint").alias("n_options"),
-                     text.options_display(F.col("opts")).alias("options"),
-                     text.option_stem(F.col("text"), F.col("lines"), F.col("opts")).alias("stem"))
+                     text.options_display(F.col("opts")).alias("options"), "stem")
 
 
 @query("fn_mc_options_display", """

@@ -30,4 +30,6 @@ def load_all() -> None:
     """Import every query module once."""
     from gradelake.plans import (  # noqa: F401
         q_text,
+        q_grade,
+        q_pages,
     )
