@@ -90,7 +90,14 @@ def similar(reads: DataFrame, names: DataFrame, keys: Sequence[str]) -> DataFram
              .filter(F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("t"))
              .filter(F.size(F.array_intersect("ta", "tb")) * 2 >= both * MIN_RATIO - 1e-9)
              .select(*keys, "low", "clow", "first"))
-    return pairs.withColumn("ratio", seq_ratio("low", "clow")).filter(F.col("ratio") >= MIN_RATIO)
+    # The ratio costs far more than moving two short strings, so the pairs are spread first.
+    return (pairs.repartition(_tasks(pairs)).withColumn("ratio", seq_ratio("low", "clow"))
+            .filter(F.col("ratio") >= MIN_RATIO))
+
+
+def _tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 def _candidates(roster: DataFrame, keys: Sequence[str], name: str, pos: str) -> DataFrame:

@@ -32,4 +32,5 @@ def load_all() -> None:
         q_text,
         q_grade,
         q_pages,
+        q_eval,
     )
