@@ -33,4 +33,5 @@ def load_all() -> None:
         q_grade,
         q_pages,
         q_eval,
+        q_request,
     )
