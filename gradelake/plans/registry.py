@@ -34,4 +34,6 @@ def load_all() -> None:
         q_pages,
         q_eval,
         q_request,
+        q_tree,
+        q_layout,
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,5 +51,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Long pipelines reuse their intermediate tables in several branches. A written table is computed
+    once, outlives lost executors, and gives the next stages its size and column pruning.
+    """
+    folder = ensure_checkpoint_dir(df.sparkSession)
+    path = f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
