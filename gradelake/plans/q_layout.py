@@ -333,7 +333,7 @@ def set_dedupe_grid(spark, sf_dir):
 @query("agg_topmost_anchor", f"""
 with q as (select l.*, case when cy < h / 2 then 'top' else 'bot' end || '_' || case when cx < w / 2 then 'left' else 'right' end as quadrant from ({LABEL_SQL}) l join ({PAGES_SQL}) using (exam_id, page)),
 t as (select exam_id, page, quadrant, arg_min(cx, (cy, bl)) as x, min(cy) as y from q group by 1, 2, 3)
-select exam_id, page, w.quadrant, x, y from ({PAGES_SQL}) p, (values ('top_left'), ('top_right'), ('bot_left'), ('bot_right')) w(quadrant) left join t using (exam_id, page, quadrant)""")
+select exam_id, page, quadrant, x, y from (select exam_id, page, quadrant from ({PAGES_SQL}) p, (values ('top_left'), ('top_right'), ('bot_left'), ('bot_right')) w(quadrant)) z left join t using (exam_id, page, quadrant)""")
 def agg_topmost_anchor(spark, sf_dir):
     lined = lines(spark, sf_dir)
     found, missing = figures.topmost_labels(figures.label_centres(lined), pages(lined))

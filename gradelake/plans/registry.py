@@ -36,4 +36,5 @@ def load_all() -> None:
         q_request,
         q_tree,
         q_layout,
+        q_geometry,
     )
