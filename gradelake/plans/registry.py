@@ -37,4 +37,5 @@ def load_all() -> None:
         q_tree,
         q_layout,
         q_geometry,
+        q_raster,
     )
