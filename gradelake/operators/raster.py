@@ -313,6 +313,7 @@ def without_rects(ink: DataFrame, rects: DataFrame, keys: Sequence[str], column:
     per_row = (rects.select(*keys, "x0", "x1", F.explode(F.sequence("y0", "y1")).alias("y")).withColumn("y", F.col("y").cast(ink.schema["y"].dataType))
                .groupBy(*keys, "y").agg(F.collect_set(F.struct("x0", "x1")).alias("cuts")))
     joined = ink.join(per_row, [*keys, "y"], "left")
+    columns = list(ink.columns)
 
     def clear(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -324,7 +325,7 @@ def without_rects(ink: DataFrame, rects: DataFrame, keys: Sequence[str], column:
                         pixels[max(cut["x0"], 0) : cut["x1"] + 1] = fill
                     row = pixels.tobytes()
                 out.append(row)
-            yield part[ink.columns].assign(**{column: out})
+            yield part[columns].assign(**{column: out})
 
     return joined.mapInPandas(clear, ink.schema)
 

@@ -9,7 +9,7 @@ from gradelake.operators.report import eval_matrix
 from gradelake.plans import sqlbits as S
 from gradelake.plans.q_grade import MC_GRADES_SQL, mc_grades
 from gradelake.plans.registry import query
-from gradelake.session import table
+from gradelake.session import staged, table
 from gradelake.sources import ground_truth as gt
 
 # ---- reference lines: one file per customer, one line per order ------------------------------------
@@ -148,8 +148,9 @@ def evaluation(spark, sf_dir):
              .select(F.floor(k / 30).alias("scan_id"), name.alias("student"), k.alias("pos"), F.col("l_linenumber").cast("string").alias("q_number"),
                      F.when(p % 3 == 0, F.char(65 + s % 2)).when(p % 3 == 1, (s % 4).cast("string")).alias("value")))
     results = mc_grades(spark, sf_dir).withColumn("student", F.concat(F.lit("Student"), F.col("student").cast("string")))
+    truth, results = staged(truth), staged(results)
     leaves = results.select("scan_id", "q_number").distinct()
-    matched = evaluate.matched_students(results, truth, similarity=False)
+    matched = staged(evaluate.matched_students(results, truth, similarity=False))
     cells = evaluate.evaluated_cells(results.select("scan_id", "student", "q_number", "answer", "marks"), truth, matched, leaves)
     return matched, cells
 

@@ -12,7 +12,7 @@ from gradelake.operators.grade import TASK_MC  # noqa: F401
 from gradelake.operators.report import scaffold_table
 from gradelake.plans import sqlbits as S
 from gradelake.plans.registry import query
-from gradelake.session import table
+from gradelake.session import staged, table
 
 NL = "chr(10)"
 LEAF_SQL = f"""select o_custkey as exam_id, l_orderkey as o, n, p, s, rf, ls, q, o_orderkey from (
@@ -62,7 +62,8 @@ def nodes(spark, sf_dir):
 
 
 def flagged(spark, sf_dir):
-    return tree.with_leaf_flag(nodes(spark, sf_dir))
+    # The tree is read by several branches of every query here, so it is written once.
+    return tree.with_leaf_flag(staged(nodes(spark, sf_dir)))
 
 
 @query("fn_tree_flatten", f"select exam_id, number, is_leaf from ({NODES_SQL})")
