@@ -125,6 +125,11 @@ def fn_infer_answer_fields(spark, sf_dir):
     return key_texts(spark, sf_dir).select("doc_id", answer.alias("correct_answer"), rest.alias("marking_criteria"))
 
 
+OPTION_BODY = S.science(S.strip(
+    r"regexp_replace(coalesce(string_agg(case when not regexp_matches(u, '^[A-D]$') then " + S.strip("line")
+    + r" end, ' ' order by n), ''), '\s+', ' ', 'g')"))
+
+
 @query("win_mc_option_split", rf"""
 with q as ({QUESTION_TEXTS_SQL}),
 l as (select doc_id, unnest({S.lines('text')}) as line, generate_subscripts({S.lines('text')}, 1) as n from q),
@@ -136,7 +141,7 @@ ft as (select doc_id, min(n) as stop from m join st using (doc_id) where n >= st
 o as (select doc_id, n, line, u, sum(case when regexp_matches(u, '^[A-D]$') then 1 else 0 end) over (partition by doc_id order by n) as g
     from m join st using (doc_id) left join ft using (doc_id) where n >= start and (stop is null or n < stop)),
 b as (select doc_id, g, max(case when regexp_matches(u, '^[A-D]$') then u end) as letter,
-    {S.science(S.strip("regexp_replace(coalesce(string_agg(case when not regexp_matches(u, '^[A-D]$') then " + S.strip('line') + " end, ' ' order by n), ''), '\s+', ' ', 'g')"))} as body
+    {OPTION_BODY} as body
     from o group by 1, 2),
 f as (select doc_id, count(*) as n_options, string_agg(letter || ': ' || body, '  ' order by g) as options
     from b where body <> '' group by 1 having count(*) >= 2)
