@@ -278,20 +278,20 @@ def filter_mc_questions(spark, sf_dir):
 
 
 @query("prompt_columns", """
-with leaves as (select p_brand as exam_id, p_partkey as leaf_no, p_partkey::varchar as q_number from part),
+with leaves as (select p_partkey // 80 as exam_id, p_partkey as leaf_no, p_partkey::varchar as q_number from part),
 e as (select exam_id, 'Questions: ' || string_agg(q_number, ', ' order by leaf_no) || '. Which are attempted on this page? Reply as {"attempted": ["1", "2a"]}.' as prompt
   from leaves group by 1)
 select p_partkey as question, 'Question ' || p_partkey || ': which of A, B, C, D is marked? Reply as {"answer": "B"}.' ||
     case when p_size % 2 = 0 then ' Key: ' || left(p_name, 1) || '.' else '' end as mc,
   'Question ' || p_partkey || ' (max ' || (p_size % 3) || ' mark' || case when p_size % 3 <> 1 then 's' else '' end || '), criteria: ' ||
     case when p_size % 4 = 0 then p_name when p_size % 4 = 1 then p_type else '(see mark scheme)' end || '. Reply as {"answer": "…", "marks": 1.5}.' as written,
-  md5(e.prompt) as attempts from part join e on p_brand = exam_id""")
+  md5(e.prompt) as attempts from part join e on p_partkey // 80 = exam_id""")
 def prompt_columns(spark, sf_dir):
     size, number = F.col("p_size"), F.col("p_partkey").cast("string")
-    part = table(spark, sf_dir, "part")
-    leaves = part.select(F.col("p_brand").alias("exam_id"), F.col("p_partkey").alias("leaf_no"), number.alias("q_number"))
-    per_exam = grade.attempt_prompt(leaves).select(F.col("exam_id").alias("p_brand"), F.md5("prompt").alias("attempts"))
-    return part.join(per_exam, "p_brand").select(
+    part = table(spark, sf_dir, "part").withColumn("exam_id", F.floor(F.col("p_partkey") / 80))
+    leaves = part.select("exam_id", F.col("p_partkey").alias("leaf_no"), number.alias("q_number"))
+    per_exam = grade.attempt_prompt(leaves).select("exam_id", F.md5("prompt").alias("attempts"))
+    return part.join(per_exam, "exam_id").select(
         F.col("p_partkey").alias("question"),
         grade.mc_prompt(number, F.when(size % 2 == 0, F.substring("p_name", 1, 1))).alias("mc"),
         grade.written_prompt(number, size % 3, F.when(size % 4 == 0, F.col("p_name")).otherwise(F.lit("")),

@@ -234,11 +234,31 @@ def win_extend_bbox_to_next(spark, sf_dir):
 # ---- composed steps; their rules are checked against hand-made rows in the tests -----------------------
 
 
-@query("win_tight_end")
+DRAWN_SQL = f"""select * from (select p_partkey as exam_id, 1 as page, p_size * 3.0::double as x0, (p_retailprice - 900) % 300 + 50 as y0, p_size * 3.0::double + 60 + p_partkey % 90 as x1,
+    (p_retailprice - 900) % 300 + 90 + p_partkey % 60 as y1 from part) where exam_id in (select exam_id from ({LINES_SQL}))"""
+TOUCH = "b.x0 < b.x1 and b.y0 < b.y1 and b.x0 < s.cx1 and s.cx0 < b.x1 and b.y0 < s.cy1 and s.cy0 < b.y1"
+TIGHT_SQL = f"""
+with seg as (select * from ({SEGMENTS_SQL})), last as (select exam_id, page, qid, cx0, cy0, cx1, cy1, y_start, y_end from seg where snap_bottom),
+blk as (select exam_id, page, block, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, lower(string_agg(text, ' ' order by line)) as flat from ({LINES_SQL}) group by 1, 2, 3),
+nt as (select s.exam_id, s.qid, min(b.y0) as notice from last s join blk b on s.exam_id = b.exam_id and s.page = b.page where {TOUCH} and b.y0 between s.y_start and s.y_end
+  and (contains(flat, 'permission to reproduce') or contains(flat, 'third-party owned material') or contains(flat, 'copyright acknowledgements booklet')) group by 1, 2),
+ru as (select s.exam_id, s.qid, min(b.y0) as rule from last s join nt using (exam_id, qid) join ({DRAWN_SQL}) b on s.exam_id = b.exam_id and s.page = b.page
+  where {TOUCH} and b.x1 - b.x0 >= 100 and b.y0 >= notice - 15 and b.y0 < notice group by 1, 2),
+st as (select l.*, coalesce(least(notice, rule), notice, y_end) as footer, least(y_end, coalesce(least(notice, rule), notice, y_end) - 2) as stop from last l left join nt using (exam_id, qid) left join ru using (exam_id, qid)),
+tx as (select s.exam_id, s.qid, b.block, arg_max(least(l.y1, s.stop), l.line) as b from st s join blk b on s.exam_id = b.exam_id and s.page = b.page
+  join ({LINES_SQL}) l on l.exam_id = b.exam_id and l.page = b.page and l.block = b.block
+  where {TOUCH} and b.y0 between s.y_start - 5 and s.stop and l.y0 <= s.stop and {S.strip('l.text')} <> '' group by 1, 2, 3),
+dr as (select s.exam_id, s.qid, max(least(b.y1, s.stop)) as b from st s join ({DRAWN_SQL}) b on s.exam_id = b.exam_id and s.page = b.page where {TOUCH} and b.y0 between s.y_start - 5 and s.stop and b.x1 - b.x0 >= 10 group by 1, 2),
+bt as (select st.*, greatest(y_start, coalesce((select max(b) from tx where tx.exam_id = st.exam_id and tx.qid = st.qid), y_start), coalesce((select max(b) from dr where dr.exam_id = st.exam_id and dr.qid = st.qid), y_start)) as bottom from st),
+en as (select exam_id, qid, case when bottom <= y_start then case when footer < y_end - 4 then greatest(y_start, stop) else y_end end when least(bottom + 4, stop) < y_end - 4 then least(bottom + 4, stop) else y_end end as y from bt)
+select seg.exam_id, seg.page, seg.qid, round(y_start, 6) as y_start, round(coalesce(en.y, y_end), 6) as y_end from seg left join en on seg.exam_id = en.exam_id and seg.qid = en.qid"""
+
+
+@query("win_tight_end", TIGHT_SQL)
 def win_tight_end(spark, sf_dir):
     lined, _paged, _cells, a = anchors(spark, sf_dir)
     segs = layout.tightened(staged(layout.segments(a)), lined, drawings(spark, sf_dir, lined))
-    return segs.select("exam_id", "page", "qid", "y_start", "y_end")
+    return segs.select("exam_id", "page", "qid", F.round("y_start", 6).alias("y_start"), F.round("y_end", 6).alias("y_end"))
 
 
 @query("win_split_subquestions")

@@ -55,7 +55,8 @@ def staged(df: DataFrame) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     Long pipelines reuse their intermediate tables in several branches. A written table is computed
-    once, outlives lost executors, and gives the next stages its size and column pruning.
+    once, outlives lost executors, and gives the next stages its size and column pruning. The
+    tables stay until the folder is emptied, as other checkpoints do.
     """
     folder = ensure_checkpoint_dir(df.sparkSession)
     path = f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}"

@@ -97,7 +97,7 @@ def test_records_resume_and_write(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 2
 
 
-def test_profiles():
+def test_profiles(spark):
     assert records.get("igcse_physics").fields[2] == "q38_left_top"
     with pytest.raises(ValueError):
         records.get("nothing")
