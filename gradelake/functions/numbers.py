@@ -13,18 +13,21 @@ FAIR_PCT = 50
 POINTS_PER_INCH = 72
 
 
+def _plain(text: Column) -> Column:
+    """Only digits, signs and points: such a text casts exactly as it reads, without a pattern."""
+    return (text != "") & (F.translate(text, "0123456789+-.", "") == "")
+
+
 def is_number(text: Column) -> Column:
     """True for texts that read as a float: digit groups with ``_``, exponents, nan and inf too."""
-    return F.coalesce(text.rlike(NUMBER_TEXT), F.lit(False))
+    return F.coalesce(F.when(_plain(text), text.try_cast("double").isNotNull()).otherwise(text.rlike(NUMBER_TEXT)), F.lit(False))
 
 
 def to_number(text: Column) -> Column:
     """Value of a number text, NULL for any other text."""
     clean = F.lower(F.replace(F.regexp_replace(text, r"(?U)^\s+|\s+\z", ""), F.lit("_"), F.lit("")))
-    return F.when(
-        is_number(text),
-        F.when(clean.rlike(r"^[+-]?nan$"), F.lit(float("nan"))).otherwise(clean.try_cast("double")),
-    )
+    other = F.when(text.rlike(NUMBER_TEXT), F.when(clean.rlike(r"^[+-]?nan$"), F.lit(float("nan"))).otherwise(clean.try_cast("double")))
+    return F.when(_plain(text), text.try_cast("double")).otherwise(other)
 
 
 def pct(part: Column, whole: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gradelake.functions.numbers import is_number
 from gradelake.functions.text import LINE_BREAK, strip
+from gradelake.session import staged
 
 # Words of header rows, letters of answer columns, fixed-layout width.
 ROSTER_HEADERS = ("name", "student", "students", "names", "no", "number", "#")
@@ -28,9 +29,10 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return files.select("scan_id", F.posexplode(F.split("value", LINE_BREAK)).alias("line_no", "line"))
 
 
-def _tokens(line: Column, has_tab: Column) -> Column:
-    parts = F.when(has_tab, F.split(line, "\t")).otherwise(F.split(line, r"(?U)\s+"))
-    return F.filter(F.transform(parts, strip), lambda t: t != "")
+def _tokens(body: Column, has_tab: Column) -> Column:
+    """Non-empty values of a stripped line, cut at tabs or at white space."""
+    parts = F.when(has_tab, F.split(body, r"(?U)\s*\t\s*")).otherwise(F.split(body, r"(?U)\s+"))
+    return F.filter(parts, lambda t: t != "")
 
 
 def ground_truth(lines: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
@@ -39,12 +41,14 @@ def ground_truth(lines: DataFrame, leaves: DataFrame | None = None) -> DataFrame
     ``lines``: ``scan_id, line_no, line``. ``leaves``: ``scan_id, leaf_no, q_number`` names the
     columns of files without a header; without it they are numbered from 1.
     """
-    kept = lines.filter((strip(F.col("line")) != "") & ~strip(F.col("line")).startswith("#"))
-    tabs = kept.groupBy("scan_id").agg(F.bool_or(F.col("line").contains("\t")).alias("has_tab"))
-    rows = kept.join(tabs, "scan_id").select("scan_id", "line_no", _tokens(F.col("line"), F.col("has_tab")).alias("t"))
+    kept = lines.select("scan_id", "line_no", strip(F.col("line")).alias("body"), F.col("line").contains("\t").alias("tab"))
+    kept = kept.filter((F.col("body") != "") & ~F.col("body").startswith("#"))
+    tabs = kept.groupBy("scan_id").agg(F.bool_or("tab").alias("has_tab"))
+    rows = kept.join(tabs, "scan_id").select("scan_id", "line_no", _tokens(F.col("body"), F.col("has_tab")).alias("t"))
     rows = rows.withColumn("n", F.size("t"))
     value = lambda t: F.upper(t).isin(*ANSWER_LETTERS) | is_number(t)
     rows = rows.withColumn("data", (F.col("n") >= 2) & F.forall(F.slice("t", F.lit(2), F.greatest(F.col("n"), F.lit(1))), value))
+    rows = staged(rows)
     header = (F.col("n") >= 2) & F.lower(F.get("t", F.lit(0))).isin(*TRUTH_HEADERS) & ~F.col("data")
     # The last header word line above the first data line names the columns. Two aggregates per
     # file are enough: the first data line, and the latest header above it.
