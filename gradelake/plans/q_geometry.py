@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gradelake.operators import geometry as G
 from gradelake.plans import sqlbits as S
 from gradelake.plans.registry import query
-from gradelake.session import ensure_checkpoint_dir, table
+from gradelake.session import shared_folder, table
 
 DPI, W, H = 300, 595.0, 842.0
 BOX = ("x0", "y0", "x1", "y1")
@@ -186,7 +186,7 @@ def sink_box_tables(spark, sf_dir):
     """Projected boxes written by scan and read back."""
     import uuid
 
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/boxes-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/boxes-{uuid.uuid4().hex}"
     rects(spark, sf_dir).select("scan_id", "page", "box_id", "is_blank", *BOX).withColumn("part", F.col("scan_id") % 8).repartition("part").write.partitionBy("part").parquet(path)
     back = spark.read.parquet(path)
     return back.groupBy("scan_id", "page").agg(
