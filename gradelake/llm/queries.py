@@ -2,23 +2,74 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import simhash
+from gradelake.llm import bpe, langid, mixing, simhash, site_lines
 from gradelake.session import table
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
 
 
-def _query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+def _query(sql: str | None = None):
+    def register(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
 
+    return register
 
-@_query
+
+@_query(site_lines.site_relative_sql())
+def op2_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every page without those that many pages of its host share."""
+    pages = table(spark, sf_dir, "pages")
+    found = site_lines.drop_lines(pages, site_lines.host(F.col("url")), site_lines.html_lines(F.col("html")))
+    dropped = F.col("lines_dropped")
+    return found.select(
+        "page_id", site_lines.host(F.col("url")).alias("host"), (F.size("lines") + dropped).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"),
+        F.array_join("lines", "\n").alias("kept_text"),
+    )
+
+
+@_query()
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document by the 50k vocabulary, and their decoded bytes, as digests."""
+    tokenizer = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = table(spark, sf_dir, "documents").select("doc_id", tokenizer.encode(F.col("text")).alias("ids"))
+    both = ids.select("doc_id", "ids", tokenizer.decode(F.col("ids")).alias("decoded"))
+    return both.select("doc_id", bpe.count(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query()
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document at two differing bits or less."""
     found = simhash.groups(table(spark, sf_dir, "documents"), shingle=3)
     return found.select("doc_id", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@_query()
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a network trained on those whose key hash isn't 0 modulo 5."""
+    documents = table(spark, sf_dir, "documents")
+    held = langid.held_out(F.col("doc_id"))
+    net = langid.learn(documents, ~held)
+    found = langid.predict(documents.select("doc_id", "text"), net)
+    return found.select("doc_id", held.alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
+
+
+@_query()
+def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix of all sources takes."""
+    found = mixing.taken(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)
