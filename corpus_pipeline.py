@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import bpe, langid, mixing, simhash, site_lines
+from gradelake.llm import bpe, langid, mixing, near_copies, site_lines
 from gradelake.session import shared_folder, table
 
 #: A document stays if its language is known with at least this score.
@@ -40,8 +40,8 @@ def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicate documents keeps the one with the smallest doc_id."""
-    return simhash.keep_one(docs, shingle=5)
+    """Of near-duplicate documents (five words, similarity 0.8) keeps the one with the smallest doc_id."""
+    return near_copies.keep_one(docs, shingle=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

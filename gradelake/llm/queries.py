@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import bpe, langid, mixing, simhash, site_lines
+from gradelake.llm import bpe, langid, mixing, simhash, site_lines, winnowing
 from gradelake.session import table
 
 QUERIES = {}
@@ -73,3 +73,17 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@_query()
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
+    found = winnowing.with_next(table(spark, sf_dir, "documents"))
+    found = found.withColumn("edited", winnowing.edited(F.col("text"), F.col("next_text")))
+    found = found.withColumn("edited_marks", winnowing.marks(F.col("edited")))
+    return found.select(
+        F.col("key").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        winnowing.digest(F.col("marks")).alias("fingerprint"), winnowing.digest(F.col("edited_marks")).alias("edited_fingerprint"),
+        winnowing.likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"), winnowing.likeness(F.col("marks"), F.col("next_marks")).alias("near_next"),
+        F.size("marks").cast("long").alias("n_marks"),
+    )

@@ -4,7 +4,7 @@ import random
 
 import xxhash
 
-from gradelake.llm import simhash
+from gradelake.llm import near_copies, simhash
 from gradelake.llm.components import components
 
 
@@ -75,8 +75,30 @@ def test_groups(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, code string")
     got = sorted((r.doc_id or -1, r.component_id) for r in simhash.groups(frame).collect())
     assert got == [(-1, 3), (2, 2), (2, 2), (3, 3), (4, 4), (5, 3), (8, 4), (9, 3)]
-    kept = simhash.keep_one(frame)
-    assert kept.columns == ["doc_id", "text", "code"] and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
-    assert simhash.groups(frame.limit(0)).count() == 0 and simhash.keep_one(frame.limit(0)).count() == 0
+    assert simhash.groups(frame.limit(0)).count() == 0
     alone = spark.createDataFrame([(None, "a b c d"), (None, "a b c d")], "doc_id long, text string")
-    assert [r.component_id for r in simhash.groups(alone).collect()] == [None, None] and simhash.keep_one(alone).count() == 1
+    assert [r.component_id for r in simhash.groups(alone).collect()] == [None, None]
+
+
+def test_near_copies(spark):
+    rng = random.Random(5)
+    fresh = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows, want = [], set()
+    for g in range(6):
+        base, first = fresh(300), 100 * g
+        want.add(first)
+        rows += [(first, " ".join(base)), (first + 1, " ".join(base).upper().lower())]
+        for i in range(2, 40):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                copy[rng.randrange(300)] = "changed"
+            rows.append((first + i, " ".join(copy)))
+    rows += [(5000 + i, " ".join(fresh(120))) for i in range(40)]
+    want |= {5000 + i for i in range(40)}
+    rows += [(9000, None), (9001, ""), (9002, " \n"), (None, "alone here"), (7, rows[0][1]), (0, rows[0][1])]
+    want |= {9000}
+    frame = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, slots string")
+    kept = near_copies.keep_one(frame)
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.columns == frame.columns and len(ids) == len(set(ids)) and set(ids) == want | {None}
+    assert near_copies.keep_one(frame.limit(0)).count() == 0
