@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import bpe, langid, mixing, simhash, site_lines, winnowing
+from gradelake.llm import bpe, embedding_links, langid, mixing, simhash, site_lines, winnowing
 from gradelake.session import table
 
 QUERIES = {}
@@ -87,3 +87,9 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         winnowing.likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"), winnowing.likeness(F.col("marks"), F.col("next_marks")).alias("near_next"),
         F.size("marks").cast("long").alias("n_marks"),
     )
+
+
+@_query()
+def op8_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every embedding at cosine 0.98 within its label."""
+    return embedding_links.links(table(spark, sf_dir, "embeddings"))
