@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import bpe, embedding_links, langid, mixing, simhash, site_lines, winnowing
-from gradelake.session import table
+from gradelake.llm import bpe, embedding_links, fixity, langid, mixing, simhash, site_lines, winnowing
+from gradelake.session import staged, table
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,18 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every embedding at cosine 0.98 within its label."""
     return embedding_links.links(table(spark, sf_dir, "embeddings"))
+
+
+@_query(fixity.DAMAGE_SQL)
+def op7_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records in which a damaged replica of the pages' archive differs from the archive."""
+    pages = fixity.damaged(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    content = fixity.record(F.col("url"), F.col("html"))
+    whole = staged(fixity.manifest(pages, "page_id", content), "manifest")
+    other = F.when(F.col("damage") == "changed", F.reverse(content)).otherwise(F.expr("substring(content, 1, octet_length(content) - 1)"))
+    changed = pages.where("damage <> 'gone' or damage is null").withColumn("content", content)
+    seen = changed.select("page_id", F.when(F.col("damage").isNull(), F.sha2("content", 256)).otherwise(F.sha2(other, 256)).alias("digest"),
+                          (F.octet_length("content") - F.when(F.col("damage") == "cut", 1).otherwise(0)).cast("long").alias("length"))
+    replica = seen.join(whole.select("page_id", "file", "offset"), "page_id")
+    found = fixity.audit(whole, replica)
+    return found.join(whole.select("page_id", "file", "offset"), ["file", "offset"], "left").select("page_id", "file", "offset", "length", "state")
