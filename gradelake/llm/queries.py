@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import bpe, embedding_links, fixity, langid, mixing, simhash, site_lines, winnowing
+from gradelake.llm import bpe, embedding_links, fixity, langid, mixing, personal, simhash, site_lines, winnowing
 from gradelake.session import staged, table
 
 QUERIES = {}
@@ -108,3 +108,14 @@ def op7_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     replica = seen.join(whole.select("page_id", "file", "offset"), "page_id")
     found = fixity.audit(whole, replica)
     return found.join(whole.select("page_id", "file", "offset"), ["file", "offset"], "left").select("page_id", "file", "offset", "length", "state")
+
+
+@_query()
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, by fixed patterns and by induced contexts."""
+    found = personal.find(table(spark, sf_dir, "documents"))
+    base = F.col("base")
+    return found.select(
+        "doc_id", *(personal.number(base, kind).alias(f"n_{kind}") for kind in personal.KINDS), F.sha2(personal.written(base), 256).alias("base_sha256"),
+        personal.written(F.col("spans")).alias("spans"),
+    )
