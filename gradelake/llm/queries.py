@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import bpe, embedding_links, fixity, langid, mixing, personal, simhash, site_lines, winnowing
+from gradelake.llm import bpe, embedding_links, fixity, langid, lm_scoring, mixing, personal, simhash, site_lines, winnowing
 from gradelake.session import staged, table
 
 QUERIES = {}
@@ -119,3 +119,9 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *(personal.number(base, kind).alias(f"n_{kind}") for kind in personal.KINDS), F.sha2(personal.written(base), 256).alias("base_sha256"),
         personal.written(F.col("spans")).alias("spans"),
     )
+
+
+@_query()
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document by unigram counts and by the maximum-entropy model."""
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
