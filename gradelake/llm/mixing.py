@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradelake.llm.shared import WORD
+from gradelake.llm.shared import WORD, free_name
 from gradelake.session import staged
 
 WEIGHTS = (5, 2, 1)
@@ -90,15 +90,33 @@ def balance(histogram: DataFrame, sources: DataFrame, most: float = MOST, tolera
 
 
 def _rounded(sizes: pd.DataFrame) -> pd.DataFrame:
-    """Extra copies of each size of a source; the tokens that rounding leaves over go on to the next smaller size."""
+    """Copies that every document of a size gets, and extra ones, for the sizes of a source.
+
+    From the longest documents to the shortest, each size takes its part of copies in whole numbers, and the
+    tokens that rounding leaves over go on to the next. What is left at the end goes through the sizes again,
+    which may then take copies more or less within ``most`` a document, until it fits none.
+    """
     sizes = sizes.sort_values("size", ascending=False)
-    left, extra = 0.0, []
-    for size, n, part, room in zip(sizes["size"], sizes["n"], sizes["part"], sizes["room"], strict=True):
-        left += n * part * size
-        k = min(n, max(0, round(left / size))) if room and size else 0
-        left -= k * size
-        extra.append(k)
-    return sizes.assign(extra=np.array(extra, dtype="int64"))[["source", "size", "n", "base", "extra"]]
+    length, n, most = sizes["size"].tolist(), sizes["n"].tolist(), int(sizes["most"].iloc[0])
+    base = [b * m for b, m in zip(sizes["base"], n, strict=True)]
+    number = list(base)
+    wanted = (sizes["n"] * sizes["part"] * sizes["size"]).tolist()
+    bounds = [(b, min(b + m, most * m)) for b, m in zip(base, n, strict=True)]
+    left, moved = 0.0, True
+    while moved:
+        moved = False
+        for i, size in enumerate(length):
+            left += wanted[i]
+            if size:
+                low, high = bounds[i]
+                k = min(high, max(low, number[i] + round(left / size))) - number[i]
+                number[i] += k
+                left -= k * size
+                moved |= k != 0
+        moved |= any(wanted)
+        wanted, bounds = [0.0] * len(n), [(0, most * m) for m in n]
+    number, n = np.array(number), np.array(n)
+    return sizes.assign(base=number // n, extra=number % n)[["source", "size", "n", "base", "extra"]]
 
 
 def copies(sized: DataFrame, key: str, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> tuple[DataFrame, DataFrame]:
@@ -121,7 +139,7 @@ def copies(sized: DataFrame, key: str, weights: tuple[float, ...] = WEIGHTS, mos
     whole = F.floor(rate + 1e-9)
     parts = joined.select(
         F.col("h.source").alias("source"), F.col("h.size").alias("size"), F.col("h.n").alias("n"), whole.alias("base"),
-        F.greatest(rate - whole, F.lit(0.0)).alias("part"), (whole < most).alias("room"),
+        F.greatest(rate - whole, F.lit(0.0)).alias("part"), F.lit(most).alias("most"),
     )
     dealt = parts.groupBy("source").applyInPandas(_rounded, "source string, size long, n long, base long, extra long")
     dealt = staged(dealt, "dealt")
@@ -144,12 +162,12 @@ def copies(sized: DataFrame, key: str, weights: tuple[float, ...] = WEIGHTS, mos
 
 def mix(documents: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
     """The documents, each as often as the mix takes it; all columns stay, repeated rows count each."""
-    names, row = documents.columns, "__row"
+    names, row, number = documents.columns, free_name(documents, "__row"), free_name(documents, "__copies")
     rows = staged(documents.withColumn(row, F.monotonically_increasing_id()), "rows")
     sized = staged(rows.select(F.col(row).alias("row"), F.col(source).alias("source"), size_of(F.col(text)).alias("size")), "sizes")
     taken, _ = copies(sized, "row")
-    often = rows.join(taken.where("copies > 0").select(F.col("row").alias(row), "copies"), row)
-    return often.withColumn("__copy", F.explode(F.expr("sequence(1L, copies)"))).select(*names)
+    often = rows.join(taken.where("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(number)), row)
+    return often.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col(number))).alias(row)).drop(row)
 
 
 def taken(documents: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
