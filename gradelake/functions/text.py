@@ -6,37 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns, word lists and glyphs the results depend on.
-TOTAL_MARK = r"(?i)\[Total:\s*\d+\s*\]"
-TOTAL_MARK_VALUE = r"(?i)\[Total:\s*(\d+)\s*\]"
-BRACKET_NUMBER = r"\[\s*(\d+)\s*\]"
-BRACKET_MARK_WORD = r"(?i)\[(\d+)\s*mark"
-BRACKET_MARKS_CUE = r"(?i)\[\s*\d+\s*marks?\s*\]"
-BRACKET_1_TO_40 = r"\[\s*0*(?:[1-9]|[1-3]\d|40)\s*\]"
-LINE_END_MARK = r"(?md)\((\d+)\)\s*$"
-OPTION_WITH_DIGIT = r"(?md)^\s*[A-Da-d]\s{1,4}\d"
-POWER_NEGATIVE = r"x\s*10\s*[–\-−]\s*(\d+)"
-POWER_DIGITS = r"x\s*10\s*(\d+)"
-POWER_LETTER = r"x\s*10\s*([A-Za-z])(?=\z|\s|OR\b|[.,;:])"
+TOTAL_MARK = r"(?iU)\[Total:\s*\d+\s*\]"
+TOTAL_MARK_VALUE = r"(?iU)\[Total:\s*(\d+)\s*\]"
+BRACKET_NUMBER = r"(?U)\[\s*(\d+)\s*\]"
+BRACKET_MARK_WORD = r"(?iU)\[(\d+)\s*mark"
+BRACKET_MARKS_CUE = r"(?iU)\[\s*\d+\s*marks?\s*\]"
+BRACKET_1_TO_40 = r"(?U)\[\s*0*(?:[1-9]|[1-3]\d|40)\s*\]"
+LINE_END_MARK = r"(?mdU)\((\d+)\)\s*$"
+OPTION_WITH_DIGIT = r"(?mdU)^\s*[A-Da-d]\s{1,4}\d"
+POWER_NEGATIVE = r"(?U)x\s*10\s*[–\-−]\s*(\d+)"
+POWER_DIGITS = r"(?U)x\s*10\s*(\d+)"
+POWER_LETTER = r"(?U)x\s*10\s*([A-Za-z])(?=\z|\s|OR\b|[.,;:])"
 GLYPHS_FROM = "\uf0b4\uf0ae\uf0ee\uf0b7×"
 GLYPHS_TO = "x→→•x"
-SHEET_LABEL = r"(?i)IGCSE\s+Physics"
+SHEET_LABEL = r"(?iU)IGCSE\s+Physics"
 OTHER_BREAK = r"\r\n?|[\x0B\f\x1C-\x1E\u0085\u2028\u2029]"
-FOOTER_LINE = r"(?imd)^\s*IGCSE\s+Physics|^.*permission to reproduce"
-OPTION_BLOCK = (r"(?imd)^[^\S\n]*A[^\S\n]*$(?=[\s\S]*?\n[^\S\n]*B[^\S\n]*(?:\n|\z))"
+FOOTER_LINE = r"(?imdU)^\s*IGCSE\s+Physics|^.*permission to reproduce"
+OPTION_BLOCK = (r"(?imdU)^[^\S\n]*A[^\S\n]*$(?=[\s\S]*?\n[^\S\n]*B[^\S\n]*(?:\n|\z))"
                 r"(?=[\s\S]*?\n[^\S\n]*C[^\S\n]*(?:\n|\z))")
-LONE_LETTER = r"(?imd)^[^\S\n]*([A-D])[^\S\n]*$"
-ANCHOR_NUMBER = r"^\s*(\d{1,2})(?:\s*\z|\s*\([a-zA-Z]\))"
-ANCHOR_INLINE = r"^\s*(\d{1,2})\s+\S"
-ANCHOR_ANY = r"^\s*\d{1,2}(?:\s*\z|\s*\([a-zA-Z]\)|\s)"
-COLUMN_NUMBER = r"^\s*\d{1,2}(?:\s+\S|\()"
-PRINTED_ANSWER = r"(?i)Question\s+\d+(?:_\d+)?\s*\(\s*Answer\s*:\s*([A-Da-d])\s*\)"
+LONE_LETTER = r"(?imdU)^[^\S\n]*([A-D])[^\S\n]*$"
+ANCHOR_NUMBER = r"(?U)^\s*(\d{1,2})(?:\s*\z|\s*\([a-zA-Z]\))"
+ANCHOR_INLINE = r"(?U)^\s*(\d{1,2})\s+\S"
+ANCHOR_ANY = r"(?U)^\s*\d{1,2}(?:\s*\z|\s*\([a-zA-Z]\)|\s)"
+COLUMN_NUMBER = r"(?U)^\s*\d{1,2}(?:\s+\S|\()"
+PRINTED_ANSWER = r"(?iU)Question\s+\d+(?:_\d+)?\s*\(\s*Answer\s*:\s*([A-Da-d])\s*\)"
 BULLETS = "•·▪‣"
 BULLET_ONLY = "•·▪‣\\-*○"
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\u0085\u2028\u2029]"
 MARKS_CAP = 99
 LONG_ANSWER_CHARS = 400
 SUMMARY_CHARS = 200
-ANSWER_CHARS = 4000
 
 
 def strip(col: Column) -> Column:
@@ -131,11 +130,11 @@ def answer_fields(text: Column) -> tuple[Column, Column]:
     first = strip(F.get(lines, F.lit(0)))
     rest = strip(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), "\n"))
     lone = _extracted(first, r"^([A-Da-d])$")
-    numbered = _extracted(first, r"^\d{1,2}\s+([A-Da-d])\s*$")
-    short = F.when((F.length(first) <= 4) & first.rlike(r"^[\d\sA-Da-d.]+$"),
+    numbered = _extracted(first, r"(?U)^\d{1,2}\s+([A-Da-d])\s*$")
+    short = F.when((F.length(first) <= 4) & first.rlike(r"(?U)^[\d\sA-Da-d.]+$"),
                    _extracted(first, r"\b([A-Da-d])\b"))
     letter = F.upper(F.coalesce(lone, numbered, short))
-    answer = F.coalesce(letter, F.when(first != "", F.substring(first, 1, ANSWER_CHARS)))
+    answer = F.coalesce(letter, F.nullif(first, F.lit("")))
     has_text = body != ""
     return F.when(has_text, answer), F.when(has_text & (rest != ""), rest)
 
@@ -193,7 +192,7 @@ def looks_like_column_number(text: Column) -> Column:
 
 
 def root_digits(number: Column) -> Column:
-    return F.regexp_extract(strip(number), r"^(\d{1,2})", 1)
+    return F.regexp_extract(strip(number), r"(?U)^(\d{1,2})", 1)
 
 
 def safe_stem(name: Column) -> Column:

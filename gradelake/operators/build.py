@@ -25,10 +25,8 @@ def regions(lines: DataFrame, pages: DataFrame, drawings: DataFrame, cfg: Layout
 
 
 def region_texts(clip: DataFrame) -> DataFrame:
-    """Text of every region; its own number is not part of it. A region lies in one cell."""
-    first = F.row_number().over(_lines_of_region()) == 1
-    bare = F.when(first, F.regexp_replace("text", r"^\s*\d{1,2}\s*", "")).otherwise(F.col("text"))
-    numbered = clip.withColumns({"_i": F.row_number().over(_lines_of_region()), "_t": bare})
+    """Text of every region. A region lies in one cell; its clip begins right of the printed number."""
+    numbered = clip.withColumns({"_i": F.row_number().over(_lines_of_region()), "_t": F.col("text")})
     ordered = F.array_sort(F.collect_list(F.when(F.col("_t") != "", F.struct("_i", "_t"))))
     return numbered.groupBy("exam_id", "qid").agg(strip(F.array_join(F.transform(ordered, lambda s: s["_t"]), "\n")).alias("text"))
 

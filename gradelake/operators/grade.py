@@ -25,7 +25,6 @@ NO_CRITERIA = "(see mark scheme)"
 ANSWER_FORMAT = '{"answer": "B"}'
 MARKS_FORMAT = '{"answer": "…", "marks": 1.5}'
 ATTEMPT_FORMAT = '{"attempted": ["1", "2a"]}'
-PAGES_PER_LIST = 1000
 
 
 # ---- pages to students -------------------------------------------------------------------
@@ -50,9 +49,9 @@ def students_of(assigned: DataFrame, name: str = "name") -> DataFrame:
 
 
 def page_lists(assigned: DataFrame) -> DataFrame:
-    """Page numbers per student as text, one list per ``PAGES_PER_LIST`` page numbers."""
+    """Page numbers per student as text; a scan bounds the list."""
     listed = F.array_sort(F.collect_list("page"))
-    return (assigned.groupBy("scan_id", "student", block_of(F.col("page"), PAGES_PER_LIST).alias("list_no"))
+    return (assigned.groupBy("scan_id", "student")
             .agg(F.array_join(F.transform(listed, lambda p: p.cast("string")), ", ").alias("pages")))
 
 
@@ -99,6 +98,15 @@ def attempted_ids(reads: DataFrame) -> DataFrame:
             .filter(F.col("q_number").isNotNull()).distinct())
 
 
+def attempt_lists(assigned: DataFrame, scans: DataFrame, reads: DataFrame) -> DataFrame:
+    """Attempted ids of every assigned student in order; an empty list where no valid page names any."""
+    keys = ["scan_id", "student"]
+    pages = valid_pages(assigned, scans).select(*keys, "page")
+    listed = in_id_order(attempted_ids(reads.join(pages, [*keys, "page"], "left_semi")), keys)
+    return (assigned.select(*keys).distinct().join(listed, keys, "left")
+            .withColumn("questions", F.coalesce("questions", F.lit(""))))
+
+
 def in_id_order(ids: DataFrame, keys: Sequence[str], out: str = "questions") -> DataFrame:
     """Ids joined in (length, text) order; ids are distinct, so a list is no longer than the exam."""
     ranked = F.array_sort(F.collect_list(F.struct(F.length("q_number").alias("l"), F.col("q_number").alias("q"))))
@@ -131,6 +139,14 @@ def first_readable(reads: DataFrame, keys: Sequence[str], order: Sequence[str])
                     F.coalesce("_b.marks", F.lit(0.0)).alias("marks")))
 
 
+def mc_answer(raw: Column) -> Column:
+    """Answer of a letter reply as it is given, in capitals; ``?`` where the reply names none."""
+    record = salvaged_object(raw)
+    said = F.get_json_object(record, "$.answer")
+    absent = F.when(F.array_contains(F.json_object_keys(record), "answer"), "NONE").otherwise(UNREADABLE)
+    return F.upper(strip(F.coalesce(said, absent)))
+
+
 def mc_marks(answer: Column, correct: Column, max_marks: Column) -> Column:
     """Full marks for the right letter, none otherwise."""
     return F.when(answer == F.upper(strip(F.coalesce(correct, F.lit("")))), max_marks.cast("double")).otherwise(F.lit(0.0))

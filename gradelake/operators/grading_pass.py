@@ -12,14 +12,21 @@ KEYS = ["scan_id", "student"]
 
 
 def grade_students(assigned: DataFrame, scans: DataFrame, questions: DataFrame, attempts: DataFrame,
-                   seen: DataFrame, reads: DataFrame, red_marks: DataFrame) -> DataFrame:
+                   seen: DataFrame, reads: DataFrame, red_marks: DataFrame, requests: DataFrame | None = None) -> DataFrame:
     """Totals per student under the task of its scan.
 
     ``questions`` holds the questions put to each student, ``reads`` the replies per page,
-    ``red_marks`` the marks a teacher wrote. Unattempted questions never meet the replies;
+    ``red_marks`` the marks a teacher wrote on a page, ``requests`` which students are wanted.
+    Only pages that exist in the scan are graded. Unattempted questions never meet the replies;
     unknown tasks grade nothing.
     """
-    students = grade.valid_pages(assigned, scans).select(*KEYS).distinct()
+    pages = grade.valid_pages(assigned, scans).select(*KEYS, "page").distinct()
+    if requests is not None:
+        first = assigned.groupBy(*KEYS).agg(F.min("page").alias("first_page"))
+        pages = pages.join(grade.filtered_students(first, requests).select(*KEYS), KEYS, "left_semi")
+    students = pages.select(*KEYS).distinct()
+    reads = reads.join(pages, [*KEYS, "page"], "left_semi")
+    red_marks = red_marks.join(pages, [*KEYS, "page"], "left_semi")
     tasks = scans.select("scan_id", "task")
     asked = (questions.join(tasks.filter(F.col("task").isin(grade.TASK_MC, grade.TASK_ANSWERS)), "scan_id"))
     asked = grade.gradable(asked, F.col("task"))

@@ -163,7 +163,7 @@ def segments(anchors: DataFrame) -> DataFrame:
     nxt = F.lead("qy0").over(order)
     df = anchors.withColumns({"_n": rn, "_next": nxt})
     return df.withColumns({
-        "seg_no": (F.col("page").cast("bigint") * 1000000 + F.col("cell_no") * 10000 + F.col("_n")).cast("bigint"),
+        "seg_no": (F.col("page").cast("bigint") * 1000000000000 + F.col("cell_no").cast("bigint") * 1000000 + F.col("_n")).cast("bigint"),
         "y_start": F.greatest("qy0", "m_top"),
         "y_end": F.when(F.col("_next").isNotNull(), F.least("_next", "m_bottom")).otherwise(F.least("m_bottom", F.col("cy1") - 1.0)),
         "snap_top": F.col("_n") == 1, "snap_bottom": F.col("_next").isNull()}).drop("_n", "_next")

@@ -54,16 +54,3 @@ def carry_forward(df: DataFrame, keys: Sequence[str], block: str, order: Sequenc
     carried = blocks.select(*keys, block, F.last("_v", ignorenulls=True).over(_before(keys, block)).alias("_c"))
     return (df.withColumn("_in", F.last(value, ignorenulls=True).over(inner)).join(carried, [*keys, block])
             .withColumn(out, F.coalesce("_in", "_c")).drop("_in", "_c"))
-
-
-def next_row(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], values: Sequence[str],
-             prefix: str = "next_") -> DataFrame:
-    """``values`` of the following row of the key, NULL after the last one."""
-    inner = Window.partitionBy(*keys, block).orderBy(*order)
-    row = F.struct(*[F.col(v) for v in values])
-    firsts = df.groupBy(*keys, block).agg(F.min(F.struct(*order, row.alias("_r"))).alias("_f"))
-    following = firsts.select(*keys, block, F.lead("_f").over(Window.partitionBy(*keys).orderBy(block))["_r"].alias("_c"))
-    df = df.withColumn("_in", F.lead(row).over(inner)).join(following, [*keys, block])
-    picked = F.coalesce(F.col("_in"), F.col("_c"))
-    return df.withColumn("_p", picked).withColumns(
-        {f"{prefix}{v}": F.col("_p")[v] for v in values}).drop("_in", "_c", "_p")

@@ -96,10 +96,10 @@ def rotations(meta: DataFrame, use_osd: bool = False) -> DataFrame:
     return meta.withColumns({"landscape": landscape, "rotation": F.when(landscape, 0).otherwise(own)})
 
 
-def blank_states(flags: DataFrame, pages_per_list: int = 1000) -> DataFrame:
-    """Stored state of the blank search: totals and page lists, one row per ``pages_per_list`` pages."""
+def blank_states(flags: DataFrame) -> DataFrame:
+    """Stored state of the blank search: totals and page lists of every scan."""
     pages = lambda keep: F.array_sort(F.collect_list(F.when(keep, F.col("page"))))
-    return flags.groupBy("scan_id", F.floor(F.col("page") / pages_per_list).alias("list_no")).agg(F.to_json(F.struct(
+    return flags.groupBy("scan_id").agg(F.to_json(F.struct(
         F.lit(1).alias("schema_version"), F.count("*").alias("total_pages"), pages(~F.col("blank")).alias("content_page_nums"),
         pages(F.col("blank")).alias("blank_page_nums"), F.lit(BLANK_MEAN).alias("blank_mean"), F.lit(BLANK_STD).alias("blank_std"))).alias("state"))
 
@@ -356,19 +356,38 @@ def run_endpoints(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sizes.join(ends, keys, "left").select(*keys, F.coalesce("a", F.lit(0)).cast("bigint").alias("y_start"), F.coalesce("b", F.col("hh") - 1).cast("bigint").alias("y_end"))
 
 
+def _touching(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs with the number ``_g`` of their blob: runs of neighbouring columns whose rows overlap or touch."""
+
+    def label(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["x", "y0"], ignore_index=True)
+        group = np.arange(len(part))
+        x, y0, y1 = (part[c].to_numpy() for c in ("x", "y0", "y1"))
+        left, right = np.searchsorted(x, x + 1), np.searchsorted(x, x + 1, "right")
+        pairs = [(i, j) for i in range(len(part)) for j in range(left[i], right[i]) if y0[j] <= y1[i] + 1 and y1[j] >= y0[i] - 1]
+        changed = bool(pairs)
+        while changed:
+            changed = False
+            for i, j in pairs:
+                if group[i] != group[j]:
+                    group[i] = group[j] = min(group[i], group[j])
+                    changed = True
+        return part.assign(_g=group)
+
+    return runs.groupBy(*keys).applyInPandas(label, _keyed(runs, keys, *(runs.schema[c] for c in ("x", "y0", "y1", "hh")), _long("_g")))
+
+
 def ruling_lines(ink: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Vertical ruling lines of every half page: ``keys, x_center, y_start, y_end, lines``.
 
-    Surviving runs in neighbouring columns form one blob; tall and narrow blobs are lines. Three
+    Surviving runs that touch in neighbouring columns form one blob; tall and narrow blobs are lines. Three
     are expected per half.
     """
     keys = list(keys)
     sizes = ink.select(*keys, "hh").distinct()
     runs = surviving(vertical_runs(ink, keys).join(sizes, keys), F.lit(RULE_KERNEL), F.col("hh"))
-    # Few runs survive: neighbouring columns with a common or touching row belong together.
-    order = Window.partitionBy(*keys).orderBy("x", "y0")
-    new = F.coalesce(F.col("x") - F.lag("x").over(order) > 1, F.lit(True)).cast("int")
-    blobs = (runs.withColumn("_n", new).withColumn("_g", F.sum("_n").over(order)).groupBy(*keys, "_g", "hh")
+    # Few runs survive, so those of a half page fit one task.
+    blobs = (_touching(runs.select(*keys, "x", "y0", "y1", "hh"), keys).groupBy(*keys, "_g", "hh")
              .agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")))
     width = F.col("x1") - F.col("x0") + 1
     lines = blobs.filter((F.col("y1") - F.col("y0") + 1 > F.col("hh") * RULE_MIN_SHARE) & (width < RULE_MAX_WIDTH))

@@ -26,7 +26,7 @@ def results_matrix(grades: DataFrame, leaves: Sequence[str]) -> DataFrame:
     wide = grades.groupBy(*keys).agg(*[c.alias(n) for n, c in cells.items()],
                                      F.sum("marks").alias("total"), F.sum("max_marks").alias("max_marks"))
     share = numbers.pct(F.col("total"), F.col("max_marks"))
-    shown = [F.when(F.col(n).isNull(), ABSENT).otherwise(F.format_string("%.1f", F.col(n))).alias(n) for n in cells]
+    shown = [F.when(F.col(n).isNull(), ABSENT).otherwise(numbers.fixed(F.col(n), 1)).alias(n) for n in cells]
     return wide.select(*keys, *shown, "total", share.alias("pct"), numbers.pct_band(share).alias("band"))
 
 

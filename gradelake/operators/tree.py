@@ -143,13 +143,13 @@ def node_struct(subs: Column | None) -> Column:
     return F.struct(*fields)
 
 
-def question_documents(nodes: DataFrame, levels: int = 3) -> DataFrame:
+def question_documents(nodes: DataFrame) -> DataFrame:
     """One nested JSON document per top-level question: ``exam_id, path, doc``.
 
-    Built from the deepest level upwards. A list never holds more than the letters or numerals
-    one parent can have.
+    Built from the deepest level of the table upwards. A list never holds more than the letters or
+    numerals one parent can have.
     """
-    below = None
+    below, levels = None, nodes.agg(F.max(F.size("path"))).first()[0] or 1
     for depth in range(levels, 0, -1):
         level = nodes.filter(F.size("path") == depth)
         subs = None
@@ -162,7 +162,7 @@ def question_documents(nodes: DataFrame, levels: int = 3) -> DataFrame:
         ordered = F.array_sort(F.collect_list(F.struct("path", "_n")))
         below = (level.groupBy("exam_id", _parent(F.col("path")).alias("path"))
                  .agg(F.transform(ordered, lambda s: s["_n"]).alias("_subs")))
-    raise ValueError("levels must be at least 1")
+    raise ValueError("a path is empty")
 
 
 def _variant_children(df: DataFrame, column: str) -> DataFrame:
@@ -172,10 +172,10 @@ def _variant_children(df: DataFrame, column: str) -> DataFrame:
         "exam_id", F.concat("path", F.array((F.col("_i") + 1).cast("bigint"))).alias("path"), F.col("_q").alias("q"))
 
 
-def read_documents(docs: DataFrame, levels: int = 3) -> tuple[DataFrame, DataFrame]:
+def read_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stored trees ``exam_id, raw`` to node rows and rejects of another version.
 
-    Missing fields take their defaults; an empty answer falls back to the older field; options
+    Every level that a document has is read. Missing fields take their defaults; an empty answer falls back to the older field; options
     without a letter are dropped; ``total_marks`` of 0 is recomputed by the caller from the leaves.
     """
     parsed = docs.withColumn("_d", F.try_parse_json("raw"))
@@ -185,8 +185,7 @@ def read_documents(docs: DataFrame, levels: int = 3) -> tuple[DataFrame, DataFra
     top = good.select("exam_id", F.posexplode(F.try_variant_get("_d", "$.questions", "array<variant>")).alias("_i", "q")).select(
         "exam_id", F.array((F.col("_i") + 1).cast("bigint")).alias("path"), "q")
     rows, level = top, top
-    for _ in range(levels - 1):
-        level = _variant_children(level, "q")
+    while not (level := _variant_children(level, "q")).isEmpty():
         rows = rows.unionByName(level)
     q = F.col("q")
     get = lambda p, t="string": F.try_variant_get(q, f"$.{p}", t)

@@ -35,7 +35,8 @@ def _wide(winners: DataFrame, fields: Sequence[str], value: Column, suffix: str
 def ensemble(records: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Vote of several readings of a page, with the share of agreement as confidence.
 
-    ``records``: ``page, pass, student_name, confidence`` and one column per answer field.
+    ``records``: ``page, pass, student_name, confidence`` and one column per answer field. A single
+    reading stays as it is. Further columns are those of the first reading.
     """
     voted = _winners(_long(records, fields), ["page", "field"])
     share = F.col("n") / F.col("votes")
@@ -45,10 +46,13 @@ def ensemble(records: DataFrame, fields: Sequence[str]) -> DataFrame:
         ~F.col("value").isin(NO_NAME, FAILED_NAME, UNREADABLE))
     names = _winners(usable, ["page"]).select("page", F.col("winner").alias("voted_name"))
     overall = _winners(records.select("page", "pass", F.coalesce("confidence", F.lit("low")).alias("value")), ["page"])
-    first = records.groupBy("page").agg(F.min(F.struct("pass", "student_name"))["student_name"].alias("first_name"))
-    return (answers.join(overall.select("page", F.col("winner").alias("confidence")), "page").join(first, "page")
-            .join(names, "page", "left").withColumn("student_name", F.coalesce("voted_name", "first_name"))
-            .drop("voted_name", "first_name"))
+    own = [c for c in records.columns if c not in ("page", "pass")]
+    first = records.groupBy("page").agg(F.min_by(F.struct(*own), "pass").alias("_f"), F.count("*").alias("_n"))
+    overall = overall.select("page", F.col("winner").alias("confidence"))
+    joined = answers.join(overall, "page").join(first, "page").join(names, "page", "left")
+    voted = {c: F.col(c) for f in fields for c in (f, f + "_confidence")} | {"confidence": F.col("confidence"), "student_name": F.coalesce("voted_name", "_f.student_name")}
+    kept = {c: F.col(f"_f.{c}") if c in own else F.lit(None).cast("string") for c in [*voted, *own]}
+    return joined.select("page", *[F.when(F.col("_n") == 1, kept[c]).otherwise(voted.get(c, kept[c])).alias(c) for c in kept])
 
 
 def multi_pass(records: DataFrame, schema_fields: Sequence[str], answer_fields: Sequence[str]) -> DataFrame:

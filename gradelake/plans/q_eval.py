@@ -256,8 +256,8 @@ def _vote_sql(field: str, where: str = "true") -> str:
 @query("agg_vote_ensemble", f"""
 with p as ({PASSES_SQL}), a as {_vote_sql('q1')}, b as {_vote_sql('q2')}, c as {_vote_sql('confidence')},
 n as {_vote_sql('student_name', "student_name not in ('UNKNOWN', 'EXTRACTION_ERROR', '?')")}, f as (select page, arg_min(student_name, pass) as first_name from p group by 1)
-select page, a.w as q1, b.w as q2, case when a.n = a.votes then 'high' when a.n * 2 >= a.votes then 'medium' else 'low' end as q1_confidence,
-  case when b.n = b.votes then 'high' when b.n * 2 >= b.votes then 'medium' else 'low' end as q2_confidence, c.w as confidence, coalesce(n.w, first_name) as student_name
+select page, a.w as q1, b.w as q2, case when a.votes = 1 then null when a.n = a.votes then 'high' when a.n * 2 >= a.votes then 'medium' else 'low' end as q1_confidence,
+  case when b.votes = 1 then null when b.n = b.votes then 'high' when b.n * 2 >= b.votes then 'medium' else 'low' end as q2_confidence, c.w as confidence, coalesce(n.w, first_name) as student_name
 from a join b using (page) join c using (page) join f using (page) left join n using (page)""")
 def agg_vote_ensemble(spark, sf_dir):
     return vote.ensemble(passes(spark, sf_dir), ["q1", "q2"])

@@ -35,8 +35,12 @@ def reply_rows(spark, sf_dir):
         F.col("l_linestatus").alias("status"), "p_type", "l_quantity")
 
 
-MC_GRADES_SQL = f"""select scan_id, student, q_number, case when status = 'F' and q_number = '7' then '-' else {S.mc_letter('raw')} end as answer,
-    case when status = 'F' and q_number = '7' then 0.0::double when {S.mc_letter('raw')} = key_letter then max_marks::double else 0.0::double end as marks,
+def letter_reply():
+    return F.to_json(F.struct(F.col("raw").alias("answer")))
+
+
+MC_GRADES_SQL = f"""select scan_id, student, q_number, case when status = 'F' and q_number = '7' then '-' else upper(trim(raw)) end as answer,
+    case when status = 'F' and q_number = '7' then 0.0::double when upper(trim(raw)) = key_letter then max_marks::double else 0.0::double end as marks,
     max_marks from ({REPLIES_SQL})"""
 
 
@@ -44,7 +48,7 @@ def mc_grades(spark, sf_dir):
     """Letters graded against the key; line 7 of finished items stands for unattempted questions."""
     rows = reply_rows(spark, sf_dir)
     skipped = (F.col("status") == "F") & (F.col("q_number") == "7")
-    letter = replies.mc_letter(F.col("raw"))
+    letter = grade.mc_answer(letter_reply())
     return rows.withColumn("answer", F.when(skipped, replies.NOT_ATTEMPTED).otherwise(letter)).select(
         *STUDENT, "q_number", "answer", grade.mc_marks(F.col("answer"), F.col("key_letter"), F.col("max_marks")).alias("marks"),
         "max_marks")
@@ -61,10 +65,10 @@ def totals(spark, sf_dir):
 # ---- marks -----------------------------------------------------------------------------------
 
 
-@query("mdl_grade_mc", f"""select scan_id, student, q_number, {S.mc_letter('raw')} as answer,
-  case when {S.mc_letter('raw')} = key_letter then max_marks::double else 0.0::double end as marks from ({REPLIES_SQL})""")
+@query("mdl_grade_mc", f"""select scan_id, student, q_number, upper(trim(raw)) as answer,
+  case when upper(trim(raw)) = key_letter then max_marks::double else 0.0::double end as marks from ({REPLIES_SQL})""")
 def mdl_grade_mc(spark, sf_dir):
-    rows = reply_rows(spark, sf_dir).withColumn("answer", replies.mc_letter(F.col("raw")))
+    rows = reply_rows(spark, sf_dir).withColumn("answer", grade.mc_answer(letter_reply()))
     return rows.select(*STUDENT, "q_number", "answer",
                        grade.mc_marks(F.col("answer"), F.col("key_letter"), F.col("max_marks")).alias("marks"))
 
@@ -125,7 +129,8 @@ def mdl_unattempted(spark, sf_dir):
 with seen as (select o_orderkey as student, o_orderstatus as st from orders where o_orderstatus <> 'P'),
 hit as (select distinct l_orderkey as student, l_linenumber::varchar as q_number from lineitem join orders on l_orderkey = o_orderkey
     where o_orderstatus <> 'P' and l_linestatus = o_orderstatus),
-pairs as (select o_orderkey as student, n::varchar as q_number from orders, (select distinct l_linenumber as n from lineitem))
+leaves as (select distinct l_orderkey // 30 % 4 as exam, l_linenumber as n from lineitem),
+pairs as (select o_orderkey as student, n::varchar as q_number from orders join leaves on o_orderkey // 30 % 4 = exam)
 select student // 30 as scan_id, q_number, count(*)::bigint as students,
   count(*) filter (seen.student is null or hit.student is not null)::bigint as attempted
 from pairs left join seen using (student) left join hit using (student, q_number) group by 1, 2""")
@@ -134,14 +139,12 @@ def join_attempts_default(spark, sf_dir):
         F.floor(F.col("o_orderkey") / 30).alias("scan_id"), F.col("o_orderkey").alias("student"),
         F.col("o_orderstatus").alias("st"))
     lines = table(spark, sf_dir, "lineitem")
-    leaves = lines.select(F.col("l_linenumber").cast("string").alias("q_number")).distinct()
     seen = orders.filter(F.col("st") != "P")
     hits = (lines.join(seen, (lines.l_orderkey == seen.student) & (lines.l_linestatus == seen.st))
             .select(*STUDENT, F.col("l_linenumber").cast("string").alias("q_number")))
-    # The leaf list of an exam is short; it travels as one array, not as a product of tables.
-    leaf_list = leaves.agg(F.collect_list("q_number").alias("leaves")).withColumn("exam", F.lit(1))
-    pairs = (orders.withColumn("exam", F.lit(1)).join(leaf_list, "exam")
-             .select(*STUDENT, F.explode("leaves").alias("q_number")))
+    # A scan belongs to one of four exams; the leaves of an exam are a short table.
+    leaves = lines.select((F.floor(F.col("l_orderkey") / 30) % 4).alias("exam"), F.col("l_linenumber").cast("string").alias("q_number")).distinct()
+    pairs = orders.withColumn("exam", F.col("scan_id") % 4).join(leaves, "exam").select(*STUDENT, "q_number")
     flagged = grade.with_attempt_flag(pairs, hits, seen)
     return flagged.groupBy("scan_id", "q_number").agg(
         F.count("*").alias("students"), F.count_if("attempted").alias("attempted"))
@@ -210,17 +213,19 @@ def sort_question_ids(spark, sf_dir):
 
 
 @query("mdl_detect_attempts", """
-with d as (select l_orderkey // 30 as scan_id, l_orderkey as student, l_linenumber as n, l_returnflag as f from lineitem)
-select scan_id, student, string_agg(distinct_q, ', ' order by length(distinct_q), distinct_q) as questions from (
-  select distinct scan_id, student, n::varchar as distinct_q from d where f <> 'R'
-  union select distinct scan_id, student, '10a' from d where f = 'A') group by 1, 2""")
+with d as (select l_orderkey // 30 as scan_id, l_orderkey as student, l_linenumber as n, l_returnflag as f from lineitem),
+q as (select distinct scan_id, student, n::varchar as q from d where f <> 'R' and n <= 6 union select distinct scan_id, student, '10a' from d where f = 'A' and n <= 6)
+select s.scan_id, s.student, coalesce(string_agg(q, ', ' order by length(q), q), '') as questions
+from (select distinct scan_id, student from d) s left join q on s.scan_id = q.scan_id and s.student = q.student group by 1, 2""")
 def mdl_detect_attempts(spark, sf_dir):
+    """Scans of six pages; a reply of the seventh doesn't count."""
     n, flag = F.col("l_linenumber").cast("string"), F.col("l_returnflag")
     raw = (F.when(flag == "A", F.concat(F.lit('Sure: {"attempted": ["'), n, F.lit('", "10a", null]} ok')))
            .when(flag == "N", F.concat(F.lit('{"attempted": ['), n, F.lit("]}"))).otherwise('{"attempted": "none"}'))
     reads = table(spark, sf_dir, "lineitem").select(
-        F.floor(F.col("l_orderkey") / 30).alias("scan_id"), F.col("l_orderkey").alias("student"), raw.alias("raw"))
-    return grade.in_id_order(grade.attempted_ids(reads), STUDENT)
+        F.floor(F.col("l_orderkey") / 30).alias("scan_id"), F.col("l_orderkey").alias("student"), F.col("l_linenumber").alias("page"), raw.alias("raw"))
+    scans = reads.select("scan_id").distinct().withColumn("page_count", F.lit(6))
+    return grade.attempt_lists(reads.select(*STUDENT, "page"), scans, reads)
 
 
 @query("rep_attempt_summary", f"""
@@ -248,7 +253,10 @@ from p join ({TOTALS_SQL}) using (scan_id, student)""")
 def rep_results_matrix(spark, sf_dir):
     from gradelake.operators.report import results_matrix
 
-    out = results_matrix(mc_grades(spark, sf_dir), [str(i) for i in range(1, 8)])
+    grades = mc_grades(spark, sf_dir)
+    # The leaves of an exam are a short list, read from its questions.
+    ids = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("string").alias("q")).distinct().collect()
+    out = results_matrix(grades, sorted((r["q"] for r in ids), key=lambda q: (len(q), q)))
     return out.withColumn("pct", F.round("pct", 6))
 
 
@@ -307,9 +315,10 @@ TASK_SQL = "case scan_id % 4 when 0 then 'check_mc' when 1 then 'check_answers'
 with r as (select *, {TASK_SQL} as task, p_type in ('SMALL', 'LARGE') as mc from ({REPLIES_SQL})),
 asked as (select * from r where task = 'check_answers' or (task = 'check_mc' and mc)),
 g as (select scan_id, student, q_number, case when status = 'F' and q_number = '7' then 0.0::double
-    when mc then case when {S.mc_letter('raw')} = key_letter then max_marks::double else 0.0::double end
+    when q_number > '4' then 0.0::double
+    when mc then case when upper(trim(raw)) = key_letter then max_marks::double else 0.0::double end
     when raw = 'a' then least(l_quantity - 5, max_marks::double) else 0.0::double end as marks from asked
-  union all select scan_id, student, q_number, l_quantity as marks from r where task = 'count_marks' and raw <> 'a'),
+  union all select scan_id, student, q_number, l_quantity as marks from r where task = 'count_marks' and raw <> 'a' and q_number <= '4'),
 t as (select scan_id, student, sum(marks) as total, count(*)::bigint as questions from g group by 1, 2),
 m as (select scan_id, sum(mx)::bigint as max_marks from (select scan_id, q_number, max(max_marks) as mx from r group by 1, 2) group by 1)
 select s.scan_id, s.student, coalesce(total, 0.0::double) as total, coalesce(questions, 0)::bigint as questions, max_marks
@@ -333,7 +342,7 @@ def mdl_grade_students(spark, sf_dir):
     written = F.when(F.col("raw") == "a", "done").otherwise("?")
     reads = rows.select(
         *STUDENT, "q_number", number.alias("page"),
-        F.when(kind == "multiple_choice", replies.mc_letter(F.col("raw"))).otherwise(written).alias("answer"),
+        F.when(kind == "multiple_choice", grade.mc_answer(letter_reply())).otherwise(written).alias("answer"),
         (F.col("l_quantity") - 5).cast("string").alias("value"))
-    red = rows.filter(F.col("raw") != "a").select(*STUDENT, "q_number", F.col("l_quantity").cast("string").alias("value"))
+    red = rows.filter(F.col("raw") != "a").select(*STUDENT, "q_number", number.alias("page"), F.col("l_quantity").cast("string").alias("value"))
     return grade_students(assigned, scans, questions, attempts, rows.select(*STUDENT).distinct(), reads, red)

@@ -141,7 +141,7 @@ def sort_reading_order(spark, sf_dir):
 
 
 SEGMENTS_SQL = f"""select *, greatest(qy0, m_top) as y_start, case when nxt is not null then least(nxt, m_bottom) else least(m_bottom, cy1 - 1) end as y_end, rn = 1 as snap_top, nxt is null as snap_bottom,
-    page * 1000000 + cell_no * 10000 + rn as seg_no from (
+    page::bigint * 1000000000000 + cell_no::bigint * 1000000 + rn as seg_no from (
   select *, row_number() over w as rn, lead(qy0) over w as nxt from ({ANCHORS_SQL}) window w as (partition by exam_id, page, cell_no order by qy0, block, line))"""
 
 

@@ -90,8 +90,8 @@ def topk_first_n_students(spark, sf_dir):
             .filter(F.col("r") <= 5).select("scan_id", "student"))
 
 
-@query("rep_page_summary", f"""select scan_id, student, page // 1000 as list_no, string_agg(page::varchar, ', ' order by page) as pages, any_value(confidence) as confidence
-  from ({FILLED_SQL}) join (select scan_id, student, confidence from ({STUDENTS_SQL})) using (scan_id, student) group by 1, 2, 3""")
+@query("rep_page_summary", f"""select scan_id, student, string_agg(page::varchar, ', ' order by page) as pages, any_value(confidence) as confidence
+  from ({FILLED_SQL}) join (select scan_id, student, confidence from ({STUDENTS_SQL})) using (scan_id, student) group by 1, 2""")
 def rep_page_summary(spark, sf_dir):
     pages = filled(spark, sf_dir)
     return page_summary(pages, grade.students_of(pages))

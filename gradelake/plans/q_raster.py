@@ -43,8 +43,8 @@ def ras_blank_pages(spark, sf_dir):
     return flags(spark, sf_dir).select(*PAGE, "blank")
 
 
-@query("sink_scan_blanks", f"""select scan_id, page // 1000 as list_no, '{{"schema_version":1,"total_pages":' || count(*) || ',"content_page_nums":[' || coalesce(string_agg(page::varchar, ',' order by page) filter (not blank), '')
-  || '],"blank_page_nums":[' || coalesce(string_agg(page::varchar, ',' order by page) filter (blank), '') || '],"blank_mean":250,"blank_std":6}}' as state from (select scan_id, page::bigint as page, blank from ({FLAGS_SQL})) group by 1, 2""")
+@query("sink_scan_blanks", f"""select scan_id, '{{"schema_version":1,"total_pages":' || count(*) || ',"content_page_nums":[' || coalesce(string_agg(page::varchar, ',' order by page) filter (not blank), '')
+  || '],"blank_page_nums":[' || coalesce(string_agg(page::varchar, ',' order by page) filter (blank), '') || '],"blank_mean":250,"blank_std":6}}' as state from (select scan_id, page::bigint as page, blank from ({FLAGS_SQL})) group by 1""")
 def sink_scan_blanks(spark, sf_dir):
     return R.blank_states(flags(spark, sf_dir))
 
@@ -170,9 +170,12 @@ def ras_vline_mask(spark, sf_dir):
 
 
 @query("ras_ruling_lines", f"""
-with k as (select *, y1 - y0 + 1 as len from ({RUNS_SQL})),
+with recursive k as (select *, y1 - y0 + 1 as len from ({RUNS_SQL})),
 s as (select * from k where len >= case when y0 = 0 and y1 = hh - 1 then 1 when y0 = 0 then 149 when y1 = hh - 1 then 151 else 299 end),
-b as (select scan_id, hh, grp, min(x) as x0, max(x) as x1, min(y0) as y0, max(y1) as y1 from (select *, x - dense_rank() over (partition by scan_id order by x) as grp from s) group by 1, 2, 3),
+t as (select a.scan_id, a.x, a.y0, b.x as bx, b.y0 as by0 from s a join s b on a.scan_id = b.scan_id and abs(a.x - b.x) = 1 and b.y0 <= a.y1 + 1 and b.y1 >= a.y0 - 1),
+w as (select scan_id, x, y0, x as rx, y0 as ry from s union select t.scan_id, t.bx, t.by0, w.rx, w.ry from w join t on w.scan_id = t.scan_id and w.x = t.x and w.y0 = t.y0),
+g as (select scan_id, x, y0, min((rx, ry)) as grp from w group by 1, 2, 3),
+b as (select s.scan_id, hh, grp, min(s.x) as x0, max(s.x) as x1, min(s.y0) as y0, max(y1) as y1 from s join g on s.scan_id = g.scan_id and s.x = g.x and s.y0 = g.y0 group by 1, 2, 3),
 l as (select scan_id, hh, x0 + (x1 - x0 + 1) // 2 as xc from b where y1 - y0 + 1 > hh * 0.3 and x1 - x0 + 1 < 30),
 m as (select scan_id, min(xc) as lo, max(xc) as hi, count(*) as n, any_value(hh) as hh from l group by 1),
 e as (select m.scan_id, xc, y - row_number() over (partition by m.scan_id order by y) as grp, y, hh from (select *, case when n = 1 then lo else (lo + hi) // 2 end as xc from m where n <= 2) m

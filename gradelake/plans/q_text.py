@@ -118,7 +118,7 @@ c as (select *, case when regexp_matches(first, '^[A-Da-d]$') then upper(first)
     when regexp_matches(first, '^\d{{1,2}}\s+[A-Da-d]\s*$') then upper(regexp_extract(first, '([A-Da-d])\s*$', 1))
     when length(first) <= 4 and regexp_matches(first, '^[\d\sA-Da-d.]+$') and regexp_matches(first, '\b[A-Da-d]\b')
       then upper(regexp_extract(first, '\b([A-Da-d])\b', 1)) end as letter from l)
-select doc_id, case when body <> '' then coalesce(letter, nullif(left(first, 4000), '')) end as correct_answer,
+select doc_id, case when body <> '' then coalesce(letter, nullif(first, '')) end as correct_answer,
   case when body <> '' then nullif(rest, '') end as marking_criteria from c""")
 def fn_infer_answer_fields(spark, sf_dir):
     answer, rest = text.answer_fields(F.col("text"))

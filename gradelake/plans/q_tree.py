@@ -192,7 +192,7 @@ def src_scaffold_json(spark, sf_dir):
     version = F.when(F.col("root") % 10 == 0, "14").otherwise(str(tree.SCHEMA_VERSION))
     files = docs.select("exam_id", "root", F.concat(F.lit('{"schema_version":'), version, F.lit(',"questions":['), "doc", F.lit("]}")).alias("raw"))
     # A document is one top-level question here, so its order number keeps the rows apart.
-    keyed = files.select(F.struct("exam_id", "root").alias("exam_id"), "raw")
+    keyed = staged(files.select(F.struct("exam_id", "root").alias("exam_id"), "raw"), "scaffold")
     rows, _rejected = tree.read_documents(keyed)
     return rows.select("exam_id.exam_id", "number", "question_type", "text", "marks", F.coalesce("correct_answer", F.lit("")).alias("correct_answer"),
                        F.coalesce("marking_criteria", F.lit("")).alias("marking_criteria"), F.col("bbox.x0").alias("x0"))

@@ -91,3 +91,23 @@ def test_ratio_is_not_symmetric(spark):
     df = spark.createDataFrame([("tide", "diet"), ("diet", "tide")], "a string, b string")
     assert [r[0] for r in df.select(match.seq_ratio("a", "b")).collect()] == [0.25, 0.5]
     assert difflib.SequenceMatcher(None, "tide", "diet").ratio() == 0.25
+
+
+def test_no_break_spaces(spark):
+    assert apply(spark, ["a [ 2 ]"], text.bracket_marks) == [2]
+    assert apply(spark, ["1.5 x 1011"], text.science_text) == ["1.5 x 10^11"]
+    assert apply(spark, ["x [Total: 5] [ 1 ]"], text.without_mark_cues) == ["x"]
+
+
+def test_answers_are_whole(spark):
+    line = "word " * 2000
+    df = spark.createDataFrame([(line,)], "v string")
+    assert df.select(text.answer_fields(F.col("v"))[0]).first()[0] == line.strip()
+
+
+def test_wide_flat_objects_stay_in_the_jvm(spark):
+    wide = json.dumps({f"k{i}": i for i in range(15)})
+    twice = wide[:-1] + ', "k3": 99}'
+    assert [json.loads(x) for x in apply(spark, [wide, twice, wide + " and"], replies.salvaged_json)] == [json.loads(wide), json.loads(twice), json.loads(wide)]
+    flat = spark.createDataFrame([(wide,), (twice,)], "v string").select(F.col("v").rlike(replies.FLAT_OBJECT))
+    assert [r[0] for r in flat.collect()] == [True, True]

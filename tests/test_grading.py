@@ -23,14 +23,12 @@ def test_blocked_steps_equal_plain_loops(spark):
     fill = {(r.k, r.p): r.o for r in ordered.carry_forward(df, ["k"], "b", ["p"], "v", "o").collect()}
     rank = {(r.k, r.p): r.o for r in ordered.rank_in_order(df, ["k"], "b", [F.col("p")], "o").collect()}
     total = {(r.k, r.p): r.o for r in ordered.running_total(df, ["k"], "b", [F.col("p")], F.col("n"), "o").collect()}
-    nxt = {(r.k, r.p): r.next_p for r in ordered.next_row(df, ["k"], "b", ["p"], ["p"]).collect()}
     for k in range(3):
         mine = sorted(r[1:] for r in rows if r[0] == k)
         last, seen = None, 0
         for i, (p, v, n) in enumerate(sorted(mine, key=lambda r: r[0])):
             last, seen = v if v is not None else last, seen + n
             assert fill[(k, p)] == last and rank[(k, p)] == i + 1 and total[(k, p)] == seen
-            assert nxt[(k, p)] == (mine[i + 1][0] if i + 1 < len(mine) else None)
 
 
 def test_marks(spark):
@@ -133,3 +131,53 @@ def test_transform_inverse(spark):
     lost = scan.filter("quadrant <> 'top_left'")
     pages = scan.select("scan_id", "page").distinct()
     assert geometry.complete_scans(geometry.half_transforms(raw, lost), pages).count() == 0
+
+
+def test_a_single_reading_stays_as_it_is(spark):
+    rows = [(1, 1, "N", "medium", "B", "low", "x"), (2, 1, "N", "low", "B", "low", "y"), (2, 2, "N", "low", "B", "low", "z")]
+    df = spark.createDataFrame(rows, "page int, pass int, student_name string, confidence string, q1 string, q1_confidence string, note string")
+    got = {r.page: (r.q1, r.q1_confidence, r.confidence, r.note) for r in vote.ensemble(df, ["q1"]).collect()}
+    assert got == {1: ("B", "low", "medium", "x"), 2: ("B", "high", "low", "y")}
+
+
+def test_letter_answers(spark):
+    raws = ['{"answer": " b "}', '{"answer": " B or b"}', '{"answer": ""}', '{"answer": null}', "{}", "no", 'so {"answer": "Z"} it is']
+    df = spark.createDataFrame([(r,) for r in raws], "raw string")
+    assert [r[0] for r in df.select(grade.mc_answer(F.col("raw"))).collect()] == ["B", "B OR B", "", "NONE", "?", "?", "Z"]
+
+
+def test_pages_outside_the_scan(spark):
+    from gradelake.operators.grading_pass import grade_students
+
+    assigned = spark.createDataFrame([(1, "s", 1), (1, "s", 9), (1, "t", 2), (1, "u", 9)], "scan_id int, student string, page int")
+    scans = spark.createDataFrame([(1, 2, "check_answers")], "scan_id int, page_count int, task string")
+    questions = spark.createDataFrame([(1, s, "1", "written", True, None, 5) for s in "stu"], "scan_id int, student string, q_number string, question_type string, is_leaf boolean, correct_answer string, max_marks int")
+    reads = spark.createDataFrame([(1, "s", "1", 9, "x", "4"), (1, "t", "1", 2, "x", "3")], "scan_id int, student string, q_number string, page int, answer string, value string")
+    none = spark.createDataFrame([], "scan_id int, student string, q_number string, page int, value string")
+    seen = assigned.select("scan_id", "student").limit(0)
+    got = grade_students(assigned, scans, questions, none.select("scan_id", "student", "q_number"), seen, reads, none)
+    assert {(r.student, r.total, r.questions) for r in got.collect()} == {("s", 0.0, 1), ("t", 3.0, 1)}
+    wanted = spark.createDataFrame([(1, "specific", ["T"], None)], "scan_id int, mode string, names array<string>, n int")
+    got = grade_students(assigned, scans, questions, none.select("scan_id", "student", "q_number"), seen, reads, none, wanted)
+    assert [r.student for r in got.collect()] == ["t"]
+    replies_ = spark.createDataFrame([(1, "s", 1, '{"attempted": "none"}'), (1, "s", 9, '{"attempted": ["3"]}'), (1, "t", 2, '{"attempted": ["10", "2"]}')], "scan_id int, student string, page int, raw string")
+    lists = {(r.student, r.questions) for r in grade.attempt_lists(assigned, scans, replies_).collect()}
+    assert lists == {("s", ""), ("t", "2, 10"), ("u", "")}
+
+
+def test_lists_are_whole(spark):
+    pages = spark.createDataFrame([(1, "s", p) for p in (998, 999, 1000)], "scan_id int, student string, page int")
+    assert [r.pages for r in grade.page_lists(pages).collect()] == ["998, 999, 1000"]
+
+
+def test_deep_trees_survive(spark):
+    from gradelake.operators import tree
+
+    box = (0.0, 0.0, 1.0, 1.0, 1)
+    rows = [("e", [1] * d, "n" * d, "short_answer", f"text {d}", 1, box, None, None, []) for d in range(1, 6)]
+    schema = ("exam_id string, path array<bigint>, number string, question_type string, text string, marks bigint, bbox struct<x0:double,y0:double,x1:double,y1:double,page:int>, "
+              "correct_answer string, marking_criteria string, answer_options array<struct<letter:string,text:string>>")
+    docs = tree.question_documents(spark.createDataFrame(rows, schema))
+    raw = docs.select("exam_id", F.concat(F.lit('{"schema_version":%d,"questions":[' % tree.SCHEMA_VERSION), "doc", F.lit("]}")).alias("raw"))
+    back, rejected = tree.read_documents(raw)
+    assert {(tuple(r.path), r.number, r.text) for r in back.collect()} == {(tuple(r[1]), r[2], r[4]) for r in rows} and rejected.count() == 0

@@ -119,3 +119,24 @@ def test_border_runs_survive_when_shorter(spark):
     df = spark.createDataFrame([(0, 148), (0, 147), (650, 799), (649, 799), (100, 397), (100, 398), (0, 799)], "y0 long, y1 long")
     got = {(r.y0, r.y1) for r in R.surviving(df, F.lit(150), F.lit(800)).collect()}
     assert got == {(0, 148), (649, 799), (100, 398), (0, 799)}
+
+
+def test_separate_runs_are_no_line(spark):
+    g = white(2000, 40)
+    g[100:500, 10] = 0
+    g[1200:1600, 11] = 0
+    r = rows(spark, g)
+    ink = R.ink_rows(r, R.otsu(r, ["u"]), ["u"]).withColumn("hh", F.lit(2000))
+    assert R.ruling_lines(ink, ["u"]).count() == 0
+    g[500:1201, 11] = 0
+    r = rows(spark, g)
+    ink = R.ink_rows(r, R.otsu(r, ["u"]), ["u"]).withColumn("hh", F.lit(2000))
+    assert [(x.y_start, x.y_end) for x in R.ruling_lines(ink, ["u"]).collect()] == [(100, 1599)]
+
+
+def test_one_blank_state_per_scan(spark):
+    import json
+
+    flags = spark.createDataFrame([(1, p, p == 999) for p in (998, 999, 1000)], "scan_id int, page long, blank boolean")
+    (state,) = [json.loads(r.state) for r in R.blank_states(flags).collect()]
+    assert (state["total_pages"], state["content_page_nums"], state["blank_page_nums"]) == (3, [998, 1000], [999])
