@@ -14,8 +14,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Longest pre-token and most pre-tokens of one generation that a worker remembers.
-REMEMBERED_CHARS, REMEMBERED = 48, 450_000
+#: Longest pre-token and most pre-tokens of one generation that a task remembers.
+REMEMBERED_CHARS, REMEMBERED = 48, 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -146,7 +146,7 @@ class Tokenizer:
 
         @F.pandas_udf("binary")
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            codec = _worker_codec(shared)
+            codec = Codec(*shared.value)
             for batch in batches:
                 yield pd.Series([codec.encode(x) for x in batch], dtype=object)
 
@@ -158,24 +158,13 @@ class Tokenizer:
 
         @F.pandas_udf("binary")
         def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            codec = _worker_codec(shared)
+            codec = Codec(*shared.value)
             for batch in batches:
                 yield pd.Series([codec.decode(x) for x in batch], dtype=object)
 
         return decode(ids)
 
 
-_KEPT: list[Codec] = []
-
-
-def _worker_codec(shared: Broadcast) -> Codec:
-    """The codec of a worker; it keeps what it has encoded for the tasks that follow."""
-    ranks, pattern = shared.value
-    if not _KEPT or _KEPT[0].split.pattern != pattern or _KEPT[0].ranks != ranks:
-        _KEPT[:] = [Codec(ranks, pattern)]
-    return _KEPT[0]
-
-
 def count(ids: Column) -> Column:
     """Number of ids."""
     return (F.length(ids) / 4).cast("long")
