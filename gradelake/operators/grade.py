@@ -24,6 +24,8 @@ TASK_COUNT = "count_marks"
 NO_CRITERIA = "(see mark scheme)"
 ANSWER_FORMAT = '{"answer": "B"}'
 MARKS_FORMAT = '{"answer": "…", "marks": 1.5}'
+NAME_FORMAT = '{"name": "FirstName LastName"}'
+COUNT_FORMAT = '{"marks": {"1": 2, "2a": 1}}'
 ATTEMPT_FORMAT = '{"attempted": ["1", "2a"]}'
 
 
@@ -190,6 +192,16 @@ def class_stats(totals: DataFrame) -> DataFrame:
 # ---- prompts -------------------------------------------------------------------------------
 
 
+def name_prompt() -> Column:
+    """Request for the name at the top of a page."""
+    return F.lit(f"Whose name stands at the top of this page? Reply as {NAME_FORMAT}, with an empty name if there is none.")
+
+
+def count_prompt() -> Column:
+    """Request for the red marks of a page."""
+    return F.lit(f"Which marks has the teacher written in red on this page? Reply as {COUNT_FORMAT}, with no entries if there are none.")
+
+
 def mc_prompt(number: Column, correct: Column) -> Column:
     """Request for the letter marked in a multiple choice question."""
     hint = F.when(F.coalesce(correct, F.lit("")) != "", F.concat(F.lit(" Key: "), correct, F.lit("."))).otherwise("")

@@ -138,9 +138,10 @@ def match_folders(requests: DataFrame, catalogue: DataFrame, keys: Sequence[str]
     """Folder of every request ``keys, request_id, explicit, hint`` in a catalogue ``keys, dir, pos, mtime``.
 
     An explicit path wins, then an equal name, then the most similar one with a floor for
-    containment, then the newest folder that names a test or an exam.
+    containment, then the newest folder that names a test or an exam. Hidden folders are no candidates.
     """
     keys = list(keys)
+    catalogue = catalogue.filter(~F.col("dir").startswith("."))
     names = _candidates(catalogue, keys, "dir", "pos")
     hints = (requests.filter(F.col("hint").isNotNull() & (F.col("hint") != ""))
              .select(*keys, strip(F.lower("hint")).alias("low")).distinct())

@@ -14,6 +14,8 @@ from gradelake.operators.grade import in_id_order, page_lists
 # Cells of the printed tables.
 ABSENT = "–"
 NO_QUESTIONS = "none"
+UPRIGHT_PAGES = "All pages already upright"
+TURNED_PAGES = " page(s) rotated via Tesseract OSD"
 
 
 def results_matrix(grades: DataFrame, leaves: Sequence[str]) -> DataFrame:
@@ -68,6 +70,13 @@ def extraction_table(records: DataFrame, fields: Sequence[str]) -> DataFrame:
                           *[F.coalesce(f, F.lit("?")).alias(f) for f in fields])
 
 
+def detected_rotation_summary(kept: DataFrame) -> DataFrame:
+    """Sentence per scan where a recogniser turned the kept pages ``scan_id, rotation``."""
+    counted = kept.groupBy("scan_id").agg(F.count("*").alias("kept"), F.count_if(F.col("rotation") != 0).alias("turned"))
+    text = F.when(F.col("turned") > 0, F.concat(F.col("turned").cast("string"), F.lit(TURNED_PAGES))).otherwise(UPRIGHT_PAGES)
+    return counted.select("scan_id", "kept", text.alias("summary"))
+
+
 def rotation_summary(kept: DataFrame) -> DataFrame:
     """Sentence per scan on the orientation of the kept pages ``scan_id, rotation, landscape``."""
     per_rotation = kept.groupBy("scan_id", "rotation").agg(
@@ -81,7 +90,7 @@ def rotation_summary(kept: DataFrame) -> DataFrame:
     parts = F.array_join(F.transform("rots", lambda r: F.format_string("%d at %d°", r["n"], r["rotation"])), ", ")
     text = (F.when(F.col("land") == F.col("kept"), F.concat(F.lit("All "), n, F.lit(" pages corrected from landscape to portrait")))
             .when(F.col("land") > 0, F.concat(land, F.lit(" of "), n, F.lit(" pages corrected from landscape to portrait")))
-            .when((F.size("rots") == 1) & (only == 0), "All pages already upright")
+            .when((F.size("rots") == 1) & (only == 0), UPRIGHT_PAGES)
             .when(F.size("rots") == 1, F.format_string("All pages at %d°", only))
             .otherwise(F.concat(F.lit("Mixed orientation: "), parts)))
     return summed.select("scan_id", "kept", F.col("land").alias("landscape"), text.alias("summary"))

@@ -58,9 +58,22 @@ def _text(doc: Column, path: str) -> Column:
     return F.try_variant_get(doc, path, "string")
 
 
-def _whole(text: Column) -> Column:
-    """Integer value; fractions are cut."""
-    return F.when(text.rlike(r"^\s*[+-]?\d+(\.\d+)?\s*$"), text.try_cast("double").try_cast("int"))
+def _is_text(doc: Column, path: str) -> Column:
+    return F.schema_of_variant(F.try_variant_get(doc, path, "variant")) == "STRING"
+
+
+def _whole(doc: Column, path: str) -> Column:
+    """Integer value: a number loses its fraction, a text has to be a whole number."""
+    text = _text(doc, path)
+    shape = F.when(_is_text(doc, path), text.rlike(r"(?U)^\s*[+-]?\d+\s*\z")).otherwise(text.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"))
+    return F.when(shape, strip(text).try_cast("double").try_cast("int"))
+
+
+def _truthy(doc: Column, path: str) -> Column:
+    """Any text but the empty one, any number but 0, true, and lists and objects with content."""
+    text = F.lower(F.coalesce(_text(doc, path), F.try_variant_get(doc, path, "variant").cast("string"), F.lit("")))
+    number = F.coalesce(text.try_cast("double"), F.lit(1.0))
+    return F.when(F.coalesce(_is_text(doc, path), F.lit(False)), text != "").otherwise(~text.isin("", "false", "null", "[]", "{}") & (number != 0))
 
 
 def validated_request(df: DataFrame, raw: str = "raw", dpi: Column | None = None) -> DataFrame:
@@ -75,14 +88,13 @@ def validated_request(df: DataFrame, raw: str = "raw", dpi: Column | None = None
     mode = F.regexp_replace(F.lower(strip(F.coalesce(F.nullif(flt("mode"), F.lit("")), F.lit("all")))), "[- ]", "_")
     names = F.filter(F.coalesce(F.try_variant_get(d, "$.student_filter.names", "array<string>"), F.expr("cast(array() as array<string>)")),
                      lambda x: x.isNotNull())
-    df = df.withColumns({"_mode": mode, "_names": names, "_n": F.coalesce(_whole(flt("n")), F.lit(0))})
+    df = df.withColumns({"_mode": mode, "_names": names, "_n": F.coalesce(_whole(d, "$.student_filter.n"), F.lit(0))})
     ok_mode = (F.when((F.col("_mode") == "specific") & (F.size("_names") > 0), "specific")
                .when((F.col("_mode") == "first_n") & (F.col("_n") > 0), "first_n").otherwise("all"))
-    step = _whole(_text(d, "$.through_step"))
-    flags = {s: F.lower(F.coalesce(_text(d, f"$.{s}"), F.lit(""))) for s in SWITCHES}
-    on = {s: ~v.isin("", "false", "0") for s, v in flags.items()}
+    step = _whole(d, "$.through_step")
+    on = {s: _truthy(d, f"$.{s}") for s in SWITCHES}
     both = on["skip_clean_scan"] & on["force_clean_scan"]
-    read_dpi = F.coalesce(_whole(_text(d, "$.dpi")), F.lit(DEFAULT_DPI))
+    read_dpi = F.coalesce(_whole(d, "$.dpi"), F.lit(DEFAULT_DPI))
     model = {
         "task_type": F.coalesce(_text(d, "$.task_type"), F.col("task_type")),
         "mode": ok_mode,

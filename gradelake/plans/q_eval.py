@@ -180,7 +180,9 @@ select s.scan_id, s.student, coalesce("1", '–') as q1, coalesce("2", '–') as
 from ({SCORES_SQL}) s left join p using (scan_id, student)""")
 def rep_eval_matrix(spark, sf_dir):
     matched, cells = evaluation(spark, sf_dir)
-    return eval_matrix(cells, evaluate.student_scores(matched, cells), [str(i) for i in range(1, 8)])
+    # The leaves of an exam are a short list, read from its questions.
+    ids = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("string").alias("q")).distinct().collect()
+    return eval_matrix(cells, evaluate.student_scores(matched, cells), sorted((r["q"] for r in ids), key=lambda q: (len(q), q)))
 
 
 # ---- extraction records --------------------------------------------------------------------------------

@@ -181,3 +181,18 @@ def test_deep_trees_survive(spark):
     raw = docs.select("exam_id", F.concat(F.lit('{"schema_version":%d,"questions":[' % tree.SCHEMA_VERSION), "doc", F.lit("]}")).alias("raw"))
     back, rejected = tree.read_documents(raw)
     assert {(tuple(r.path), r.number, r.text) for r in back.collect()} == {(tuple(r[1]), r[2], r[4]) for r in rows} and rejected.count() == 0
+
+
+def test_request_types(spark):
+    raws = ['{"student_filter": {"mode": "first_n", "n": "3.7"}, "rescaffold": "false"}', '{"student_filter": {"mode": "first_n", "n": 3.7}, "rescaffold": false}',
+            '{"student_filter": {"mode": "first_n", "n": " 4 "}, "rescaffold": 0, "no_report": "0"}', '{"rescaffold": [], "no_report": [1], "dpi": "200"}']
+    df = request.keyword_request(spark.createDataFrame(list(enumerate(raws)), "i int, raw string").withColumn("prompt", F.lit("check")))
+    got = request.validated_request(df).orderBy("i").collect()
+    assert [(r.mode, r.n, r.rescaffold, r.no_report, r.dpi) for r in got] == [("all", 0, True, False, 400), ("first_n", 3, False, False, 400), ("first_n", 4, False, True, 400), ("all", 0, False, True, 200)]
+
+
+def test_turned_pages(spark):
+    from gradelake.operators.report import detected_rotation_summary
+
+    kept = spark.createDataFrame([(1, 90), (1, 0), (2, 0)], "scan_id int, rotation int")
+    assert {(r.scan_id, r.kept, r.summary) for r in detected_rotation_summary(kept).collect()} == {(1, 2, "1 page(s) rotated via Tesseract OSD"), (2, 1, "All pages already upright")}
