@@ -15,7 +15,7 @@ HEADLINE = (
     "agg_count_marks", "agg_attempted_union", "mdl_grade_students", "win_forward_fill_name", "agg_vote_ensemble", "agg_vote_multipass",
     "src_ground_truth", "agg_eval_overall", "join_fuzzy_name", "fn_parse_json_safe", "agg_total_marks", "agg_rollup_tree_marks", "merge_answer_key",
     "sink_scaffold_json", "geo_layout_cells", "win_segments", "win_subpart_slices", "win_mark_scheme_rows", "geo_project_bbox", "geo_adjusted_boxes",
-    "agg_raster_stats", "ras_otsu_threshold",
+    "agg_raster_stats", "ras_otsu_threshold", "mdl_assign_pages", "geo_build_questions", "ras_deskew_angle", "ras_handwriting_flag", "ras_ruling_lines",
 )
 
 
