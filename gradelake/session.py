@@ -58,5 +58,15 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unstaged(df: DataFrame) -> None:
+    """Delete a table of :func:`staged` that nothing will read again."""
+    folders = {file.rsplit("/", 1)[0] for file in df.inputFiles()}
+    shared = shared_folder(df.sparkSession)
+    for folder in folders:
+        if folder.split(":", 1)[-1].replace("//", "/").startswith(shared.split(":", 1)[-1].replace("//", "/")):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
