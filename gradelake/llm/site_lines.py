@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradelake.llm.shared import free_name
+from gradelake.session import staged
 
 RATIO = 0.02
 MIN_PAGES = 3
+#: Groups of a site's pages in a join.
+SALTS = 8
 
 _HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
 _BLOCKS = r"(?i)</?(?:p|br|hr|div|h[1-6]|li|ul|ol|dl|dt|dd|tr|td|th|table|article|aside|header|footer|main|nav|section|title|head|body|html|blockquote|pre)\b[^<>]*>"
@@ -62,15 +65,17 @@ def drop_lines(
     Repeated pages count each. A page without a site keeps all lines; with ``spare_whole`` so does a page that
     would lose all but blank lines. Columns that the names would hide are replaced; an empty table gives no rows.
     """
-    key, found = free_name(pages, "__site"), boilerplate(pages, site, lines, ratio, min_pages)
-    found = found.select(F.col("site").alias(key), F.col("common").alias("__common"))
+    key, salt = free_name(pages, "__site"), free_name(pages, "__salt")
+    # Written, so that Spark knows its size and sends it to all tasks where its limit allows; else the pages of a site are dealt to SALTS groups.
+    found = staged(boilerplate(pages, site, lines, ratio, min_pages), "boilerplate")
+    found = found.select(F.col("site").alias(key), F.col("common").alias("__common"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
     all_, kept = F.col("__lines"), F.col("__kept")
-    rows = pages.withColumns({key: site, "__lines": lines}).join(found, key, "left")
+    rows = pages.withColumns({key: site, salt: (F.monotonically_increasing_id() % SALTS).cast("int")}).join(found, [key, salt], "left").withColumn("__lines", lines)
     rows = rows.withColumn("__kept", F.when(F.col("__common").isNull(), all_).otherwise(F.filter(all_, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__common"), _digest(x)))))
     if spare_whole:
         rows = rows.withColumn("__kept", F.when(F.exists(kept, lambda x: F.trim(x) != ""), kept).otherwise(all_))
     rows = rows.withColumns({out: kept, f"{out}_dropped": F.size(all_) - F.size(kept)})
-    return rows.drop(key, "__common", "__lines", "__kept")
+    return rows.drop(key, salt, "__common", "__lines", "__kept")
 
 
 def site_relative_sql(ratio: float = RATIO, min_pages: int = MIN_PAGES) -> str:
