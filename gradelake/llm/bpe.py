@@ -14,6 +14,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from gradelake.llm.shared import small_batches
+
 #: Longest pre-token and most pre-tokens of one generation that a task remembers.
 REMEMBERED_CHARS, REMEMBERED = 48, 150_000
 
@@ -138,6 +140,7 @@ class Tokenizer:
     """
 
     def __init__(self, spark: SparkSession, path: str, pattern: str) -> None:
+        small_batches(spark)
         self.vocabulary: Broadcast = spark.sparkContext.broadcast((read_ranks(path), pattern))
 
     def encode(self, text: Column) -> Column:

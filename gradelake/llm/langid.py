@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.llm.shared import remainder
+from gradelake.llm.shared import remainder, small_batches
 
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -176,6 +176,7 @@ def learn(documents: DataFrame, usable: Column, key: str = "doc_id", text: str =
     windows spread over the whole of each text; only these reach the driver. Null texts, texts without a
     letter and null labels are left out; without any label the network knows no language.
     """
+    small_batches(documents.sparkSession)
     labelled = documents.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
@@ -208,6 +209,7 @@ def predict(documents: DataFrame, net: Network, text: str = "text", out: str = "
     The text alone decides. A null text, or one without a letter, is ``und`` with score zero; equal texts get
     equal results; other columns stay. An existing column of that name is replaced.
     """
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(net)  # of fixed size
 
     @F.pandas_udf("lang string, score double")

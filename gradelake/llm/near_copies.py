@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradelake.llm.components import components
+from gradelake.llm.shared import small_batches
 from gradelake.session import staged
 
 SEED = 42
@@ -127,6 +128,7 @@ def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", shin
     only where its whole group has none; of repeated keys in a group the row with the smallest fingerprint
     stays, then the one with the smallest text. An empty table gives no rows.
     """
+    small_batches(documents.sparkSession)
     rows = documents.select(F.col(key).cast("long").alias("key"), coded(F.col(text), shingle).alias("f")).select("key", "f.*")
     rows = staged(rows, "wide")
     codes = rows.groupBy(*CODE).agg(F.min("key").alias("least"), F.min("slots").alias("slots"))

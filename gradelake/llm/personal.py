@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradelake.llm.shared import small_batches
 from gradelake.session import staged
 
 KINDS = ("email", "ip", "card", "phone")
@@ -198,6 +199,7 @@ def find(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     Texts are read once and not shuffled; mentions, word counts and spans are. A null or empty text has no
     span; repeated keys keep their rows; no other column is read; an empty table gives no rows.
     """
+    small_batches(documents.sparkSession)
     rows = documents.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInPandas(_read, _ROWS)
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "read")
     each = rows.where("not part").select("row", F.explode("found").alias("m")).select("row", "m.*")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradelake.llm.components import components
+from gradelake.llm.shared import small_batches
 from gradelake.session import staged
 
 SEED = 42
@@ -82,6 +83,7 @@ def links(codes: DataFrame, crowded: int = CROWDED) -> DataFrame:
 
 def _members(documents: DataFrame, key: str, text: str, shingle: int, crowded: int) -> DataFrame:
     """``key, code, root, reached`` of each row; the root is some code of its component."""
+    small_batches(documents.sparkSession)
     rows = documents.select(F.col(key).cast("long").alias("key"), fingerprint(F.col(text), shingle).alias("code"))
     rows = staged(rows, "fingerprints")
     codes = staged(rows.groupBy("code").agg(F.min("key").alias("least")), "codes")
