@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradelake.llm import maxent
-from gradelake.llm.shared import remainder
-from gradelake.session import staged
+from gradelake.llm.shared import remainder, small_batches
+from gradelake.session import staged, unstaged
 
 FOLDS, HELD_OUT = 7, 2
 #: Tokens of a chunk: the texts that share a local vocabulary. A longer text is a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 21
 #: Rows in which a task hands on its sums.
 SLICES = 16
 
@@ -27,11 +27,15 @@ _INFO = np.dtype([("hash", "<u4"), ("class", "<i2"), ("member", "<i2"), ("inner"
 
 
 def _packed(data: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data.tobytes())
+    """Compressed values; first all lowest bytes, then the next ones, so that small numbers take little room."""
+    planes = np.ascontiguousarray(data).view(np.uint8).reshape(len(data), data.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def _unpacked(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    kind = np.dtype(kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind)[:, 0]
 
 
 def _held(sums: np.ndarray) -> np.ndarray:
@@ -39,7 +43,10 @@ def _held(sums: np.ndarray) -> np.ndarray:
 
 
 def _chunked(batches_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts as numbers of a local vocabulary; number 0 ends each text. Words are counted where they may be learned from."""
+    """Texts as numbers of a local vocabulary; number 0 ends each text. Words are counted where they may be learned from.
+
+    Frequent words have small numbers.
+    """
     keys: list = []
     sums: list[int] = []
     lengths: list[int] = []
@@ -49,9 +56,14 @@ def _chunked(batches_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def chunk() -> pd.DataFrame:
         ids = np.concatenate(parts)
+        order = np.argsort(-np.bincount(ids, minlength=len(numbers) + 1)[1:], kind="stable")
+        rank = np.zeros(len(numbers) + 1, np.int32)
+        rank[1 + order] = np.arange(1, len(numbers) + 1)
+        ids = rank[ids]
         learn = np.repeat(~_held(np.array(sums)), lengths)
         counts = np.bincount(ids[learn], minlength=len(numbers) + 1)[1:].astype(np.int32)
-        row = [keys[:], sums[:], lengths[:], _packed(ids), [w.decode("utf-8") for w in numbers], counts]
+        words = list(numbers)
+        row = [keys[:], sums[:], lengths[:], _packed(ids), [words[i].decode("utf-8") for i in order.tolist()], counts]
         for x in (keys, sums, lengths, parts, numbers):
             x.clear()
         return pd.DataFrame([row], columns=["keys", "sums", "lengths", "ids", "words", "counts"])
@@ -129,13 +141,13 @@ def _vocabulary(chunks: DataFrame, counted: DataFrame) -> Vocabulary:
 
 
 def _asked(vocabulary):
-    """For each chunk, its words with their counts in the corpus in place of the words."""
+    """For each chunk, its words with their counts in the corpus in place of the words; those without an answer stand in no other chunk."""
 
     def ready(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = left[["keys", "sums", "lengths", "ids"]]
         info = []
-        for words in left["words"]:
-            counts = np.zeros(len(words), np.int64)
+        for words, own in zip(left["words"], left["counts"], strict=True):
+            counts = np.array(own, dtype=np.int64)
             counts[right["place"].to_numpy()] = right["c"].to_numpy()
             info.append(_packed(vocabulary.value.info([w.encode("utf-8") for w in words], counts)))
         return out.assign(info=info)
@@ -217,15 +229,19 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     has its end alone; repeated keys keep their rows; no other column is read; an empty table gives no rows.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     rows = documents.select(F.col(key).cast("long").alias("key"), F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("sum"), F.col(text).alias("text"))
     chunks = staged(rows.mapInPandas(_chunked, _CHUNKS).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
     seen = chunks.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.counts").cast("long").alias("c")).where("c > 0")
     counted = staged(seen.groupBy("word").agg(F.sum("c").alias("c")), "vocabulary")
     vocabulary = _vocabulary(chunks, counted)
-    asked = chunks.select("chunk", F.posexplode("words").alias("place", "word")).join(counted, "word").select(F.col("chunk").alias("of"), "place", "c")
+    own = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w"))
+    own = own.select(F.col("chunk").alias("of"), "place", F.col("w.words").alias("word"), F.col("w.counts").alias("own"))
+    asked = own.join(counted, "word").where("c <> own").select("of", "place", "c")
     shared = spark.sparkContext.broadcast(vocabulary)  # of fixed size
-    ready = chunks.drop("counts").groupBy("chunk").cogroup(asked.groupBy("of")).applyInPandas(_asked(shared), _READY)
+    ready = chunks.groupBy("chunk").cogroup(asked.groupBy("of")).applyInPandas(_asked(shared), _READY)
     ready = staged(ready, "ready")
+    unstaged(chunks)
     weights = spark.sparkContext.broadcast(_train(ready))
     tokens, symbols = vocabulary.tokens, vocabulary.kinds + 1
 
