@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,10 +61,10 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
 
 def unstaged(df: DataFrame) -> None:
     """Delete a table of :func:`staged` that nothing will read again."""
-    folders = {file.rsplit("/", 1)[0] for file in df.inputFiles()}
-    shared = shared_folder(df.sparkSession)
-    for folder in folders:
-        if folder.split(":", 1)[-1].replace("//", "/").startswith(shared.split(":", 1)[-1].replace("//", "/")):
+    bare = lambda path: re.sub("/+", "/", path.split(":", 1)[-1])
+    shared = bare(shared_folder(df.sparkSession)) + "/"
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if bare(folder).startswith(shared):
             path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
