@@ -20,6 +20,7 @@ from pyspark.sql.types import DoubleType
 
 from gradelake.functions.replies import FAILED_NAME, NO_NAME
 from gradelake.functions.text import strip
+from gradelake.session import staged
 
 # Acceptance of a similar name, floor for containment, words of exam folders.
 MIN_RATIO = 0.6
@@ -110,13 +111,15 @@ def match_names(reads: DataFrame, roster: DataFrame, keys: Sequence[str] = ("sca
     """``keys, read, matched, tier`` for every distinct usable read that has a match.
 
     Tier 1 equal, tier 2 contained either way, tier 3 most similar; the first roster entry wins
-    inside tiers 1 and 2 and among equal ratios.
+    inside tiers 1 and 2 and among equal ratios. The distinct names of both sides are written
+    once, as every tier reads them again.
     """
     keys = list(keys)
-    names = _candidates(roster, keys, name, pos)
+    names = staged(_candidates(roster, keys, name, pos), "candidates")
     usable = (reads.select(*keys, read).distinct()
               .filter(F.col(read).isNotNull() & (F.col(read) != "") & ~F.col(read).isin(NO_NAME, FAILED_NAME))
               .withColumn("low", strip(F.lower(read))))
+    usable = staged(usable, "reads")
     low = usable.select(*keys, "low").distinct()
     equal = low.join(names.withColumnRenamed("clow", "low"), [*keys, "low"]).select(
         *keys, "low", F.col("first.cand").alias("matched"), F.lit(1).alias("tier"))
