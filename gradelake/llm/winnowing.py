@@ -139,7 +139,7 @@ def with_next(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
             lambda at, step: F.when((at + step <= len(ends)) & (F.element_at(table, F.least(at + step, F.lit(len(ends)))) < F.col("key")), at + step).otherwise(at),
         )
         part = F.coalesce(below, F.lit(0))
-        first = F.col("key").isin(ends) if len(ends) <= 64 else F.element_at(table, F.least(part + 1, F.lit(len(ends)))) == F.col("key")
+        first = F.element_at(table, F.least(part + 1, F.lit(len(ends)))) == F.col("key")
         # The largest key of a range opens it; it also closes the range above, the largest key of all the lowest range.
         closes = F.when(F.coalesce(first, F.lit(False)), (part + 1) % len(ends))
         places = F.array(F.struct(part.alias("part"), F.lit(False).alias("guest")), F.struct(closes.alias("part"), F.lit(True).alias("guest")))
