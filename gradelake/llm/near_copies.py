@@ -87,36 +87,53 @@ def _distance(a: str, b: str) -> Column:
     return F.expr(" + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in CODE))
 
 
-def links(codes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs ``a, b`` of ids that connect all looked-up pairs of ``id, c0..c3, slots`` at that similarity.
+def roots(codes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``id, root`` of the ``id, c0..c3, slots`` that links at that similarity connect; single codes may be absent.
 
     Every code stands in the table under its own value of each segment and looks up its slots; pairs that
     meet in a slot are verified by the complete distance. In each slot the entry with the smallest id is the
-    pivot. Codes within reach of it are linked to it, and thereby to each other, so the join need not form
-    the pairs among them, which are the many where a slot is full of copies; it compares the codes beyond
-    the pivot's reach with every entry, and those within it with the entries beyond.
+    pivot. First, entries within reach of their pivots are linked to them, and the components of these links
+    give labels, so that most of a crowded group has one label. Lookups then only look for links between
+    labels: with the pivot, with entries beyond the pivot's reach, and, where the looked-up code is itself
+    beyond it, with all others. What remains, codes within reach of the same pivot, is linked by it.
     """
     most = reach(similarity)
     keep = ["id", *CODE]
-    table = codes.select(*keep, F.explode(F.filter("slots", lambda x, i: i % len(_FLIPS) == 0)).alias("slot"))
+    own = F.filter("slots", lambda x, i: i % len(_FLIPS) == 0)
+    table = codes.select(*keep, F.explode(own).alias("slot"))
+    shared = table.groupBy("slot").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n"))
+    pivots = shared.join(codes.select(F.col("id").alias("pivot"), *CODE), "pivot")
+    pivots = staged(pivots.select("slot", "n", F.col("pivot").alias("id"), *CODE), "pivots")
+
+    near = _distance("x", "p") <= most
+    both = F.col("x.slot") == F.col("p.slot")
+    crowded = pivots.where("n > 1")
+    linked = table.alias("x").join(crowded.alias("p"), both & near & (F.col("x.id") != F.col("p.id")))
+    first = components(linked.select(F.col("x.id").alias("a"), F.col("p.id").alias("b")))
+    first = staged(first.select(F.col("node").alias("id"), F.col("root").alias("label")), "labels")
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(first, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+    codes = staged(labelled(codes), "labelled")
+    pivots = staged(labelled(pivots), "pivots")
+    crowded = pivots.where("n > 1")
+    keep = [*keep, "label"]
+    table = codes.select(*keep, F.explode(own).alias("slot"))
     probes = codes.select(*keep, F.explode("slots").alias("slot"))
-    shared = table.groupBy("slot").agg(F.min("id").alias("pivot"))
-    pivots = shared.join(codes.select(F.col("id").alias("pivot"), *CODE), "pivot").select("slot", "pivot", *CODE)
-    pivots = staged(pivots, "pivots").alias("p")
+    entries = table.alias("x").join(crowded.alias("p"), both & (F.col("x.id") != F.col("p.id")))
+    inside = entries.where(near).select(*(f"x.{c}" for c in (*keep, "slot")))
+    outside = entries.where(~near).select(*(f"x.{c}" for c in (*keep, "slot")))
+    stray = probes.alias("x").join(crowded.alias("p"), both & ~near).select(*(f"x.{c}" for c in (*keep, "slot")))
 
-    def placed(rows: DataFrame) -> DataFrame:
-        both = rows.alias("x").join(pivots, "slot")
-        return both.select("slot", *(f"x.{c}" for c in keep), "pivot", (_distance("x", "p") <= most).alias("near"))
+    def between(rows: DataFrame, others: DataFrame) -> DataFrame:
+        other = (F.col("x.label") != F.col("p.label")) & (_distance("x", "p") <= most)
+        return rows.alias("x").join(others.alias("p"), both & other).select(F.col("x.label").alias("a"), F.col("p.label").alias("b"))
 
-    near, entries = placed(probes), placed(table).alias("y")
-    apart = (F.col("x.id") != F.col("y.id")) & (_distance("x", "y") <= most)
-    same = (F.col("x.slot") == F.col("y.slot")) & apart
-    ends = [F.col("x.id").alias("a"), F.col("y.id").alias("b")]
-    beyond = near.where(~F.col("near")).alias("x").join(entries, same).select(*ends)
-    within = near.where("near").alias("x").join(entries.where("not near"), same).select(*ends)
-    stars = near.where("near and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    pairs = beyond.unionByName(within).unionByName(stars)
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    further = between(probes, pivots).unionByName(between(probes, outside)).unionByName(between(stray, inside))
+    second = components(further).withColumnRenamed("node", "label")
+    joined = codes.select("id", "label").join(second, "label", "left")
+    return joined.select("id", F.coalesce("root", "label").alias("root"))
 
 
 def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
@@ -133,8 +150,7 @@ def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", shin
     rows = staged(rows, "wide")
     codes = rows.groupBy(*CODE).agg(F.min("key").alias("least"), F.min("slots").alias("slots"))
     codes = staged(codes.withColumn("id", F.monotonically_increasing_id()), "codes")
-    member = components(links(codes, similarity))
-    grouped = codes.select("id", "least", *CODE).join(member.withColumnRenamed("node", "id"), "id", "left")
+    grouped = codes.select("id", "least", *CODE).join(roots(codes.select("id", *CODE, "slots"), similarity), "id", "left")
     best = grouped.groupBy(F.coalesce("root", "id")).agg(F.min(F.struct(F.isnull("least"), "least", *CODE)).alias("best"))
     keys = ["__key", "__none", "__code"]
     best = best.select(
