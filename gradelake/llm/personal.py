@@ -168,12 +168,12 @@ def believe(seen: DataFrame, words: DataFrame) -> DataFrame:
     to contexts, a side and a word. A context's confidence in a kind is the belief in the values it stands
     with, summed over occurrences, divided by all occurrences of its word in the corpus, so a word of
     running text has none. It needs ``SUPPORT`` different values. A value's belief is one for a base entity
-    of that kind, else 1 - product(1 - confidence) over its different confident contexts. The rounds go on
-    until no further value is believed.
+    of that kind, else 1 - product(1 - confidence) over its different confident contexts, which may round to
+    one; a column of its own tells base entities apart. The rounds go on until no further value is believed.
     """
     edges = seen.groupBy("value", "kind", "side", "word").agg(F.count(F.lit(1)).alias("n"))
     edges = staged(edges, "edges")
-    known = staged(edges.where("kind is not null").select("value", F.col("kind").alias("as_kind"), F.lit(1.0).alias("belief")).distinct(), "known")
+    known = staged(edges.where("kind is not null").select("value", F.col("kind").alias("as_kind"), F.lit(1.0).alias("belief"), F.lit(True).alias("base")).distinct(), "known")
     believed = known.count()
     for _ in range(ROUNDS):
         met = edges.join(known, "value").where("kind is null or kind = as_kind")
@@ -182,13 +182,13 @@ def believe(seen: DataFrame, words: DataFrame) -> DataFrame:
         contexts = contexts.where(F.col("confidence") >= CONFIDENT).select("side", "word", "as_kind", "confidence")
         doubt = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-12))))
         open_ = edges.where("kind is null").select("value", "side", "word").distinct().join(contexts, ["side", "word"])
-        belief = open_.groupBy("value", "as_kind").agg((1 - F.exp(doubt)).alias("belief")).where(F.col("belief") >= BELIEVED)
-        known = staged(known.where("belief = 1.0").unionByName(belief.where("belief < 1.0")), "known")
+        belief = open_.groupBy("value", "as_kind").agg((1 - F.exp(doubt)).alias("belief"), F.lit(False).alias("base")).where(F.col("belief") >= BELIEVED)
+        known = staged(known.where("base").unionByName(belief), "known")
         now = known.count()
         if now <= believed:
             break
         believed = now
-    best = known.where("belief < 1.0").groupBy("value").agg(F.max(F.struct("belief", "as_kind")).alias("best"))
+    best = known.where("not base").groupBy("value").agg(F.max(F.struct("belief", "as_kind")).alias("best"))
     return best.select("value", F.col("best.as_kind").alias("as_kind"))
 
 

@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from gradelake.llm import personal
 
 
@@ -60,3 +62,15 @@ def test_discovery(spark):
         hidden = re.findall(r"user[0-9]+\(at\)host", text)
         assert new == hidden and all(s.kind == "email" for s in r.spans)
     assert personal.find(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("pure", [2, 4])
+def test_much_evidence_is_kept(spark, pure):
+    """Beliefs of values in several pure contexts round to one."""
+    contexts = [("left" if i % 2 else "right", f"pure{chr(97 + i)}") for i in range(pure)]
+    bases, new = [f"a{i}@b.c" for i in range(3000)], [f"a{i}(at)b" for i in range(3)]
+    rows = [("email", v, *c) for v in bases for c in contexts] + [(None, v, *c) for v in new for c in contexts]
+    seen = spark.createDataFrame(rows, "kind string, value string, side string, word string")
+    words = spark.createDataFrame([(w, len(bases) + len(new)) for _, w in contexts], "word string, n long")
+    got = {tuple(r) for r in personal.believe(seen, words).collect()}
+    assert got == {(v, "email") for v in new}
