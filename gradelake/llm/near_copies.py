@@ -1,4 +1,4 @@
-"""Near copies of whole texts by wide SimHash fingerprints, multi-index hashing and vote margins."""
+"""Near copies of whole texts: candidates by wide SimHash fingerprints, multi-index hashing and vote margins, links by exact Jaccard."""
 
 from __future__ import annotations
 
@@ -17,10 +17,12 @@ from gradelake.session import staged
 
 SEED = 42
 WIDTH = 256
-SEGMENTS, SEGMENT = 12, 20
+SEGMENTS, SEGMENT = 14, 18
 #: Bits of a segment, those with the closest votes, that lookups try both ways.
 DOUBTFUL = 3
 SIMILARITY = 0.8
+#: Texts with as many different shingles at most are also looked up by their smallest shingle hashes; bits in which such candidates may differ, as votes of few shingles often tie.
+SHORT, SHORT_REACH = 256, 80
 _BLOCK = 1 << 14
 _FLIPS = np.array(sorted(product((0, 1), repeat=DOUBTFUL)))
 _ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -29,12 +31,13 @@ CODE = ["c0", "c1", "c2", "c3"]
 
 
 def reach(similarity: float = SIMILARITY) -> int:
-    """Most differing bits at which the angle between shingle sets still means that cosine similarity."""
-    return int(WIDTH * math.acos(similarity) / math.pi)
+    """Bits in which candidates may differ: the mean at that Jaccard similarity of equal sizes, and four deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(WIDTH * share + 4 * math.sqrt(WIDTH * share * (1 - share)))
 
 
-def _votes(text: str | None, shingle: int) -> tuple[np.ndarray, int]:
-    """For each bit, in how many of the different shingles it is set; the number of shingles."""
+def _votes(text: str | None, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each bit, in how many of the different shingles it is set; the sorted hashes of the shingles."""
     tokens = (text or "").encode("utf-8").lower().split()  # bytes: ASCII letters and white space only
     grams = map(b" ".join, zip(*(tokens[i:] for i in range(shingle)), strict=False)) if len(tokens) >= shingle else [b" ".join(tokens)] if tokens else []
     digest = xxhash.xxh64_intdigest
@@ -49,17 +52,20 @@ def _votes(text: str | None, shingle: int) -> tuple[np.ndarray, int]:
             z = (z ^ (z >> np.uint64(27))) * np.uint64(_ODD[2])
             words[:, i] = z ^ (z >> np.uint64(31))
         votes += np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return votes, len(hashes)
+    return votes, hashes
 
 
-def text_code(text: str | None, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """The fingerprint as four signed numbers, and the table slots where a text is looked up.
+def text_code(text: str | None, shingle: int = 5, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The fingerprint as four signed numbers, the table slots where a text is looked up, and its shingles' hashes.
 
     A slot is a segment's number and a value of its bits: of each segment first the own value, then those
     with one to ``DOUBTFUL`` of its bits flipped. The flipped bits are the ones whose vote was closest; a
-    copy with small changes differs there first.
+    copy with small changes differs there first. A short text, in which such bits are many, has negative
+    slots besides: of n shingles the n - ceil(similarity n) + 1 with the smallest hashes, of which two texts
+    with that Jaccard similarity always share one.
     """
-    votes, n = _votes(text, shingle)
+    votes, hashes = _votes(text, shingle)
+    n = len(hashes)
     bits = 2 * votes > n
     code = np.packbits(bits, bitorder="little").view(np.int64)
     used = SEGMENTS * SEGMENT
@@ -67,18 +73,24 @@ def text_code(text: str | None, shingle: int = 5) -> tuple[np.ndarray, np.ndarra
     own = (bits[:used].reshape(SEGMENTS, SEGMENT) * weights).sum(axis=1)
     doubt = np.argsort(np.abs(2 * votes[:used] - n).reshape(SEGMENTS, SEGMENT), axis=1, kind="stable")[:, :DOUBTFUL]
     flips = (_FLIPS[None] * weights[doubt][:, None]).sum(axis=2)
-    slots = (np.arange(SEGMENTS)[:, None] << SEGMENT) + (own[:, None] ^ flips)
-    return code, slots.ravel().astype(np.int32)
+    slots = ((np.arange(SEGMENTS)[:, None] << SEGMENT) + (own[:, None] ^ flips)).ravel()
+    if 0 < n <= SHORT:
+        first = hashes[: n - math.ceil(similarity * n - 1e-9) + 1]
+        slots = np.concatenate([slots, np.unique(-1 - (first >> np.uint64(33)).astype(np.int64))])
+    return code, slots.astype(np.int32), hashes.view(np.int64)
 
 
-def coded(text: Column, shingle: int = 5) -> Column:
-    """Struct of the fingerprint's four numbers and the lookup slots."""
+def coded(text: Column, shingle: int = 5, similarity: float = SIMILARITY, grams: bool = False) -> Column:
+    """Struct of the fingerprint's four numbers and the lookup slots, with ``grams`` also the shingles' hashes."""
 
-    @F.pandas_udf("c0 long, c1 long, c2 long, c3 long, slots array<int>")
+    @F.pandas_udf("c0 long, c1 long, c2 long, c3 long, slots array<int>" + ", grams array<long>" * grams)
     def code(texts: pd.Series) -> pd.DataFrame:
-        found = [text_code(t, shingle) for t in texts]
-        codes = np.array([c for c, _ in found], dtype=np.int64).reshape(-1, len(CODE))
-        return pd.DataFrame({name: codes[:, i] for i, name in enumerate(CODE)} | {"slots": pd.Series([s for _, s in found], dtype=object)})
+        found = [text_code(t, shingle, similarity) for t in texts]
+        codes = np.array([c for c, _, _ in found], dtype=np.int64).reshape(-1, len(CODE))
+        lists = {"slots": pd.Series([s for _, s, _ in found], dtype=object)}
+        if grams:
+            lists["grams"] = pd.Series([g for _, _, g in found], dtype=object)
+        return pd.DataFrame({name: codes[:, i] for i, name in enumerate(CODE)} | lists)
 
     return code(text)
 
@@ -87,70 +99,82 @@ def _distance(a: str, b: str) -> Column:
     return F.expr(" + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in CODE))
 
 
-def roots(codes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def alike(pairs: DataFrame, codes: DataFrame, grams: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of the ``pairs`` of ids ``a, b`` whose shingle sets have that Jaccard similarity, counted exactly.
+
+    ``grams`` has the shingles' hashes by fingerprint; only sets of texts that stand in a pair are moved.
+    """
+    pairs = staged(pairs.distinct(), "candidates")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = ids.join(codes.select("id", *CODE), "id")
+    sets = staged(grams.select(*CODE, "grams").join(wanted, CODE).groupBy("id").agg(F.min("grams").alias("grams")), "sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
+    common = F.size(F.array_intersect("ga", "gb"))
+    return both.where(common >= similarity * (F.size("ga") + F.size("gb") - common) - 1e-9).select(*pairs.columns)
+
+
+def roots(codes: DataFrame, grams: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``id, root`` of the ``id, c0..c3, slots`` that links at that similarity connect; single codes may be absent.
 
     Every code stands in the table under its own value of each segment and looks up its slots; pairs that
-    meet in a slot are verified by the complete distance. In each slot the entry with the smallest id is the
-    pivot. First, entries within reach of their pivots are linked to them, and the components of these links
-    give labels, so that most of a crowded group has one label. Lookups then only look for links between
-    labels: with the pivot, with entries beyond the pivot's reach, and, where the looked-up code is itself
-    beyond it, with all others. What remains, codes within reach of the same pivot, is linked by it.
+    meet in a slot are candidates if the complete distance is within reach, and links if ``grams`` confirm
+    it. In each slot the entry with the smallest id is the pivot. First, entries are linked to their pivots,
+    and the components of these links give labels, so that most of a crowded group has one label; then
+    lookups are linked to the pivots. What remains are lookups of entries that don't have their pivot's
+    label, and lookups without their pivot's label of all other entries; pairs of one label are connected.
     """
-    most = reach(similarity)
     keep = ["id", *CODE]
-    own = F.filter("slots", lambda x, i: i % len(_FLIPS) == 0)
-    table = codes.select(*keep, F.explode(own).alias("slot"))
-    shared = table.groupBy("slot").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n"))
-    pivots = shared.join(codes.select(F.col("id").alias("pivot"), *CODE), "pivot")
-    pivots = staged(pivots.select("slot", "n", F.col("pivot").alias("id"), *CODE), "pivots")
-
-    near = _distance("x", "p") <= most
+    own = F.filter("slots", lambda x, i: (i < SEGMENTS * len(_FLIPS)) & (i % len(_FLIPS) == 0) | (x < 0))
     both = F.col("x.slot") == F.col("p.slot")
-    crowded = pivots.where("n > 1")
-    linked = table.alias("x").join(crowded.alias("p"), both & near & (F.col("x.id") != F.col("p.id")))
-    first = components(linked.select(F.col("x.id").alias("a"), F.col("p.id").alias("b")))
-    first = staged(first.select(F.col("node").alias("id"), F.col("root").alias("label")), "labels")
+    near = _distance("x", "p") <= F.when(F.col("x.slot") < 0, SHORT_REACH).otherwise(reach(similarity))
+    other = F.col("x.label") != F.col("p.label")
 
-    def labelled(rows: DataFrame) -> DataFrame:
-        return rows.join(first, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    def confirmed(rows: DataFrame) -> DataFrame:
+        pairs = rows.select(F.col("x.id").alias("a"), F.col("p.id").alias("b"), F.col("x.label").alias("la"), F.col("p.label").alias("lb"))
+        return components(alike(pairs, codes, grams, similarity), "la", "lb").select(F.col("node").alias("label"), "root")
 
-    codes = staged(labelled(codes), "labelled")
-    pivots = staged(labelled(pivots), "pivots")
-    crowded = pivots.where("n > 1")
-    keep = [*keep, "label"]
-    table = codes.select(*keep, F.explode(own).alias("slot"))
-    probes = codes.select(*keep, F.explode("slots").alias("slot"))
-    entries = table.alias("x").join(crowded.alias("p"), both & (F.col("x.id") != F.col("p.id")))
-    inside = entries.where(near).select(*(f"x.{c}" for c in (*keep, "slot")))
-    outside = entries.where(~near).select(*(f"x.{c}" for c in (*keep, "slot")))
-    stray = probes.alias("x").join(crowded.alias("p"), both & ~near).select(*(f"x.{c}" for c in (*keep, "slot")))
+    def relabelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+        return staged(rows.join(found, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root"), "labelled")
+
+    codes = codes.withColumn("label", F.col("id"))
+    table = codes.select(*keep, "label", F.explode(own).alias("slot"))
+    shared = table.groupBy("slot").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n"))
+    pivots = shared.join(codes.select(F.col("id").alias("pivot"), *CODE, "label"), "pivot")
+    pivots = staged(pivots.select("slot", "n", F.col("pivot").alias("id"), *CODE, "label"), "pivots")
 
-    def between(rows: DataFrame, others: DataFrame) -> DataFrame:
-        other = (F.col("x.label") != F.col("p.label")) & (_distance("x", "p") <= most)
-        return rows.alias("x").join(others.alias("p"), both & other).select(F.col("x.label").alias("a"), F.col("p.label").alias("b"))
+    found = staged(confirmed(table.alias("x").join(pivots.where("n > 1").alias("p"), both & other & near)), "labels")
+    codes, pivots = relabelled(codes, found), relabelled(pivots, found)
+    probes = codes.select(*keep, "label", F.explode("slots").alias("slot"))
+    found = staged(confirmed(probes.alias("x").join(pivots.alias("p"), both & other & near)), "labels")
+    codes, pivots = relabelled(codes, found), relabelled(pivots, found)
 
-    further = between(probes, pivots).unionByName(between(probes, outside)).unionByName(between(stray, inside))
-    second = components(further).withColumnRenamed("node", "label")
-    joined = codes.select("id", "label").join(second, "label", "left")
-    return joined.select("id", F.coalesce("root", "label").alias("root"))
+    crowded = pivots.where("n > 1")
+    columns = [F.col(f"x.{c}") for c in (*keep, "label", "slot")]
+    table = codes.select(*keep, "label", F.explode(own).alias("slot"))
+    probes = codes.select(*keep, "label", F.explode("slots").alias("slot"))
+    entries = table.alias("x").join(crowded.alias("p"), both & (F.col("x.id") != F.col("p.id")))
+    outside, inside = entries.where(other).select(*columns), entries.where(~other).select(*columns)
+    stray = probes.alias("x").join(crowded.alias("p"), both & other).select(*columns)
+    further = [rows.alias("x").join(others.alias("p"), both & other & near) for rows, others in ((probes, outside), (stray, inside))]
+    further = [rows.select(F.struct("x.id", "x.label").alias("x"), F.struct("p.id", "p.label").alias("p")) for rows in further]
+    return relabelled(codes, confirmed(further[0].unionByName(further[1]))).select("id", F.col("label").alias("root"))
 
 
 def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group of near copies: the one with the smallest key; all columns stay.
 
-    Texts are similar if the cosine of their sets of word shingles, as the fingerprints measure it, is
-    ``similarity`` or more; a text of fewer words is one shingle. Groups are what links reach. Equal
+    Texts are similar if the Jaccard similarity of their sets of word shingles is ``similarity`` or more; a
+    text of fewer words is one shingle. Fingerprints only find the candidates. Groups are what links reach. Equal
     fingerprints, null and empty texts among them, are folded before any pairing. A row without a key stays
     only where its whole group has none; of repeated keys in a group the row with the smallest fingerprint
     stays, then the one with the smallest text. An empty table gives no rows.
     """
     small_batches(documents.sparkSession)
-    rows = documents.select(F.col(key).cast("long").alias("key"), coded(F.col(text), shingle).alias("f")).select("key", "f.*")
+    rows = documents.select(F.col(key).cast("long").alias("key"), coded(F.col(text), shingle, similarity, grams=True).alias("f")).select("key", "f.*")
     rows = staged(rows, "wide")
     codes = rows.groupBy(*CODE).agg(F.min("key").alias("least"), F.min("slots").alias("slots"))
     codes = staged(codes.withColumn("id", F.monotonically_increasing_id()), "codes")
-    grouped = codes.select("id", "least", *CODE).join(roots(codes.select("id", *CODE, "slots"), similarity), "id", "left")
+    grouped = codes.select("id", "least", *CODE).join(roots(codes.select("id", *CODE, "slots"), rows, similarity), "id", "left")
     best = grouped.groupBy(F.coalesce("root", "id")).agg(F.min(F.struct(F.isnull("least"), "least", *CODE)).alias("best"))
     keys = ["__key", "__none", "__code"]
     best = best.select(

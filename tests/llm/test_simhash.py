@@ -102,3 +102,17 @@ def test_near_copies(spark):
     ids = [r.doc_id for r in kept.collect()]
     assert kept.columns == frame.columns and len(ids) == len(set(ids)) and set(ids) == want | {None}
     assert near_copies.keep_one(frame.limit(0)).count() == 0
+
+
+def test_near_copies_by_exact_similarity(spark):
+    """Copies at Jaccard 0.8 are found, also among short texts, and texts below it stay."""
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], set()
+    for g in range(60):
+        nine, eight, long, most = fresh(9), fresh(8), fresh(204), fresh(204)
+        texts = [nine, nine[:8], eight, eight[:7] + fresh(2), long, long[:169] + fresh(35), most, most[:184] + fresh(20)]
+        rows += [(10 * g + i, " ".join(t)) for i, t in enumerate(texts)]
+        want |= {10 * g + i for i in (0, 2, 3, 4, 5, 6)}  # 4 of 5, 3 of 6, 165 of 235, 180 of 220 shingles are common
+    kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == want
