@@ -10,6 +10,8 @@ from gradelake.session import staged
 
 RATIO = 0.02
 MIN_PAGES = 3
+#: Largest share of its characters in lines that a page may lose where whole pages are spared.
+SPARED = 0.5
 #: Groups of a site's pages in a join.
 SALTS = 8
 
@@ -57,13 +59,18 @@ def boilerplate(pages: DataFrame, site: Column, lines: Column, ratio: float = RA
     return often.groupBy("site").agg(F.collect_list("line").alias("common"))
 
 
+def _characters(lines: Column) -> Column:
+    return F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.length(F.trim(x)))
+
+
 def drop_lines(
     pages: DataFrame, site: Column, lines: Column, out: str = "lines", ratio: float = RATIO, min_pages: int = MIN_PAGES, spare_whole: bool = False
 ) -> DataFrame:
     """The pages with two more columns: ``out``, the lines that stay in order, and ``<out>_dropped``, how many went.
 
     Repeated pages count each. A page without a site keeps all lines; with ``spare_whole`` so does a page that
-    would lose all but blank lines. Columns that the names would hide are replaced; an empty table gives no rows.
+    would lose more than ``SPARED`` of the characters of its trimmed lines, as near copies of one text would
+    that are many on a site. Columns that the names would hide are replaced; an empty table gives no rows.
     """
     key, salt = free_name(pages, "__site"), free_name(pages, "__salt")
     # Written, so that Spark knows its size and sends it to all tasks where its limit allows; else the pages of a site are dealt to SALTS groups.
@@ -73,7 +80,7 @@ def drop_lines(
     rows = pages.withColumns({key: site, salt: (F.monotonically_increasing_id() % SALTS).cast("int")}).join(found, [key, salt], "left").withColumn("__lines", lines)
     rows = rows.withColumn("__kept", F.when(F.col("__common").isNull(), all_).otherwise(F.filter(all_, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__common"), _digest(x)))))
     if spare_whole:
-        rows = rows.withColumn("__kept", F.when(F.exists(kept, lambda x: F.trim(x) != ""), kept).otherwise(all_))
+        rows = rows.withColumn("__kept", F.when(_characters(kept) >= (1 - SPARED) * _characters(all_), kept).otherwise(all_))
     rows = rows.withColumns({out: kept, f"{out}_dropped": F.size(all_) - F.size(kept)})
     return rows.drop(key, salt, "__common", "__lines", "__kept")
 

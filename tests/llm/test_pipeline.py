@@ -47,6 +47,17 @@ def test_stages_keep_columns_and_rows_without_flaws(spark, tmp_path):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_many_near_copies_of_a_source_leave_one_whole_text(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    line = lambda: " ".join(f"w{n}" for n in rng.integers(0, 10**6, 12))
+    base = [line() for _ in range(40)]
+    texts = ["\n".join([*base[:i], line(), *base[i + 1:]]) for i in range(6)] + ["\n".join(["menu of the site", line(), line()]) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long")
+    corpus_pipeline.drop_site_lines(spark, docs, SF).write.parquet(str(tmp_path / "lines"))
+    left = {r.doc_id: r.text for r in corpus_pipeline.keep_one_of_each_group(spark, spark.read.parquet(str(tmp_path / "lines")), SF).collect()}
+    assert left == {i: t.replace("menu of the site\n", "") for i, t in enumerate(texts) if i == 0 or i > 5}
+
+
 @needs_data
 def test_native_plans_have_no_python(spark):
     for name in ("op1_fingerprints", "op2_site_lines"):
