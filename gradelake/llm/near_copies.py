@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gradelake.llm.components import components
 from gradelake.llm.shared import small_batches
-from gradelake.session import staged
+from gradelake.session import staged, unstaged
 
 SEED = 42
 WIDTH = 256
@@ -99,26 +99,37 @@ def _distance(a: str, b: str) -> Column:
     return F.expr(" + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in CODE))
 
 
-def alike(pairs: DataFrame, codes: DataFrame, grams: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those of the ``pairs`` of ids ``a, b`` whose shingle sets have that Jaccard similarity, counted exactly.
+def alike(pairs: DataFrame, codes: DataFrame, texts: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """Labels ``la, lb`` of those of the ``pairs`` of ids ``a, b`` whose shingle sets have that Jaccard similarity, counted exactly.
 
-    ``grams`` has the shingles' hashes by fingerprint; only sets of texts that stand in a pair are moved.
+    Only texts under the keys of codes that stand in a pair are read again, for their shingles' hashes.
     """
     pairs = staged(pairs.distinct(), "candidates")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = ids.join(codes.select("id", *CODE), "id")
-    sets = staged(grams.select(*CODE, "grams").join(wanted, CODE).groupBy("id").agg(F.min("grams").alias("grams")), "sets")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    # Written, so that Spark knows its size before it would shuffle the texts.
+    wanted = staged(ids.join(codes.select("id", "least", *CODE), "id").select("id", *_keyed("least"), *CODE), "wanted")
+    fresh = texts.select(*_keyed("key"), "text").join(wanted.select("key", "none"), ["key", "none"], "left_semi")
+    fresh = fresh.select(coded(F.col("text"), shingle, similarity, grams=True).alias("f")).select(*(f"f.{c}" for c in CODE), "f.grams")
+    sets = staged(fresh.join(wanted.select("id", *CODE), CODE).groupBy("id").agg(F.min("grams").alias("grams")), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
     common = F.size(F.array_intersect("ga", "gb"))
-    return both.where(common >= similarity * (F.size("ga") + F.size("gb") - common) - 1e-9).select(*pairs.columns)
+    links = staged(both.where(common >= similarity * (F.size("ga") + F.size("gb") - common) - 1e-9).select("la", "lb").distinct(), "confirmed")
+    for done in (pairs, wanted, sets):
+        unstaged(done)
+    return links
 
 
-def roots(codes: DataFrame, grams: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``id, root`` of the ``id, c0..c3, slots`` that links at that similarity connect; single codes may be absent.
+def _keyed(key: str) -> tuple[Column, Column]:
+    """A key that joins rows without one too."""
+    return F.coalesce(key, F.lit(0)).alias("key"), F.isnull(key).alias("none")
+
+
+def roots(codes: DataFrame, texts: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """``id, root`` of the ``id, least, c0..c3, slots`` that links at that similarity connect; single codes may be absent.
 
     Every code stands in the table under its own value of each segment and looks up its slots; pairs that
-    meet in a slot are candidates if the complete distance is within reach, and links if ``grams`` confirm
-    it. In each slot the entry with the smallest id is the pivot. First, entries are linked to their pivots,
+    meet in a slot are candidates if the complete distance is within reach, and links if the shingles of
+    the ``key, text`` of ``texts`` confirm it; ``least`` is a key of the code. In each slot the entry with the smallest id is the pivot. First, entries are linked to their pivots,
     and the components of these links give labels, so that most of a crowded group has one label; then
     lookups are linked to the pivots. What remains are lookups of entries that don't have their pivot's
     label, and lookups without their pivot's label of all other entries; pairs of one label are connected.
@@ -131,7 +142,7 @@ def roots(codes: DataFrame, grams: DataFrame, similarity: float = SIMILARITY) ->
 
     def confirmed(rows: DataFrame) -> DataFrame:
         pairs = rows.select(F.col("x.id").alias("a"), F.col("p.id").alias("b"), F.col("x.label").alias("la"), F.col("p.label").alias("lb"))
-        return components(alike(pairs, codes, grams, similarity), "la", "lb").select(F.col("node").alias("label"), "root")
+        return components(alike(pairs, codes, texts, shingle, similarity), "la", "lb").select(F.col("node").alias("label"), "root")
 
     def relabelled(rows: DataFrame, found: DataFrame) -> DataFrame:
         return staged(rows.join(found, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root"), "labelled")
@@ -170,11 +181,12 @@ def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", shin
     stays, then the one with the smallest text. An empty table gives no rows.
     """
     small_batches(documents.sparkSession)
-    rows = documents.select(F.col(key).cast("long").alias("key"), coded(F.col(text), shingle, similarity, grams=True).alias("f")).select("key", "f.*")
+    rows = documents.select(F.col(key).cast("long").alias("key"), coded(F.col(text), shingle, similarity).alias("f")).select("key", "f.*")
     rows = staged(rows, "wide")
     codes = rows.groupBy(*CODE).agg(F.min("key").alias("least"), F.min("slots").alias("slots"))
     codes = staged(codes.withColumn("id", F.monotonically_increasing_id()), "codes")
-    grouped = codes.select("id", "least", *CODE).join(roots(codes.select("id", *CODE, "slots"), rows, similarity), "id", "left")
+    unstaged(rows)
+    grouped = codes.select("id", "least", *CODE).join(roots(codes.select("id", "least", *CODE, "slots"), documents.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), shingle, similarity), "id", "left")
     best = grouped.groupBy(F.coalesce("root", "id")).agg(F.min(F.struct(F.isnull("least"), "least", *CODE)).alias("best"))
     keys = ["__key", "__none", "__code"]
     best = best.select(
