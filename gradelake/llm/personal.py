@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradelake.llm.shared import small_batches
-from gradelake.session import staged
+from gradelake.session import staged, unstaged
 
 KINDS = ("email", "ip", "card", "phone")
 #: Different entities of one kind that a context needs, the least share of its occurrences that they make up, and the belief from which an unseen identifier counts.
 SUPPORT, CONFIDENT, BELIEVED = 3, 0.6, 0.7
-ROUNDS = 8
+#: Decimals of a belief that is handed to the next round.
+DECIMALS = 4
 #: Words counted in a worker before the counts are handed on.
 _COUNTED = 200_000
 
@@ -161,6 +162,11 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out.assign(key=out["key"].astype("Int64"))
 
 
+def _state(known: DataFrame) -> tuple:
+    """How many values are believed, and the sum of their beliefs in steps."""
+    return tuple(known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.round(F.col("belief") * 10**DECIMALS).cast("long")), F.lit(0))).first())
+
+
 def believe(seen: DataFrame, words: DataFrame) -> DataFrame:
     """``value, as_kind`` of unseen identifiers that confident contexts point to.
 
@@ -169,25 +175,24 @@ def believe(seen: DataFrame, words: DataFrame) -> DataFrame:
     with, summed over occurrences, divided by all occurrences of its word in the corpus, so a word of
     running text has none. It needs ``SUPPORT`` different values. A value's belief is one for a base entity
     of that kind, else 1 - product(1 - confidence) over its different confident contexts, which may round to
-    one; a column of its own tells base entities apart. The rounds go on until no further value is believed.
+    one; a column of its own tells base entities apart. The rounds go on until no further value is believed, and no belief grows by a step of its last decimal (``DECIMALS``).
     """
     edges = seen.groupBy("value", "kind", "side", "word").agg(F.count(F.lit(1)).alias("n"))
     edges = staged(edges, "edges")
     known = staged(edges.where("kind is not null").select("value", F.col("kind").alias("as_kind"), F.lit(1.0).alias("belief"), F.lit(True).alias("base")).distinct(), "known")
-    believed = known.count()
-    for _ in range(ROUNDS):
+    state, now = (0, 0), _state(known)
+    while now[0] > state[0] or now[1] > state[1]:
         met = edges.join(known, "value").where("kind is null or kind = as_kind")
         mass = met.groupBy("side", "word", "as_kind").agg(F.sum(F.col("n") * F.col("belief")).alias("mass"), F.count_distinct("value").alias("support"))
         contexts = mass.where(F.col("support") >= SUPPORT).join(words, "word").withColumn("confidence", F.least(F.col("mass") / F.col("n"), F.lit(1.0)))
         contexts = contexts.where(F.col("confidence") >= CONFIDENT).select("side", "word", "as_kind", "confidence")
         doubt = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-12))))
         open_ = edges.where("kind is null").select("value", "side", "word").distinct().join(contexts, ["side", "word"])
-        belief = open_.groupBy("value", "as_kind").agg((1 - F.exp(doubt)).alias("belief"), F.lit(False).alias("base")).where(F.col("belief") >= BELIEVED)
-        known = staged(known.where("base").unionByName(belief), "known")
-        now = known.count()
-        if now <= believed:
-            break
-        believed = now
+        belief = open_.groupBy("value", "as_kind").agg((1 - F.exp(doubt)).alias("belief")).where(F.col("belief") >= BELIEVED)
+        belief = belief.withColumns({"belief": F.round("belief", DECIMALS), "base": F.lit(False)})
+        last, known = known, staged(known.where("base").unionByName(belief), "known")
+        unstaged(last)
+        state, now = now, _state(known)
     best = known.where("not base").groupBy("value").agg(F.max(F.struct("belief", "as_kind")).alias("best"))
     return best.select("value", F.col("best.as_kind").alias("as_kind"))
 
@@ -206,9 +211,10 @@ def find(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     sides = F.array(F.struct(F.lit("left").alias("side"), F.col("left").alias("word")), F.struct(F.lit("right").alias("side"), F.col("right").alias("word")))
     seen = each.select("kind", "value", F.explode(sides).alias("c")).select("kind", "value", "c.side", "c.word").where("word is not null")
     words = rows.where("part").select(F.explode("words").alias("w")).groupBy("w.word").agg(F.sum("w.n").alias("n"))
-    used = seen.where("kind is not null").groupBy("word").agg(F.count_distinct("value").alias("support")).where(F.col("support") >= SUPPORT)
-    words = staged(words.join(used.select("word"), "word", "left_semi"), "words")
-    new = believe(seen.join(words.select("word"), "word", "left_semi"), words)
+    # A context's mass and support never exceed its mentions, so none that could become confident in any round is left out.
+    met = seen.groupBy("side", "word").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= SUPPORT)
+    possible = staged(met.join(words, "word").where(F.col("met") / F.col("n") >= CONFIDENT).select("side", "word", "n"), "possible")
+    new = believe(seen.join(possible.select("side", "word"), ["side", "word"], "left_semi"), possible.select("word", "n").distinct())
     more = each.where("kind is null").join(new, "value").groupBy("row").agg(F.collect_list(F.struct(F.col("as_kind").alias("kind"), "start", "end")).alias("more"))
     whole = rows.where("not part").select("row", "key", "base").join(more, "row", "left")
     return whole.select(F.col("key").alias(key), _ordered(F.col("base")).alias("base"), _ordered(F.concat("base", F.coalesce("more", F.array()))).alias("spans"))

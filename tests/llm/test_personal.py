@@ -74,3 +74,11 @@ def test_much_evidence_is_kept(spark, pure):
     words = spark.createDataFrame([(w, len(bases) + len(new)) for _, w in contexts], "word string, n long")
     got = {tuple(r) for r in personal.believe(seen, words).collect()}
     assert got == {(v, "email") for v in new}
+
+
+def test_believed_values_open_contexts(spark):
+    """Values lead to a context beside which no base entity stands."""
+    texts = [f"mailbox: a{i}@b.c" for i in range(20)] + [f"{c} v{i}(at)host" for i in range(3) for c in ("mailbox:", "reach")] + ["reach w7(at)host"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.spans] for r in personal.find(frame).collect()}
+    assert got == {i: [t.split()[1]] for i, t in enumerate(texts)}
