@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import bpe, embedding_links, fixity, langid, lm_scoring, mixing, personal, simhash, site_lines, winnowing
-from gradelake.session import staged, table
+from gradelake.llm import bpe, embedding_links, fixity, langid, lm_scoring, mixing, orc_ids, personal, prefix_trie, simhash
+from gradelake.llm import site_lines, whitening, winnowing
+from gradelake.session import shared_folder, staged, table
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +128,23 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document by unigram counts and by the maximum-entropy model."""
     return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op11_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document as its place, number and checksum, read back from the ORC files."""
+    path = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
+    orc_ids.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return orc_ids.digests(orc_ids.read(spark, path))
+
+
+@_query()
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's whitened components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@_query(prefix_trie.TRIE_SQL)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
