@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ FOLDS, HELD_OUT = 7, 2
 CHUNK = 3 << 20
 #: Rows in which a task hands on its sums.
 SLICES = 16
+#: Groups of tasks whose sums meet first.
+TOGETHER = 256
 
 _CHUNKS = "keys array<long>, sums array<long>, lengths array<int>, ids binary, words array<string>, counts array<int>"
 _READY = "keys array<long>, sums array<long>, lengths array<int>, ids binary, info binary"
@@ -163,11 +166,14 @@ def _tokens(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 def _chosen(ids: np.ndarray, lengths: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of some of the texts, and where each begins among them."""
     own = lengths[mask]
-    return ids[np.repeat(mask, lengths)], np.concatenate([[0], np.cumsum(own)[:-1]]).astype(np.int64)
+    return ids[np.repeat(mask, lengths)], (np.cumsum(own) - own).astype(np.int64)
 
 
 def _sums(ready: DataFrame, add) -> np.ndarray:
-    """Sum over all tasks of what ``add(row, tables)`` collects; one set of tables per task, of fixed size."""
+    """Sum over all tasks of what ``add(row, tables)`` collects; one set of tables per task, of fixed size.
+
+    Tasks' tables are summed in two levels, :data:`TOGETHER` groups of tasks first, so that no group has all of them.
+    """
 
     def collect(batches_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables, some = maxent.Tables.zeros(np.float32), False
@@ -177,14 +183,20 @@ def _sums(ready: DataFrame, add) -> np.ndarray:
                 some = True
         if some:
             parts = np.array_split(tables.flat(), SLICES)
-            yield pd.DataFrame({"slice": np.arange(SLICES), "values": [_packed(p.astype(np.float32)) for p in parts]})
+            group = TaskContext.get().partitionId() % TOGETHER
+            yield pd.DataFrame({"slice": np.arange(SLICES), "tasks": group, "values": [_packed(p.astype(np.float32)) for p in parts]})
 
     def total(rows: pd.DataFrame) -> pd.DataFrame:
         value = sum(_unpacked(v, np.float32).astype(np.float64) for v in rows["values"])
+        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "tasks": rows["tasks"].iloc[:1], "values": [_packed(value)]})
+
+    def all_of(rows: pd.DataFrame) -> pd.DataFrame:
+        value = sum(_unpacked(v, np.float64) for v in rows["values"])
         return pd.DataFrame({"slice": rows["slice"].iloc[:1], "values": [value.tobytes()]})
 
-    schema = "slice int, values binary"
-    rows = ready.mapInPandas(collect, schema).groupBy("slice").applyInPandas(total, schema).collect()
+    schema = "slice int, tasks int, values binary"
+    groups = ready.mapInPandas(collect, schema).groupBy("slice", "tasks").applyInPandas(total, schema)
+    rows = groups.groupBy("slice").applyInPandas(all_of, "slice int, values binary").collect()
     if not rows:
         return np.zeros(maxent.SIZE)
     return np.concatenate([np.frombuffer(r["values"], np.float64) for r in sorted(rows, key=lambda r: r["slice"])])

@@ -84,8 +84,10 @@ class Batch:
 
 
 def batches(hashes: np.ndarray, cls: np.ndarray, member: np.ndarray, starts: np.ndarray, size: int = BATCH) -> Iterator[tuple[slice, Batch]]:
-    """Batches over token arrays of texts that begin at ``starts``; before its start a text has no words."""
+    """Batches over token arrays of texts that begin at ``starts``; before its start a text has no words. No tokens make no batch."""
     n = len(hashes)
+    if not n:
+        return
     first = np.zeros(n, np.int64)
     first[starts] = starts
     offset = np.arange(n) - np.maximum.accumulate(first)  # place in the text
