@@ -8,11 +8,16 @@ Spark cuts the files at stripes; its filters on ``doc_id``, ``part`` and ``posit
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,23 +34,81 @@ STRIPE_BYTES = 16 << 20
 STRIDE = 1000
 FALSE_POSITIVES = 0.01
 
-_tokenizers: dict = {}
+#: Different pieces of text that a worker process remembers the ids of, about 200 bytes each.
+PIECES = 600_000
 
+# White space, letters and numbers among the first 256 characters.
+_SPACE, _LETTER, _NUMBER = r"\t-\r \x85\xa0", "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 
-def _tokenizer(path: str):
-    """The vocabulary's encoder, read once in a worker process; strings of special tokens are ordinary text."""
-    if path not in _tokenizers:
+_encoders: dict = {}
+
+
+class Encoder:
+    """The vocabulary's encoder; strings of special tokens are ordinary text.
+
+    The library's time goes to cutting texts, so texts are cut here by its own pattern, and its model encodes every
+    different piece once while the process remembers it. Characters that Unicode has not assigned may be letters to one of the
+    two patterns only: texts with one go to the library whole.
+    """
+
+    def __init__(self, path: str) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        found = Tokenizer.from_file(path)
-        found.encode_special_tokens = True
-        found.no_truncation()
-        found.no_padding()
-        _tokenizers[path] = found
-    return _tokenizers[path]
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        self.model = self.whole.model
+        self.cut = regex.compile(public_tokenizers.PATTERN).findall
+        classes = {r"\p{L}": f"[{_LETTER}]", r"\p{N}": f"[{_NUMBER}]", r"[^\s\p{L}\p{N}]": f"[^{_SPACE}{_LETTER}{_NUMBER}]", r"\s": f"[{_SPACE}]", r"\S": f"[^{_SPACE}]"}
+        plain = re.sub(r"\[\^\\s\\p{L}\\p{N}\]|\\p{L}|\\p{N}|\\s|\\S", lambda m: classes[m[0]], public_tokenizers.PATTERN)
+        self.cut_latin = re.compile(plain).findall
+        shown = [b for b in range(256) if 33 <= b <= 126 or (161 <= b and b != 173)]  # the others stand for 256 and on
+        hidden = (b for b in range(256) if b not in shown)
+        self.letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+        self.known: dict[str, bytes] = {}
+
+    def _pieces(self, text: str) -> list[str] | None:
+        """The text cut by the pattern, None where only the library can tell."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None if any(unicodedata.category(c) == "Cn" for c in set(text)) else self.cut(text)
+        return self.cut_latin(text)
+
+    def _piece(self, piece: str) -> bytes:
+        return self._packed(t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters)))
+
+    @staticmethod
+    def _packed(ids: Iterable[int]) -> bytes:
+        return array("i", ids).tobytes()
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Each text's ids as 32-bit integers of this machine."""
+        for text in texts:
+            pieces = self._pieces(text)
+            if pieces is None:
+                yield self._packed(self.whole.encode(text, add_special_tokens=False).ids)
+                continue
+            if len(self.known) > PIECES:
+                self.known.clear()
+            known = self.known
+            ids = list(map(known.get, pieces))
+            if None in ids:
+                for at, piece in enumerate(pieces):
+                    if ids[at] is None:
+                        ids[at] = known[piece] = known.get(piece) or self._piece(piece)
+            yield b"".join(ids)
+
+
+def _encoder(path: str) -> Encoder:
+    """Made once in a worker process."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _calls(texts: list[str]) -> Iterator[list[str]]:
@@ -60,10 +123,11 @@ def _calls(texts: list[str]) -> Iterator[list[str]]:
         yield call
 
 
-def _lists(encoded: Iterable[list[int]], end: int) -> tuple[np.ndarray, np.ndarray]:
+def _lists(encoded: Iterable[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
     """All ids, one end id after each list, and the bounds of the lists."""
-    pieces = [np.asarray(ids + [end], np.int32) for ids in encoded]
-    return np.concatenate(pieces), np.cumsum([0] + [len(p) for p in pieces])
+    last = array("i", [end]).tobytes()
+    pieces = [ids + last for ids in encoded]
+    return np.frombuffer(b"".join(pieces), np.int32), np.cumsum([0] + [len(p) // 4 for p in pieces])
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id", text: str = "text", end: int = END) -> None:
@@ -84,11 +148,11 @@ def write(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id", text
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, position = TaskContext.get().partitionId(), 0
-        encoder = _tokenizer(vocabulary)
+        encoder = _encoder(vocabulary)
         for batch in batches:
             done = 0
             for call in _calls(batch.column(1).to_pylist()):
-                ids, bounds = _lists((e.ids for e in encoder.encode_batch_fast(call, add_special_tokens=False)), end)
+                ids, bounds = _lists(encoder.encode(call), end)
                 columns = [
                     batch.column(0).slice(done, len(call)), pa.array(np.full(len(call), part, np.int32)),
                     pa.array(position + bounds[:-1]), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)),
