@@ -296,20 +296,20 @@ def trie(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 TRIE_SQL = """
 with t as (
   select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
-         row_number() over (partition by conv_id order by turn nulls first, sha256(octet_length(coalesce(role, '')::blob) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 as p
+         row_number() over (partition by conv_id order by turn nulls first, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 as p
   from conversations where conv_id is not null),
 ids as (
   select conv_id, conv_id - conv_id % 5 as base,
-         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::varchar, ''), c -> ascii(c)::bigint)), (a, b) ->
-             list_reduce(list_prepend(xor(a, b), range(8)), (x, i) -> case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295) % 9 as h
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda a, b:
+             list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295) % 9 as h
   from (select distinct conv_id from t)),
 own as (
   select i.conv_id, 1 as later, t.p, role, text from ids i join t using (conv_id) where t.p >= i.h
   union all
   select i.conv_id, 0 as later, t.p, role, text from ids i join t on t.conv_id = i.base where t.p < i.h),
 turns as (
-  select conv_id, row_number() over (partition by conv_id order by later, p) as depth, octet_length(text::blob) as size,
-         md5(octet_length(role::blob) || ':' || role || text) as id from own),
+  select conv_id, row_number() over (partition by conv_id order by later, p) as depth, octet_length(encode(text)) as size,
+         md5(octet_length(encode(role)) || ':' || role || text) as id from own),
 paths as (
   select conv_id, depth, size, string_agg(id, '') over (partition by conv_id order by depth) as path from turns
   union all select conv_id, 0, 0, '' from ids),
