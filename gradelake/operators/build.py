@@ -37,8 +37,8 @@ def _lines_of_region():
     return Window.partitionBy("exam_id", "qid").orderBy("page", "y0", "x0", "block", "line")
 
 
-def questions(lines: DataFrame, pages: DataFrame, drawings: DataFrame, cfg: LayoutConfig = CONFIG) -> DataFrame:
-    """The question tree of every exam: ``exam_id, qid, path, number, question_type, text, marks, …`` with boxes."""
+def split_tree(lines: DataFrame, pages: DataFrame, drawings: DataFrame, cfg: LayoutConfig = CONFIG) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(cells, regions, nodes)``: the question tree of every exam with the boxes of its printed lines."""
     cells, segs = regions(lines, pages, drawings, cfg)
     clip = staged(layout.clip_lines(lines, segs))
     texts = region_texts(clip)
@@ -48,7 +48,11 @@ def questions(lines: DataFrame, pages: DataFrame, drawings: DataFrame, cfg: Layo
                                "answer_options": F.expr("cast(array() as array<struct<letter:string,text:string>>)")})
     nodes = staged(subparts.split_questions(staged(tree.with_parsed_options(roots)), clip))
     nodes = tree.with_leaf_flag(nodes)
-    nodes = tree.clean_stems(tree.rolled_up_marks(nodes)).drop("total")
+    return cells, segs, tree.clean_stems(tree.rolled_up_marks(nodes)).drop("total")
+
+
+def placed_nodes(nodes: DataFrame, cells: DataFrame, segs: DataFrame, lines: DataFrame, pages: DataFrame, cfg: LayoutConfig = CONFIG) -> DataFrame:
+    """Nodes with their final boxes: as wide as the cell, snapped to its edges, leaves up to the line above."""
     inner = F.size("path") > 1
     placed = layout.cell_of_point(nodes.drop("cell_no"), cells, pages, (F.col("x0") + F.col("x1")) * 0.5, (F.col("y0") + F.col("y1")) * 0.5,
                                   ["exam_id", "page", "path"])
@@ -58,6 +62,12 @@ def questions(lines: DataFrame, pages: DataFrame, drawings: DataFrame, cfg: Layo
     return leaves.unionByName(snapped.filter(~F.col("is_leaf"))).drop("node")
 
 
+def questions(lines: DataFrame, pages: DataFrame, drawings: DataFrame, cfg: LayoutConfig = CONFIG) -> DataFrame:
+    """The question tree of every exam: ``exam_id, qid, path, number, question_type, text, marks, …`` with boxes."""
+    cells, segs, nodes = split_tree(lines, pages, drawings, cfg)
+    return placed_nodes(nodes, cells, segs, lines, pages, cfg)
+
+
 def question_figures(segs: DataFrame, drawings: DataFrame, lines: DataFrame, pages: DataFrame, cfg: LayoutConfig = CONFIG) -> DataFrame:
     clips = segs.select("exam_id", "page", "qid", F.col("x0").alias("kx0"), F.col("y0").alias("ky0"), F.col("x1").alias("kx1"), F.col("y1").alias("ky1"))
     return figures.figures_in_clips(clips, drawings, lines, pages, ["exam_id", "page", "qid"], cfg)

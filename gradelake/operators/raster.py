@@ -13,8 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
+from gradelake.operators.components import component_roots
 from gradelake.session import staged
 
 # Blank pages, skew search (hundredths of a degree), ruling lines, handwriting, anchors.
@@ -40,6 +41,10 @@ MIN_INK_SHARE = 0.0007
 ANCHOR_ROWS = 350
 ANCHOR_MIN_SCORE = 0.5
 ROWS_PER_CHUNK = 256
+#: Pixels whose ink is turned at once.
+PIXELS_TOGETHER = 1 << 22
+#: Columns of a bin when runs on both sides of a chunk's border are compared.
+BIN = 64
 
 
 def _keyed(df: DataFrame, keys: Sequence[str], *fields: StructField) -> StructType:
@@ -140,17 +145,17 @@ def otsu(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return h.groupBy(*keys).agg(F.max(F.struct(score.alias("score"), (-F.col("v")).alias("o"), "v"))["v"].alias("threshold"))
 
 
-def ink_rows(rows: DataFrame, thresholds: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of 0 and 1 bytes, 1 for ink."""
-    keys = list(keys)
-    joined = rows.select(*keys, "y", "px").join(thresholds, keys)
+def ink_rows(rows: DataFrame, thresholds: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Rows of 0 and 1 bytes, 1 for ink: ``keys, y, ink`` and the columns of ``keep``."""
+    keys, kept = list(keys), [*keys, "y", *keep]
+    joined = rows.select(*kept, "px").join(thresholds, keys)
 
     def binarise(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             part["ink"] = [(np.frombuffer(b, np.uint8) <= t).astype(np.uint8).tobytes() for b, t in zip(part["px"], part["threshold"], strict=True)]
-            yield part[[*keys, "y", "ink"]]
+            yield part[[*kept, "ink"]]
 
-    return joined.mapInPandas(binarise, _keyed(rows, keys, rows.schema["y"], StructField("ink", BinaryType())))
+    return joined.mapInPandas(binarise, _keyed(rows, kept, StructField("ink", BinaryType())))
 
 
 # ---- skew --------------------------------------------------------------------------------------------
@@ -186,44 +191,53 @@ def quarter_scale(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return blocks.mapInPandas(shrink, schema)
 
 
-def column_counts(ink: DataFrame, angles: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Ink per column after turning the ink points by every angle: ``keys, angle, x, c``.
+def column_counts(ink: DataFrame, keys: Sequence[str], angles: DataFrame | None = None) -> DataFrame:
+    """Ink per column after turning the ink points by every angle: ``keys, angle, w, x, c``.
 
-    ``ink`` carries ``hh``; ``angles``: ``keys, lo, hi, step`` in hundredths of a degree. Each batch
-    of rows is turned and counted at once, so the shuffle carries columns, not points.
+    ``ink`` carries ``hh``; ``angles``: ``keys, lo, hi`` in hundredths of a degree, every one from ``lo`` to ``hi``, or
+    without them the coarse sweep. The points of a block of rows are turned at once and counted where they lie:
+    the shuffle carries columns, not points or rows.
     """
     keys = list(keys)
-    joined = ink.join(angles, keys)
+    if angles is None:
+        joined = ink.withColumns({"lo": F.lit(-SWEEP), "hi": F.lit(SWEEP)})
+    else:
+        joined = ink.join(angles, keys)
+    step = COARSE_STEP if angles is None else 1
 
-    def turned(g: pd.DataFrame) -> np.ndarray:
-        bitmap = np.stack([np.frombuffer(b, np.uint8) for b in g["ink"]])
-        r, x = np.nonzero(bitmap)
+    def turned(g: pd.DataFrame) -> pd.DataFrame:
+        """Column counts of one unit's rows at every angle."""
         first = g.iloc[0]
-        w, h = bitmap.shape[1], int(first["hh"])
-        cx, cy = w // 2, h // 2
-        dx, dy = x - cx, g["y"].to_numpy()[r] - cy
+        w, h = len(first["ink"]), int(first["hh"])
+        cx, cy, pad = w // 2, h // 2, w + h
+        points = [np.flatnonzero(np.frombuffer(b, np.uint8)) for b in g["ink"]]
+        dx = np.concatenate(points).astype(np.float64) - cx
+        dy = np.repeat(g["y"].to_numpy() - cy, [p.size for p in points]).astype(np.float64)
+        # Only points near the upper and lower edge can leave the page.
+        reach = (w // 2 + 1) * np.sin(np.deg2rad(SWEEP / 100)) + (h // 2 + 1) * (1 - np.cos(np.deg2rad(SWEEP / 100))) + 2
+        edge = (dy < reach - cy) | (dy > h - 1 - cy - reach)
+        inner, outer = (dx[~edge], dy[~edge]), (dx[edge], dy[edge])
+        angles = np.arange(int(first["lo"]), int(first["hi"]) + 1, step)
         found = []
-        for a in range(int(first["lo"]), int(first["hi"]) + 1, int(first["step"])):
-            c, s = np.cos(np.deg2rad(a / 100.0)), np.sin(np.deg2rad(a / 100.0))
-            nx, ny = np.floor(cx + c * dx + s * dy + 0.5), np.floor(cy - s * dx + c * dy + 0.5)
-            inside = (nx >= 0) & (nx < w) & (ny >= 0) & (ny < h)
-            counts = np.bincount(nx[inside].astype(np.int64), minlength=w)
-            cols = np.nonzero(counts)[0]
-            found.append(np.column_stack([np.full(cols.size, a), np.full(cols.size, w), cols, counts[cols]]))
-        return np.concatenate(found).astype(np.int64)
+        for a in np.deg2rad(angles / 100.0):
+            c, s = np.cos(a), np.sin(a)
+            y = outer[1] * c - outer[0] * s + (cy + 0.5)
+            kept = (y >= 0) & (y < h)
+            x = [inner[0] * c + inner[1] * s, (outer[0] * c + outer[1] * s)[kept]]
+            # Columns left of the page are made positive, so that cutting the fraction rounds all of them down.
+            counts = np.bincount((np.concatenate(x) + (cx + 0.5 + pad)).astype(np.int64), minlength=2 * pad + w)
+            found.append(counts[pad : pad + w])
+        return pd.DataFrame({k: first[k] for k in keys} | {"angle": angles.astype(np.int64), "columns": found})
 
     def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            groups = [(key, turned(g)) for key, g in part.groupby(keys, sort=False)]
-            if not groups:
-                continue
-            out = pd.DataFrame(np.concatenate([m for _, m in groups]), columns=["angle", "w", "x", "c"])
-            for i, name in enumerate(keys):
-                out[name] = np.repeat(np.array([key[i] for key, _ in groups], dtype=object), [len(m) for _, m in groups])
-            yield out[[*keys, "angle", "w", "x", "c"]]
+            points = part["ink"].map(len).cumsum() // PIXELS_TOGETHER
+            for _, block in part.groupby([*keys, points.rename("_p")], sort=False):
+                yield turned(block)
 
-    schema = _keyed(ink, keys, _long("angle"), _long("w"), _long("x"), _long("c"))
-    return joined.mapInPandas(partial, schema).groupBy(*keys, "angle", "w", "x").agg(F.sum("c").alias("c"))
+    schema = _keyed(ink, keys, _long("angle"), StructField("columns", ArrayType(LongType())))
+    every = joined.mapInPandas(partial, schema).select(*keys, "angle", F.size("columns").alias("w"), F.posexplode("columns").alias("x", "c"))
+    return every.filter("c > 0").groupBy(*keys, "angle", "w", "x").agg(F.sum("c").alias("c"))
 
 
 def best_angles(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -236,22 +250,18 @@ def skew_angles(rows: DataFrame, keys: Sequence[str], proxy: bool = True) -> Dat
     """Skew of every unit in hundredths of a degree: coarse over the whole range, fine around it.
 
     ``rows`` carry ``hh``. Large units take the coarse pass on a quarter-scale proxy. Angles below
-    the minimum are reported, ``rotate`` tells whether they are applied.
+    the minimum are reported, ``rotate`` tells whether they are applied. The rows of ink are written once, for both passes.
     """
     keys = list(keys)
-    ink = staged(ink_rows(rows, otsu(rows, keys), keys).join(rows.select(*keys, "hh").distinct(), keys))
-    every = ink.select(*keys).distinct()
-    sweep = every.select("*", F.lit(-SWEEP).alias("lo"), F.lit(SWEEP).alias("hi"), F.lit(COARSE_STEP).alias("step"))
+    ink = staged(ink_rows(rows, otsu(rows, keys), keys, ["hh"]), "ink")
+    large = lambda px: (F.floor(F.length(px) / PROXY_SCALE) >= MIN_PROXY) & (F.floor(F.col("hh") / PROXY_SCALE) >= MIN_PROXY)
+    first = ink
     if proxy:
-        large = (F.floor(F.length("px") / PROXY_SCALE) >= MIN_PROXY) & (F.floor(F.col("hh") / PROXY_SCALE) >= MIN_PROXY)
-        small_rows = quarter_scale(rows.filter(large), keys)
-        small_ink = ink_rows(small_rows, otsu(small_rows, keys), keys).join(small_rows.select(*keys, "hh").distinct(), keys)
-        fine_only = ink.filter(~((F.floor(F.length("ink") / PROXY_SCALE) >= MIN_PROXY) & (F.floor(F.col("hh") / PROXY_SCALE) >= MIN_PROXY)))
-        coarse = best_angles(column_counts(small_ink.unionByName(fine_only), sweep, keys), keys)
-    else:
-        coarse = best_angles(column_counts(ink, sweep, keys), keys)
-    window = coarse.select(*keys, F.greatest(F.lit(-SWEEP), F.col("angle") - FINE_HALF).alias("lo"), F.least(F.lit(SWEEP), F.col("angle") + FINE_HALF).alias("hi"), F.lit(1).alias("step"))
-    fine = best_angles(column_counts(ink, window, keys), keys)
+        small_rows = staged(quarter_scale(rows.filter(large("px")), keys), "proxy")
+        first = ink.filter(~large("ink")).unionByName(ink_rows(small_rows, otsu(small_rows, keys), keys, ["hh"]))
+    coarse = best_angles(column_counts(first, keys), keys)
+    window = coarse.select(*keys, F.greatest(F.lit(-SWEEP), F.col("angle") - FINE_HALF).alias("lo"), F.least(F.lit(SWEEP), F.col("angle") + FINE_HALF).alias("hi"))
+    fine = best_angles(column_counts(ink, keys, window), keys)
     return fine.withColumn("rotate", F.abs("angle") >= MIN_SKEW)
 
 
@@ -308,21 +318,26 @@ def vline_rects(runs: DataFrame, sizes: DataFrame, keys: Sequence[str]) -> DataF
 
 
 def without_rects(ink: DataFrame, rects: DataFrame, keys: Sequence[str], column: str = "ink", fill: int = 0) -> DataFrame:
-    """Clear the rectangles in every row; use ``fill=255`` to whiten grey rows."""
+    """Clear the rectangles in every row; use ``fill=255`` to whiten grey rows.
+
+    A rectangle goes to the chunks of rows that it crosses; a chunk has no more of them than the image has columns and gaps.
+    """
     keys = list(keys)
-    per_row = (rects.select(*keys, "x0", "x1", F.explode(F.sequence("y0", "y1")).alias("y")).withColumn("y", F.col("y").cast(ink.schema["y"].dataType))
-               .groupBy(*keys, "y").agg(F.collect_set(F.struct("x0", "x1")).alias("cuts")))
-    joined = ink.join(per_row, [*keys, "y"], "left")
+    chunk = lambda y: F.floor(F.col(y) / ROWS_PER_CHUNK)
+    cuts = (rects.select(*keys, "x0", "x1", "y0", "y1", F.explode(F.sequence(chunk("y0"), chunk("y1"))).alias("_chunk"))
+            .groupBy(*keys, "_chunk").agg(F.collect_set(F.struct("x0", "x1", "y0", "y1")).alias("cuts")))
+    joined = ink.withColumn("_chunk", chunk("y")).join(cuts, [*keys, "_chunk"], "left")
     columns = list(ink.columns)
 
     def clear(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
-            for row, cuts in zip(part[column], part["cuts"], strict=True):
+            for y, row, cuts in zip(part["y"], part[column], part["cuts"], strict=True):
                 if cuts is not None:
                     pixels = np.frombuffer(row, np.uint8).copy()
                     for cut in cuts:
-                        pixels[max(cut["x0"], 0) : cut["x1"] + 1] = fill
+                        if cut["y0"] <= y <= cut["y1"]:
+                            pixels[max(cut["x0"], 0) : cut["x1"] + 1] = fill
                     row = pixels.tobytes()
                 out.append(row)
             yield part[columns].assign(**{column: out})
@@ -356,25 +371,19 @@ def run_endpoints(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sizes.join(ends, keys, "left").select(*keys, F.coalesce("a", F.lit(0)).cast("bigint").alias("y_start"), F.coalesce("b", F.col("hh") - 1).cast("bigint").alias("y_end"))
 
 
-def _touching(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """Runs with the number ``_g`` of their blob: runs of neighbouring columns whose rows overlap or touch."""
+def touching_runs(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Runs with ``blob``, the first run ``(x, y0)`` that they are joined to by runs of neighbouring columns whose rows overlap or touch.
 
-    def label(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["x", "y0"], ignore_index=True)
-        group = np.arange(len(part))
-        x, y0, y1 = (part[c].to_numpy() for c in ("x", "y0", "y1"))
-        left, right = np.searchsorted(x, x + 1), np.searchsorted(x, x + 1, "right")
-        pairs = [(i, j) for i in range(len(part)) for j in range(left[i], right[i]) if y0[j] <= y1[i] + 1 and y1[j] >= y0[i] - 1]
-        changed = bool(pairs)
-        while changed:
-            changed = False
-            for i, j in pairs:
-                if group[i] != group[j]:
-                    group[i] = group[j] = min(group[i], group[j])
-                    changed = True
-        return part.assign(_g=group)
-
-    return runs.groupBy(*keys).applyInPandas(label, _keyed(runs, keys, *(runs.schema[c] for c in ("x", "y0", "y1", "hh")), _long("_g")))
+    Runs meet by column and by bins of rows, so no half page comes together in one task.
+    """
+    keys = list(keys)
+    own = runs.withColumn("run", F.struct(*keys, "x", "y0"))
+    bins = lambda low, high: F.explode(F.sequence(F.floor(low / ROWS_PER_CHUNK), F.floor(high / ROWS_PER_CHUNK))).alias("bin")
+    left = own.select(*keys, (F.col("x") + 1).alias("x"), F.col("run").alias("a"), F.col("y0").alias("a0"), F.col("y1").alias("a1"), bins(F.col("y0") - 1, F.col("y1") + 1))
+    right = own.select(*keys, "x", F.col("run").alias("b"), "y0", "y1", bins(F.col("y0"), F.col("y1")))
+    edges = left.join(right, [*keys, "x", "bin"]).filter((F.col("y0") <= F.col("a1") + 1) & (F.col("y1") >= F.col("a0") - 1)).select("a", "b")
+    roots = component_roots(edges)
+    return own.join(roots, F.col("run") == F.col("node"), "left").withColumn("blob", F.coalesce("root", "run")).drop("run", "node", "root")
 
 
 def ruling_lines(ink: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -386,8 +395,8 @@ def ruling_lines(ink: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     sizes = ink.select(*keys, "hh").distinct()
     runs = surviving(vertical_runs(ink, keys).join(sizes, keys), F.lit(RULE_KERNEL), F.col("hh"))
-    # Few runs survive, so those of a half page fit one task.
-    blobs = (_touching(runs.select(*keys, "x", "y0", "y1", "hh"), keys).groupBy(*keys, "_g", "hh")
+    runs = staged(runs.select(*keys, "x", "y0", "y1", "hh"), "runs")
+    blobs = (touching_runs(runs, keys).groupBy(*keys, "blob", "hh")
              .agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")))
     width = F.col("x1") - F.col("x0") + 1
     lines = blobs.filter((F.col("y1") - F.col("y0") + 1 > F.col("hh") * RULE_MIN_SHARE) & (width < RULE_MAX_WIDTH))
@@ -402,53 +411,76 @@ def ruling_lines(ink: DataFrame, keys: Sequence[str]) -> DataFrame:
 # ---- handwriting ----------------------------------------------------------------------------------------
 
 
+def _row_runs(bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last column of every horizontal run, in order."""
+    edge = np.diff(bitmap.astype(np.int8), prepend=0, append=0, axis=1)
+    row, first = np.nonzero(edge == 1)
+    return row, first, np.nonzero(edge == -1)[1] - 1
+
+
+def _joined_runs(y: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """For every run the number of the first run of its 8-connected blob; runs come by row and column."""
+    label = np.arange(y.size)
+    if not y.size:
+        return label
+    width = int(last.max()) + 4
+    low = np.searchsorted(y * width + last + 1, (y + 1) * width + first)
+    high = np.searchsorted(y * width + first + 1, (y + 1) * width + last + 2, "right")
+    n = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(y.size), n)
+    b = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+    while True:
+        least = np.minimum(label[a], label[b])
+        moved = label.copy()
+        np.minimum.at(moved, label[a], least)
+        np.minimum.at(moved, label[b], least)
+        moved = moved[moved]
+        if (moved == label).all():
+            return label
+        label = moved
+
+
 def blob_areas(ink: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Areas of the 8-connected ink blobs of every strip: ``keys, blob, area``.
+    """Areas of the 8-connected ink blobs of every unit: ``keys, blob, area``.
 
-    Rows turn into horizontal runs first. One strip of one page meets in one task; its size is
-    bounded by the raster.
+    Blobs are found in chunks of ``ROWS_PER_CHUNK`` rows. What leaves a chunk are its blobs' areas and the runs of its first
+    and last row; runs on both sides of a border meet by bins of columns, and the blobs that they join are summed. A blob's
+    number is that of its first part, by chunk and order in it.
     """
     keys = list(keys)
 
-    def runs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            edges = [np.diff(np.frombuffer(b, np.uint8).astype(np.int8), prepend=0, append=0) for b in part["ink"]]
-            starts = [np.nonzero(e == 1)[0] for e in edges]
-            if not starts:
-                continue
-            ends = [np.nonzero(e == -1)[0] - 1 for e in edges]
-            out = part[[*keys, "y"]].loc[part.index.repeat([a.size for a in starts])].reset_index(drop=True)
-            out["y"] = out["y"].astype(np.int64)
-            yield out.assign(x0=np.concatenate(starts).astype(np.int64), x1=np.concatenate(ends).astype(np.int64))
-
     def label(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["y", "x0"])
-        y, a, b = (part[c].to_numpy() for c in ("y", "x0", "x1"))
-        parent = np.arange(y.size)
-
-        def root(i):
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        above = 0
-        for i in range(y.size):
-            while above < i and (y[above] < y[i] - 1 or (y[above] == y[i] - 1 and b[above] < a[i] - 1)):
-                above += 1
-            j = above
-            while j < i and y[j] == y[i] - 1 and a[j] <= b[i] + 1:
-                ri, rj = root(i), root(j)
-                parent[max(ri, rj)] = min(ri, rj)
-                j += 1
-        roots = np.array([root(i) for i in range(y.size)])
-        sizes = pd.DataFrame({"blob": roots.astype(np.int64), "area": (b - a + 1).astype(np.int64)}).groupby("blob", as_index=False)["area"].sum()
+        part = part.sort_values("y")
+        top = int(part["chunk"].iloc[0]) * ROWS_PER_CHUNK
+        at = part["y"].to_numpy() - top
+        bitmap = np.zeros((ROWS_PER_CHUNK, max(len(b) for b in part["ink"])), np.uint8)
+        for i, b in zip(at, part["ink"], strict=True):
+            bitmap[i, : len(b)] = np.frombuffer(b, np.uint8)
+        y, first, last = _row_runs(bitmap)
+        blob = _joined_runs(y, first, last)
+        start = int(part["chunk"].iloc[0]) << 32
+        areas = np.bincount(blob, weights=last - first + 1).astype(np.int64)
+        own = np.flatnonzero(areas)
+        edge = np.flatnonzero((y == 0) | (y == ROWS_PER_CHUNK - 1))
+        found = pd.DataFrame({"blob": start + np.concatenate([own, blob[edge]]), "area": np.concatenate([areas[own], np.zeros(edge.size, np.int64)]),
+                              "y": pd.array(np.concatenate([np.full(own.size, -1), y[edge] + top]), "Int64"),
+                              "x0": np.concatenate([np.zeros(own.size, np.int64), first[edge]]), "x1": np.concatenate([np.zeros(own.size, np.int64), last[edge]])})
         for name in keys:
-            sizes[name] = part[name].iloc[0]
-        return sizes[[*keys, "blob", "area"]]
-
-    flat = ink.select(*keys, "y", "ink").mapInPandas(runs, _keyed(ink, keys, _long("y"), _long("x0"), _long("x1")))
-    return flat.groupBy(*keys).applyInPandas(label, _keyed(ink, keys, _long("blob"), _long("area")))
+            found[name] = part[name].iloc[0]
+        return found[[*keys, "blob", "area", "y", "x0", "x1"]]
+
+    chunked = ink.select(*keys, "y", "ink", F.floor(F.col("y") / ROWS_PER_CHUNK).alias("chunk"))
+    found = staged(chunked.groupBy(*keys, "chunk").applyInPandas(label, _keyed(ink, keys, _long("blob"), _long("area"), _long("y"), _long("x0"), _long("x1"))), "blobs")
+    node = F.struct(*keys, "blob")
+    bins = lambda low, high: F.explode(F.sequence(F.floor(low / BIN), F.floor(high / BIN))).alias("bin")
+    last = F.col("y") % ROWS_PER_CHUNK == ROWS_PER_CHUNK - 1
+    edge = found.filter("y >= 0").withColumn("node", node)
+    upper = edge.filter(last).select(*keys, (F.col("y") + 1).alias("y"), F.col("node").alias("a"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), bins(F.col("x0") - 1, F.col("x1") + 1))
+    lower = edge.filter(~last).select(*keys, "y", F.col("node").alias("b"), "x0", "x1", bins(F.col("x0"), F.col("x1")))
+    pairs = upper.join(lower, [*keys, "y", "bin"]).filter((F.col("x0") <= F.col("a1") + 1) & (F.col("x1") >= F.col("a0") - 1)).select("a", "b")
+    roots = component_roots(pairs).withColumnRenamed("node", "n")
+    whole = found.filter("y < 0").withColumn("node", node).join(roots, F.col("node") == F.col("n"), "left")
+    return whole.groupBy(*keys, F.coalesce("root.blob", "blob").alias("blob")).agg(F.sum("area").alias("area"))
 
 
 def handwriting_flags(rows: DataFrame, keys: Sequence[str], min_blob: int = MIN_BLOB, min_share: float = MIN_INK_SHARE) -> DataFrame:

@@ -127,66 +127,114 @@ def merge_answer_key(nodes: DataFrame, margin: DataFrame, table_rows: DataFrame,
 
 # ---- stored form -----------------------------------------------------------------------------
 
+#: Printed papers nest a number, a letter and a numeral.
+LEVELS = 3
+BOX_TYPE = "struct<x0:double,y0:double,x1:double,y1:double,page:int>"
+IMAGE_TYPE = f"struct<bbox:{BOX_TYPE},path:string>"
+#: Lists of a node beside its options and parts, by their stored names.
+LISTS = {
+    "equation_blank_bboxes": f"array<{BOX_TYPE}>", "images": f"array<{IMAGE_TYPE}>", "writing_areas": f"array<struct<bbox:{BOX_TYPE},kind:string>>",
+    "answer_images": f"array<{IMAGE_TYPE}>",
+}
 
-def node_struct(subs: Column | None) -> Column:
+
+def with_lists(nodes: DataFrame) -> DataFrame:
+    """The four lists of a node; those that are absent or NULL are empty."""
+    none = {c: F.expr(f"cast(array() as {t})") for c, t in LISTS.items()}
+    return nodes.withColumns({c: F.coalesce(F.col(c), e) if c in nodes.columns else e for c, e in none.items()})
+
+
+def _rounded(box: Column) -> Column:
+    return F.struct(*[F.bround(box[c], 1).alias(c) for c in ("x0", "y0", "x1", "y1")], box["page"].alias("page"))
+
+
+def _stored_list(name: str) -> Column:
+    """A list with rounded boxes, NULL when it is empty."""
+    other = {"images": "path", "answer_images": "path", "writing_areas": "kind"}.get(name)
+    item = (lambda b: F.struct(_rounded(b["bbox"]).alias("bbox"), b[other].alias(other))) if other else _rounded
+    return F.when(F.size(name) > 0, F.transform(name, item)).alias(name)
+
+
+def node_struct(subs: Column | None, lists: Sequence[str] = ()) -> Column:
     """Stored fields of a node; empty ones are NULL and therefore left out of the JSON."""
-    coord = lambda c: F.bround(F.col("bbox")[c], 1).alias(c)
     fields = [
-        F.col("number"), F.col("question_type"), F.col("text"), F.col("marks"),
-        F.struct(coord("x0"), coord("y0"), coord("x1"), coord("y1"), F.col("bbox.page").alias("page")).alias("bbox"),
+        F.col("number"), F.col("question_type"), F.col("text"), F.col("marks"), _rounded(F.col("bbox")).alias("bbox"),
         F.when(F.size("answer_options") > 0, F.col("answer_options")).alias("answer_options"),
     ]
+    fields += [_stored_list(c) for c in LISTS if c in lists and c != "answer_images"]
     if subs is not None:
         fields.append(F.when(F.size(subs) > 0, subs).alias("subquestions"))
     for c in ("correct_answer", "marking_criteria"):
         fields.append(F.when(strip(F.col(c)) != "", F.col(c)).alias(c))
-    return F.struct(*fields)
+    return F.struct(*fields, *[_stored_list(c) for c in LISTS if c in lists and c == "answer_images"])
 
 
-def question_documents(nodes: DataFrame) -> DataFrame:
-    """One nested JSON document per top-level question: ``exam_id, path, doc``.
+def question_structs(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """One nested struct per top-level question: ``exam_id, path, doc``.
 
-    Built from the deepest level of the table upwards. A list never holds more than the letters or
-    numerals one parent can have.
+    Built from the deepest level upwards in one plan; a list never holds more than the letters or numerals
+    one parent can have. A node below ``levels`` is an error. Lists of :data:`LISTS` that the nodes have are stored.
     """
-    below, levels = None, nodes.agg(F.max(F.size("path"))).first()[0] or 1
-    for depth in range(levels, 0, -1):
-        level = nodes.filter(F.size("path") == depth)
-        subs = None
+    lists = [c for c in LISTS if c in nodes.columns]
+    depth = F.when(F.size("path") <= levels, F.size("path")).otherwise(F.raise_error(F.lit("a node lies deeper than the stored levels")))
+    nodes, below = nodes.withColumn("_depth", depth), None
+    for level_no in range(levels, 0, -1):
+        level, subs = nodes.filter(F.col("_depth") == level_no), None
         if below is not None:
-            level = level.join(below, ["exam_id", "path"], "left")
-            subs = F.col("_subs")
-        level = level.select("exam_id", "path", node_struct(subs).alias("_n"))
-        if depth == 1:
-            return level.select("exam_id", "path", F.to_json("_n").alias("doc"))
-        ordered = F.array_sort(F.collect_list(F.struct("path", "_n")))
-        below = (level.groupBy("exam_id", _parent(F.col("path")).alias("path"))
-                 .agg(F.transform(ordered, lambda s: s["_n"]).alias("_subs")))
-    raise ValueError("a path is empty")
+            level, subs = level.join(below, ["exam_id", "path"], "left"), F.col("_subs")
+        level = level.select("exam_id", "path", node_struct(subs, lists).alias("doc"))
+        if level_no > 1:
+            ordered = F.array_sort(F.collect_list(F.struct("path", "doc")))
+            below = level.groupBy("exam_id", _parent(F.col("path")).alias("path")).agg(F.transform(ordered, lambda s: s["doc"]).alias("_subs"))
+    return level
 
 
-def _variant_children(df: DataFrame, column: str) -> DataFrame:
-    """Rows of a stored list of questions with their position, from a variant column."""
-    items = F.try_variant_get(F.col(column), "$.subquestions", "array<variant>")
-    return df.select("exam_id", "path", F.posexplode(items).alias("_i", "_q")).select(
-        "exam_id", F.concat("path", F.array((F.col("_i") + 1).cast("bigint"))).alias("path"), F.col("_q").alias("q"))
+def question_documents(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """One nested JSON document per top-level question: ``exam_id, path, doc``."""
+    return question_structs(nodes, levels).withColumn("doc", F.to_json("doc"))
 
 
-def read_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored trees ``exam_id, raw`` to node rows and rejects of another version.
+def exam_documents(nodes: DataFrame, page_counts: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """One stored JSON document per exam: ``exam_id, raw`` with version, questions, totals and description.
 
-    Every level that a document has is read. Missing fields take their defaults; an empty answer falls back to the older field; options
-    without a letter are dropped; ``total_marks`` of 0 is recomputed by the caller from the leaves.
+    ``nodes`` carry ``is_leaf``; ``page_counts``: ``exam_id, page_count``, 0 where it is missing. An exam's list
+    holds the numbered questions of one paper.
     """
+    ordered = F.array_sort(F.collect_list(F.struct("path", "doc")))
+    listed = question_structs(nodes, levels).groupBy("exam_id").agg(F.transform(ordered, lambda s: s["doc"]).alias("questions"))
+    whole = listed.join(exam_summary(nodes), "exam_id").join(page_counts.select("exam_id", "page_count"), "exam_id", "left")
+    envelope = F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), "questions", "total_marks", F.coalesce("page_count", F.lit(0)).alias("page_count"),
+                        F.col("description").alias("raw_description"))
+    return whole.select("exam_id", F.to_json(envelope).alias("raw"))
+
+
+def _unfolded(questions: Column, above: Column, levels: int) -> Column:
+    """``array<struct<path, q>>`` of a stored list of questions and all that lies below, down to ``levels``."""
+    def item(q: Column, i: Column) -> Column:
+        path = F.concat(above, F.array((i + 1).cast("bigint")))
+        own = F.array(F.struct(path.alias("path"), q.alias("q")))
+        return F.concat(own, _unfolded(F.try_variant_get(q, "$.subquestions", "array<variant>"), path, levels - 1)) if levels > 1 else own
+
+    none = F.expr("cast(array() as array<struct<path:array<bigint>,q:variant>>)")
+    return F.coalesce(F.flatten(F.transform(questions, item)), none)
+
+
+def _versioned(docs: DataFrame) -> DataFrame:
     parsed = docs.withColumn("_d", F.try_parse_json("raw"))
-    version = F.try_variant_get("_d", "$.schema_version", "int")
-    good = parsed.filter(version == SCHEMA_VERSION)
-    rejected = parsed.filter(version.isNull() | (version != SCHEMA_VERSION)).select("exam_id", version.alias("version"))
-    top = good.select("exam_id", F.posexplode(F.try_variant_get("_d", "$.questions", "array<variant>")).alias("_i", "q")).select(
-        "exam_id", F.array((F.col("_i") + 1).cast("bigint")).alias("path"), "q")
-    rows, level = top, top
-    while not (level := _variant_children(level, "q")).isEmpty():
-        rows = rows.unionByName(level)
+    return parsed.withColumn("_v", F.try_variant_get("_d", "$.schema_version", "int"))
+
+
+def read_documents(docs: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
+    """Stored trees ``exam_id, raw`` to node rows and rejects of another version.
+
+    All levels of a document are read in one pass. Missing fields take their defaults; an empty answer falls back to the
+    older field; options without a letter are dropped.
+    """
+    parsed = _versioned(docs)
+    good = parsed.filter(F.col("_v") == SCHEMA_VERSION)
+    rejected = parsed.filter(F.col("_v").isNull() | (F.col("_v") != SCHEMA_VERSION)).select("exam_id", F.col("_v").alias("version"))
+    every = _unfolded(F.try_variant_get("_d", "$.questions", "array<variant>"), F.expr("cast(array() as array<bigint>)"), levels)
+    rows = good.select("exam_id", F.explode(every).alias("_n")).select("exam_id", "_n.path", "_n.q")
     q = F.col("q")
     get = lambda p, t="string": F.try_variant_get(q, f"$.{p}", t)
     answer = get("correct_answer")
@@ -200,8 +248,19 @@ def read_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "exam_id", "path", get("number").alias("number"), F.coalesce(get("question_type"), F.lit(DEFAULT_TYPE)).alias("question_type"),
         F.coalesce(get("text"), get("content_summary"), F.lit("")).alias("text"), F.coalesce(get("marks", "bigint"), F.lit(1)).alias("marks"),
         box.alias("bbox"), F.when(F.coalesce(strip(answer), F.lit("")) != "", answer).otherwise(F.nullif(legacy, F.lit(""))).alias("correct_answer"),
-        get("marking_criteria").alias("marking_criteria"), options.alias("answer_options"))
-    return nodes, rejected
+        get("marking_criteria").alias("marking_criteria"), options.alias("answer_options"),
+        *[F.try_variant_get(q, f"$.{c}", t).alias(c) for c, t in LISTS.items()])
+    return with_lists(nodes), rejected
+
+
+def read_envelopes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``exam_id, total_marks, page_count, description`` of stored exams; a total of 0 is the sum of the leaves of ``nodes``."""
+    good = _versioned(docs).filter(F.col("_v") == SCHEMA_VERSION)
+    get = lambda p, t: F.try_variant_get("_d", f"$.{p}", t)
+    sums = with_leaf_flag(nodes).filter("is_leaf").groupBy("exam_id").agg(F.sum("marks").alias("_sum"))
+    return good.join(sums, "exam_id", "left").select(
+        "exam_id", F.coalesce(F.nullif(get("total_marks", "bigint"), F.lit(0)), "_sum", F.lit(0)).alias("total_marks"),
+        F.coalesce(get("page_count", "int"), F.lit(0)).alias("page_count"), F.coalesce(get("raw_description", "string"), F.lit("")).alias("description"))
 
 
 # ---- readable outline -------------------------------------------------------------------------

@@ -213,7 +213,7 @@ def win_subpart_slices(spark, sf_dir):
 
 
 PARTS_SQL = f"""select *, qid || case when kind = 'roman' and p_kept then p_label else '' end || label as number, kind = 'roman' and p_kept as below from (
-  select *, last_value(case when kind = 'letter' then label end ignore nulls) over w as p_label, coalesce(last_value(case when kind = 'letter' then text <> '' end ignore nulls) over w, false) as p_kept,
+  select *, last_value(case when kind = 'letter' then label end ignore nulls) over w as p_label, last_value(case when kind = 'letter' then slice_no end ignore nulls) over w as p_slice, coalesce(last_value(case when kind = 'letter' then text <> '' end ignore nulls) over w, false) as p_kept,
     greatest(y1, coalesce(lead(top) over (partition by exam_id, qid order by slice_no), y1)) as ny1 from ({SLICES_SQL}) where slice_no > 0
   window w as (partition by exam_id, qid order by slice_no rows between unbounded preceding and 1 preceding)) where text <> ''
   qualify count(*) filter (not (kind = 'roman' and p_kept)) over (partition by exam_id, qid) > 0"""
@@ -235,9 +235,9 @@ def win_extend_bbox_to_next(spark, sf_dir):
 
 
 DRAWN_SQL = f"""select * from (select p_partkey as exam_id, 1 as page, p_size * 3.0::double as x0, (p_retailprice - 900) % 300 + 50 as y0, p_size * 3.0::double + 60 + p_partkey % 90 as x1,
-    (p_retailprice - 900) % 300 + 90 + p_partkey % 60 as y1 from part) where exam_id in (select exam_id from ({LINES_SQL}))"""
+    (p_retailprice - 900) % 300 + 90 + p_partkey % 60 as y1, case when p_partkey % 5 = 0 then 'raster' else 'vector' end as kind from part) where exam_id in (select exam_id from ({LINES_SQL}))"""
 TOUCH = "b.x0 < b.x1 and b.y0 < b.y1 and b.x0 < s.cx1 and s.cx0 < b.x1 and b.y0 < s.cy1 and s.cy0 < b.y1"
-TIGHT_SQL = f"""
+TIGHT_ENDS_SQL = f"""
 with seg as (select * from ({SEGMENTS_SQL})), last as (select exam_id, page, qid, cx0, cy0, cx1, cy1, y_start, y_end from seg where snap_bottom),
 blk as (select exam_id, page, block, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, lower(string_agg(text, ' ' order by line)) as flat from ({LINES_SQL}) group by 1, 2, 3),
 nt as (select s.exam_id, s.qid, min(b.y0) as notice from last s join blk b on s.exam_id = b.exam_id and s.page = b.page where {TOUCH} and b.y0 between s.y_start and s.y_end
@@ -250,7 +250,8 @@ tx as (select s.exam_id, s.qid, b.block, arg_max(least(l.y1, s.stop), l.line) as
   where {TOUCH} and b.y0 between s.y_start - 5 and s.stop and l.y0 <= s.stop and {S.strip('l.text')} <> '' group by 1, 2, 3),
 dr as (select s.exam_id, s.qid, max(least(b.y1, s.stop)) as b from st s join ({DRAWN_SQL}) b on s.exam_id = b.exam_id and s.page = b.page where {TOUCH} and b.y0 between s.y_start - 5 and s.stop and b.x1 - b.x0 >= 10 group by 1, 2),
 bt as (select st.*, greatest(y_start, coalesce((select max(b) from tx where tx.exam_id = st.exam_id and tx.qid = st.qid), y_start), coalesce((select max(b) from dr where dr.exam_id = st.exam_id and dr.qid = st.qid), y_start)) as bottom from st),
-en as (select exam_id, qid, case when bottom <= y_start then case when footer < y_end - 4 then greatest(y_start, stop) else y_end end when least(bottom + 4, stop) < y_end - 4 then least(bottom + 4, stop) else y_end end as y from bt)
+en as (select exam_id, qid, case when bottom <= y_start then case when footer < y_end - 4 then greatest(y_start, stop) else y_end end when least(bottom + 4, stop) < y_end - 4 then least(bottom + 4, stop) else y_end end as y from bt)"""
+TIGHT_SQL = f"""{TIGHT_ENDS_SQL}
 select seg.exam_id, seg.page, seg.qid, round(y_start, 6) as y_start, round(coalesce(en.y, y_end), 6) as y_end from seg left join en on seg.exam_id = en.exam_id and seg.qid = en.qid"""
 
 
@@ -261,66 +262,6 @@ def win_tight_end(spark, sf_dir):
     return segs.select("exam_id", "page", "qid", F.round("y_start", 6).alias("y_start"), F.round("y_end", 6).alias("y_end"))
 
 
-@query("win_split_subquestions")
-def win_split_subquestions(spark, sf_dir):
-    lined = lines(spark, sf_dir)
-    return build.questions(lined, pages(lined), drawings(spark, sf_dir, lined)).select("exam_id", "qid", "number", "is_leaf", "marks")
-
-
-@query("geo_build_questions")
-def geo_build_questions(spark, sf_dir):
-    lined = lines(spark, sf_dir)
-    out = build.questions(lined, pages(lined), drawings(spark, sf_dir, lined))
-    return out.select("exam_id", "number", "question_type", "text", "marks", "page", "x0", "y0", "x1", "y1")
-
-
-@query("geo_parse_answer_key")
-def geo_parse_answer_key(spark, sf_dir):
-    lined = lines(spark, sf_dir)
-    return build.margin_answers(lined, pages(lined), drawings(spark, sf_dir, lined))
-
-
-TOPS_SQL = f"""
-with seg as (select exam_id, page, cell_no, qid, cx0, cy0, cx1, cy1, by0 as y0, by1 as y1, row_number() over (partition by exam_id, page, cell_no order by by0, qid) as r from ({CLIPS_SQL})),
-l as (select *, {S.strip('text')} as t from ({LINES_SQL})),
-m as (select s.exam_id, s.qid, max(l.y1) as last from seg s join l on s.exam_id = l.exam_id and s.page = l.page where s.r > 1 and l.x0 < l.x1 and l.x0 < s.cx1 and s.cx0 < l.x1 and l.y0 < s.y0 and s.cy0 < l.y1
-  and s.cy0 < s.y0 and l.y1 <= s.y0 and t <> '' and not regexp_matches(t, '(?i)^\\[Total:') and not regexp_matches(t, '(?i)IGCSE\\s+Physics') group by 1, 2)
-select seg.exam_id, seg.qid, round(case when r > 1 and greatest(coalesce(last, cy0), cy0) + 2 < y0 then greatest(coalesce(last, cy0), cy0) + 2 else y0 end, 6) as y0 from seg left join m using (exam_id, qid)"""
-
-
-@query("win_leaf_top_adjust", TOPS_SQL)
-def win_leaf_top_adjust(spark, sf_dir):
-    lined, _paged, _cells, segs, _clip = clip(spark, sf_dir)
-    leaves = segs.select("exam_id", "page", F.col("qid").alias("node"), *layout.CELL_BOX, *layout.BOX)
-    return layout.leaf_tops(leaves, lined).select("exam_id", F.col("node").alias("qid"), F.round("y0", 6).alias("y0"))
-
-
-@query("win_snap_to_cell", f"""
-select exam_id, qid, round(case when y_start <= m_top + 20 then cy0 else y_start end, 6) as y0, round(case when y_end >= cy1 - 24 then cy1 else y_end end, 6) as y1 from ({SEGMENTS_SQL})""")
-def win_snap_to_cell(spark, sf_dir):
-    segs = layout.segments(anchors(spark, sf_dir)[3]).withColumns({"y0": F.col("y_start"), "y1": F.col("y_end")})
-    return layout.edge_snapped(segs).select("exam_id", "qid", F.round("y0", 6).alias("y0"), F.round("y1", 6).alias("y1"))
-
-
-@query("win_equation_blank")
-def win_equation_blank(spark, sf_dir):
-    lined = lines(spark, sf_dir, spans=True)
-    plain = lined.drop("spans")
-    nodes = build.questions(plain, pages(plain), drawings(spark, sf_dir, plain))
-    return figures.answer_blanks(nodes, lined, ["exam_id", "page", "path"]).select("exam_id", "page", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("node"), "x0", "y0", "x1", "y1")
-
-
-@query("join_asset_to_deepest")
-def join_asset_to_deepest(spark, sf_dir):
-    lined = lines(spark, sf_dir)
-    paged, drawn = pages(lined), drawings(spark, sf_dir, lined)
-    nodes = build.questions(lined, paged, drawn)
-    _cells, segs = build.regions(lined, paged, drawn)
-    found = build.question_figures(segs, drawn, lined, paged).withColumn("asset_id", F.col("figure_no"))
-    placed = figures.assets_to_nodes(found, nodes)
-    return placed.select("exam_id", "qid", "asset_id", F.size("path").alias("depth"))
-
-
 @query("geo_image_clip", f"""
 with k as (select exam_id, page, qid, cx0, by0 as ky0, cx1, by1 as ky1 from ({CLIPS_SQL})),
 b as (select p_partkey as exam_id, 1 as page, p_size * 3.0::double as x0, (p_retailprice - 900) % 300 + 50 as y0, p_size * 3.0::double + 60 + p_partkey % 90 as x1, (p_retailprice - 900) % 300 + 90 + p_partkey % 60 as y1
@@ -334,13 +275,6 @@ def geo_image_clip(spark, sf_dir):
     return found.select("exam_id", "qid", "figure_no", *[F.round(c, 6).alias(c) for c in layout.BOX])
 
 
-@query("agg_largest_figure")
-def agg_largest_figure(spark, sf_dir):
-    lined, paged, _cells, segs, _clip = clip(spark, sf_dir)
-    found = build.question_figures(segs, drawings(spark, sf_dir, lined), lined, paged).filter(F.col("kind") == "vector")
-    return found.select("exam_id", "qid", *layout.BOX)
-
-
 LABEL_SQL = f"""select exam_id, page, arg_min(cx, (block, line)) as cx, arg_min(cy, (block, line)) as cy, min((block, line)) as bl from (
   select exam_id, page, block, line, (x0 + x1) / 2 as cx, (y0 + y1) / 2 as cy from ({LINES_SQL}) where contains(text, 'IGCSE')) group by exam_id, page, {S.half_even('cx')}, {S.half_even('cy')}"""
 

@@ -36,6 +36,7 @@ def load_all() -> None:
         q_request,
         q_tree,
         q_layout,
+        q_scaffold,
         q_geometry,
         q_raster,
     )

@@ -80,3 +80,13 @@ def half_even(x: str, digits: int = 0) -> str:
 
 def band(x: str) -> str:
     return f"case when {x} >= 80 then 'green' when {x} >= 50 then 'yellow' else 'red' end"
+
+
+def answer_fields(x: str) -> tuple[str, str]:
+    """Answer and rest of a stripped answer-key text."""
+    first, rest = strip(lines(x) + "[1]"), strip(f"array_to_string({lines(x)}[2:], chr(10))")
+    letter = rf"""case when regexp_matches({first}, '^[A-Da-d]$') then upper({first})
+      when regexp_matches({first}, '^\d{{1,2}}\s+[A-Da-d]\s*$') then upper(regexp_extract({first}, '([A-Da-d])\s*$', 1))
+      when length({first}) <= 4 and regexp_matches({first}, '^[\d\sA-Da-d.]+$') and regexp_matches({first}, '\b[A-Da-d]\b')
+        then upper(regexp_extract({first}, '\b([A-Da-d])\b', 1)) end"""
+    return f"case when {x} <> '' then coalesce({letter}, nullif({first}, '')) end", f"case when {x} <> '' then nullif({rest}, '') end"
