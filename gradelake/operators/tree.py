@@ -127,8 +127,8 @@ def merge_answer_key(nodes: DataFrame, margin: DataFrame, table_rows: DataFrame,
 
 # ---- stored form -----------------------------------------------------------------------------
 
-#: Printed papers nest a number, a letter and a numeral.
-LEVELS = 3
+#: Stored levels. Printed papers nest three, a number, a letter and a numeral.
+LEVELS = 6
 BOX_TYPE = "struct<x0:double,y0:double,x1:double,y1:double,page:int>"
 IMAGE_TYPE = f"struct<bbox:{BOX_TYPE},path:string>"
 #: Lists of a node beside its options and parts, by their stored names.
@@ -155,43 +155,49 @@ def _stored_list(name: str) -> Column:
     return F.when(F.size(name) > 0, F.transform(name, item)).alias(name)
 
 
-def node_struct(subs: Column | None, lists: Sequence[str] = ()) -> Column:
-    """Stored fields of a node; empty ones are NULL and therefore left out of the JSON."""
-    fields = [
+def _stored_fields(lists: Sequence[str]) -> tuple[list[Column], list[Column]]:
+    """Stored fields of a node before and after its parts; empty ones are NULL and therefore left out of the JSON."""
+    before = [
         F.col("number"), F.col("question_type"), F.col("text"), F.col("marks"), _rounded(F.col("bbox")).alias("bbox"),
         F.when(F.size("answer_options") > 0, F.col("answer_options")).alias("answer_options"),
     ]
-    fields += [_stored_list(c) for c in LISTS if c in lists and c != "answer_images"]
-    if subs is not None:
-        fields.append(F.when(F.size(subs) > 0, subs).alias("subquestions"))
-    for c in ("correct_answer", "marking_criteria"):
-        fields.append(F.when(strip(F.col(c)) != "", F.col(c)).alias(c))
-    return F.struct(*fields, *[_stored_list(c) for c in LISTS if c in lists and c == "answer_images"])
+    before += [_stored_list(c) for c in LISTS if c in lists and c != "answer_images"]
+    after = [F.when(strip(F.col(c)) != "", F.col(c)).alias(c) for c in ("correct_answer", "marking_criteria")]
+    return before, after + [_stored_list(c) for c in LISTS if c in lists and c == "answer_images"]
 
 
 def question_structs(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
     """One nested struct per top-level question: ``exam_id, path, doc``.
 
-    Built from the deepest level upwards in one plan; a list never holds more than the letters or numerals
-    one parent can have. A node below ``levels`` is an error. Lists of :data:`LISTS` that the nodes have are stored.
+    The nodes of a question, which has no more than the letters and numerals of one printed number, meet in one
+    aggregation and are nested from the top. A node below ``levels`` is an error. Lists of :data:`LISTS` that the nodes have are stored.
     """
-    lists = [c for c in LISTS if c in nodes.columns]
-    depth = F.when(F.size("path") <= levels, F.size("path")).otherwise(F.raise_error(F.lit("a node lies deeper than the stored levels")))
-    nodes, below = nodes.withColumn("_depth", depth), None
-    for level_no in range(levels, 0, -1):
-        level, subs = nodes.filter(F.col("_depth") == level_no), None
-        if below is not None:
-            level, subs = level.join(below, ["exam_id", "path"], "left"), F.col("_subs")
-        level = level.select("exam_id", "path", node_struct(subs, lists).alias("doc"))
-        if level_no > 1:
-            ordered = F.array_sort(F.collect_list(F.struct("path", "doc")))
-            below = level.groupBy("exam_id", _parent(F.col("path")).alias("path")).agg(F.transform(ordered, lambda s: s["doc"]).alias("_subs"))
-    return level
+    before, after = _stored_fields([c for c in LISTS if c in nodes.columns])
+    path = F.when(F.size("path") <= levels, F.col("path")).otherwise(F.raise_error(F.lit("a node lies deeper than the stored levels")))
+    flat = nodes.select("exam_id", F.get("path", F.lit(0)).alias("_root"), F.struct(path.alias("path"), F.struct(*before).alias("before"), F.struct(*after).alias("after")).alias("_n"))
+    names = [[f.name for f in flat.schema["_n"].dataType[part].dataType] for part in ("before", "after")]
+    every = F.array_sort("_all", lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0))
+    question = flat.groupBy("exam_id", "_root").agg(F.collect_list("_n").alias("_all")).withColumn("_all", every)
+
+    def nested(node: Column, depth: int) -> Column:
+        fields = [[node[part][n].alias(n) for n in ns] for part, ns in zip(("before", "after"), names, strict=True)]
+        if depth < levels:
+            below = F.filter("_all", lambda c: (F.size(c["path"]) == depth + 1) & (F.slice(c["path"], 1, depth) == node["path"]))
+            fields[0].append(F.transform(below, lambda c: nested(c, depth + 1)).alias("subquestions"))
+        return F.struct(*fields[0], *fields[1])
+
+    tops = F.filter("_all", lambda c: F.size(c["path"]) == 1)
+    return question.select("exam_id", F.explode(tops).alias("_top"), "_all").select("exam_id", F.col("_top.path").alias("path"), nested(F.col("_top"), 1).alias("doc"))
+
+
+def _json(value: Column) -> Column:
+    """JSON without empty lists of parts; inside a stored text the quotes of such a list would be escaped."""
+    return F.replace(F.to_json(value), F.lit(',"subquestions":[]'), F.lit(""))
 
 
 def question_documents(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
     """One nested JSON document per top-level question: ``exam_id, path, doc``."""
-    return question_structs(nodes, levels).withColumn("doc", F.to_json("doc"))
+    return question_structs(nodes, levels).withColumn("doc", _json(F.col("doc")))
 
 
 def exam_documents(nodes: DataFrame, page_counts: DataFrame, levels: int = LEVELS) -> DataFrame:
@@ -200,12 +206,12 @@ def exam_documents(nodes: DataFrame, page_counts: DataFrame, levels: int = LEVEL
     ``nodes`` carry ``is_leaf``; ``page_counts``: ``exam_id, page_count``, 0 where it is missing. An exam's list
     holds the numbered questions of one paper.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("path", "doc")))
+    ordered = F.array_sort(F.collect_list(F.struct("path", "doc")), lambda a, b: F.when(a["path"] < b["path"], -1).otherwise(1))
     listed = question_structs(nodes, levels).groupBy("exam_id").agg(F.transform(ordered, lambda s: s["doc"]).alias("questions"))
     whole = listed.join(exam_summary(nodes), "exam_id").join(page_counts.select("exam_id", "page_count"), "exam_id", "left")
     envelope = F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), "questions", "total_marks", F.coalesce("page_count", F.lit(0)).alias("page_count"),
                         F.col("description").alias("raw_description"))
-    return whole.select("exam_id", F.to_json(envelope).alias("raw"))
+    return whole.select("exam_id", _json(envelope).alias("raw"))
 
 
 def _unfolded(questions: Column, above: Column, levels: int) -> Column:
