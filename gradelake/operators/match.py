@@ -3,7 +3,7 @@
 No pair of a read and a candidate is formed before a shared key has been found:
 
 * equal names join on the name,
-* containment joins on substrings, each of which keeps only its earliest candidate,
+* containment joins on the rarest three characters of the shorter text,
 * similarity joins on the rare part of the numbered characters (prefix filter of a set join).
   A ratio of at least ``MIN_RATIO`` needs that many common characters, so no match is lost.
 """
@@ -34,12 +34,32 @@ def seq_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)], dtype="float64")
 
 
-def _substrings(text: Column, lengths: Column) -> Column:
-    """Distinct substrings of the given lengths."""
-    per_length = F.transform(
-        F.filter(lengths, lambda n: n <= F.length(text)),
-        lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, n)))
-    return F.array_distinct(F.flatten(per_length))
+GRAM = 3
+
+
+def _grams(text: Column, sizes: Sequence[int]) -> Column:
+    """Distinct substrings of the given few lengths, and the empty one."""
+    def of_size(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[of_size(n) for n in sizes]))
+
+
+def _holding(needles: DataFrame, hay: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pairs ``keys, n, h`` of texts of which the second contains the first.
+
+    A needle is looked up by the one of its grams (of three characters, or all of a shorter needle) that the fewest texts
+    have, so grams grow with the length of the texts and common ones make no pairs.
+    """
+    keys = list(keys)
+    found = hay.select(*keys, "h", F.explode(_grams(F.col("h"), range(1, GRAM + 1))).alias("g"))
+    often = found.groupBy(*keys, "g").agg(F.count("*").alias("df"))
+    size = F.least(F.length("n"), F.lit(GRAM))
+    own = F.filter(_grams(F.col("n"), range(1, GRAM + 1)), lambda g: F.length(g) == F.least(F.length("n"), F.lit(GRAM)))
+    rarest = (needles.select(*keys, "n", F.explode(own).alias("g")).filter(F.length("g") == size).join(often, [*keys, "g"], "left")
+              .groupBy(*keys, "n").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")).alias("r")))
+    keyed = rarest.filter(F.col("r.df") > 0).select(*keys, "n", F.col("r.g").alias("g"))
+    return keyed.join(found, [*keys, "g"]).filter(F.contains("h", "n")).select(*keys, "n", "h")
 
 
 def _numbered_chars(text: Column) -> Column:
@@ -53,17 +73,15 @@ def contained(reads: DataFrame, names: DataFrame, keys: Sequence[str]) -> DataFr
     """Earliest candidate of which the read is a part, or which is a part of the read.
 
     ``reads`` has ``keys, low``; ``names`` has ``keys, clow, first`` with ``first`` =
-    ``struct(pos, cand)``, one row per name. The lists of lengths are bounded by the longest name.
+    ``struct(pos, cand)``, one row per name.
     """
     keys = list(keys)
-    read_lens = reads.groupBy(*keys).agg(F.collect_set(F.length("low")).alias("lens"))
-    name_lens = names.groupBy(*keys).agg(F.collect_set(F.length("clow")).alias("lens"))
-    parts = (names.join(read_lens, keys).select(*keys, "first", F.explode(_substrings(F.col("clow"), F.col("lens"))).alias("low"))
-             .groupBy(*keys, "low").agg(F.min("first").alias("first")))
-    inside = reads.join(parts, [*keys, "low"]).select(*keys, "low", "first")
-    around = (reads.join(name_lens, keys).select(*keys, "low", F.explode(_substrings(F.col("low"), F.col("lens"))).alias("clow"))
-              .join(names, [*keys, "clow"]).select(*keys, "low", "first"))
-    return inside.unionByName(around).groupBy(*keys, "low").agg(F.min("first").alias("first"))
+    as_read, as_name = reads.select(*keys, "low"), names.select(*keys, "clow")
+    inside = _holding(as_read.withColumnRenamed("low", "n"), as_name.withColumnRenamed("clow", "h"), keys)
+    inside = inside.withColumnsRenamed({"n": "low", "h": "clow"}).join(names, [*keys, "clow"]).groupBy(*keys, "low").agg(F.min("first").alias("inside"))
+    around = _holding(as_name.withColumnRenamed("clow", "n"), as_read.withColumnRenamed("low", "h"), keys)
+    around = around.withColumnsRenamed({"h": "low", "n": "clow"}).join(names, [*keys, "clow"]).groupBy(*keys, "low").agg(F.min("first").alias("around"))
+    return inside.join(around, [*keys, "low"], "full").select(*keys, "low", F.least("inside", "around").alias("first"))
 
 
 def similar(reads: DataFrame, names: DataFrame, keys: Sequence[str]) -> DataFrame:

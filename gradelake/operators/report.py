@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradelake.functions import numbers
@@ -32,6 +32,42 @@ def results_matrix(grades: DataFrame, leaves: Sequence[str]) -> DataFrame:
     return wide.select(*keys, *shown, "total", share.alias("pct"), numbers.pct_band(share).alias("band"))
 
 
+def _in_leaf_order(cells: DataFrame, leaves: DataFrame, shown: Column) -> DataFrame:
+    """``scan_id, student, cells``: a map from the leaves of the scan's own exam, in id order, to the shown values.
+
+    ``leaves``: distinct ``scan_id, q_number``, the leaves of one paper; those without a value are :data:`ABSENT`.
+    """
+    ranked = F.array_sort(F.collect_list(F.struct(F.length("q_number").alias("l"), F.col("q_number").alias("q"))))
+    order = leaves.groupBy("scan_id").agg(F.transform(ranked, lambda s: s["q"]).alias("_ids"))
+    values = cells.groupBy("scan_id", "student").agg(F.map_from_entries(F.collect_list(F.struct("q_number", shown.alias("v")))).alias("_have"))
+    entries = F.transform("_ids", lambda q: F.struct(q.alias("q"), F.coalesce(F.try_element_at("_have", q), F.lit(ABSENT)).alias("v")))
+    return values.join(order, "scan_id").select("scan_id", "student", F.map_from_entries(entries).alias("cells"))
+
+
+def results_map(grades: DataFrame, leaves: DataFrame) -> DataFrame:
+    """One row per student: marks by leaf of the own exam, total, share and band; exams may have different leaves."""
+    keys = ["scan_id", "student"]
+    sums = grades.groupBy(*keys).agg(F.sum("marks").alias("total"), F.sum("max_marks").alias("max_marks"))
+    share = numbers.pct(F.col("total"), F.col("max_marks"))
+    shown = F.coalesce(numbers.fixed(F.col("marks"), 1), F.lit(ABSENT))
+    return _in_leaf_order(grades, leaves, shown).join(sums, keys).select(*keys, "cells", "total", share.alias("pct"), numbers.pct_band(share).alias("band"))
+
+
+def eval_map(cells: DataFrame, scores: DataFrame, leaves: DataFrame) -> DataFrame:
+    """As :func:`eval_matrix`, with a map by leaf of the own exam in place of columns; students without any cell are kept."""
+    keys = ["scan_id", "student"]
+    shown = F.when(F.col("ok"), F.col("extracted")).otherwise(F.concat_ws("/", "extracted", "expected"))
+    every = scores.select(*keys, F.lit("").alias("q_number"), F.lit("").alias("_v"))
+    rows = cells.select(*keys, "q_number", shown.alias("_v")).unionByName(every)
+    wide = _in_leaf_order(rows, leaves, F.col("_v"))
+    return scores.join(wide, keys).select(*keys, "cells", numbers.pct_text(F.col("accuracy_pct")).alias("acc"),
+                                          F.concat_ws("/", F.col("correct").cast("string"), F.col("total").cast("string")).alias("score"))
+
+
+def map_text(cells: str) -> Column:
+    return F.array_join(F.transform(F.map_entries(cells), lambda e: F.concat(F.lit("q"), e["key"], F.lit("="), e["value"])), " ")
+
+
 def page_summary(assigned: DataFrame, students: DataFrame) -> DataFrame:
     return page_lists(assigned).join(students.select("scan_id", "student", "confidence"), ["scan_id", "student"])
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradelake.operators import evaluate, vote
-from gradelake.operators.report import eval_matrix
+from gradelake.operators.report import eval_map, eval_matrix, map_text
 from gradelake.plans import sqlbits as S
-from gradelake.plans.q_grade import MC_GRADES_SQL, mc_grades
+from gradelake.plans.q_grade import LEAVES, MC_GRADES_SQL, mc_grades
 from gradelake.plans.registry import query
 from gradelake.session import staged, table
 from gradelake.sources import ground_truth as gt
@@ -118,16 +118,20 @@ def mdl_eval_compare(spark, sf_dir):
                     evaluate.shown_value(answer, mark, expected).alias("extracted"), evaluate.cell_ok(answer, mark, expected).alias("ok"))
 
 
-# ---- students against reference rows: names differ in case or by a suffix ------------------------------
+# ---- students against reference rows: names differ in case or by a suffix, or only the most similar one is left ------------------------------
 
 TRUTH_SQL = """select l_orderkey // 30 as scan_id, case when l_orderkey % 2 = 0 then 'STUDENT' || l_orderkey else 'student' || l_orderkey || ' x' end as student, l_orderkey as pos,
     l_linenumber::varchar as q_number, case min(l_partkey) % 3 when 0 then chr((65 + min(l_suppkey) % 2)::int) when 1 then (min(l_suppkey) % 4)::varchar end as value
   from lineitem where l_orderkey % 10 <> 9 group by l_orderkey, l_linenumber"""
 EVAL_RESULTS_SQL = f"select scan_id, 'Student' || student as student, q_number, answer, marks from ({MC_GRADES_SQL})"
 # Reading 'studentN' is part of every longer name that starts with it, and the earliest one counts.
-MATCHED_SQL = f"""with s as (select distinct scan_id, student from ({EVAL_RESULTS_SQL})), g as (select distinct scan_id, student, pos from ({TRUTH_SQL}))
-  select s.scan_id, s.student, arg_min(g.student, case when lower(g.student) = lower(s.student) then 0 else 1000000000000 end + g.pos) as matched
-  from s join g on s.scan_id = g.scan_id and (contains(lower(g.student), lower(s.student)) or contains(lower(s.student), lower(g.student))) group by 1, 2"""
+MATCHED_SQL = f"""select * from (with s as (select distinct scan_id, student from ({EVAL_RESULTS_SQL})), g as (select distinct scan_id, student, pos from ({TRUTH_SQL})),
+  p as materialized (select s.scan_id, s.student, g.student as gt, lower(s.student) as low, lower(g.student) as clow, g.pos from s join g on s.scan_id = g.scan_id),
+  t as materialized (select scan_id, student, arg_min(gt, case when clow = low then 0 else 1000000000000 end + pos) as matched from p
+    where contains(clow, low) or contains(low, clow) group by 1, 2),
+  o as materialized (select p.* from p anti join t using (scan_id, student)),
+  q as materialized ({S.ratios("select low as a, clow as b from o")})
+  select * from t union all select scan_id, student, arg_max(gt, (ratio, -pos)) from o join q on low = a and clow = b where ratio >= 0.6 group by 1, 2)"""
 EVAL_CELLS_SQL = f"""select m.scan_id, m.student, m.matched, t.q_number, t.value as expected,
     case when try_cast(t.value as double) is not null then coalesce(printf('%.1f', r.marks), '?') else upper(trim(coalesce(r.answer, '?'))) end as extracted,
     case when try_cast(t.value as double) is not null then abs(coalesce(r.marks, 0) - t.value::double) < 0.01
@@ -150,7 +154,7 @@ def evaluation(spark, sf_dir):
     results = mc_grades(spark, sf_dir).withColumn("student", F.concat(F.lit("Student"), F.col("student").cast("string")))
     truth, results = staged(truth), staged(results)
     leaves = results.select("scan_id", "q_number").distinct()
-    matched = staged(evaluate.matched_students(results, truth, similarity=False))
+    matched = staged(evaluate.matched_students(results, truth))
     cells = evaluate.evaluated_cells(results.select("scan_id", "student", "q_number", "answer", "marks"), truth, matched, leaves)
     return matched, cells
 
@@ -180,9 +184,19 @@ select s.scan_id, s.student, coalesce("1", '–') as q1, coalesce("2", '–') as
 from ({SCORES_SQL}) s left join p using (scan_id, student)""")
 def rep_eval_matrix(spark, sf_dir):
     matched, cells = evaluation(spark, sf_dir)
-    # The leaves of an exam are a short list, read from its questions.
-    ids = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("string").alias("q")).distinct().collect()
-    return eval_matrix(cells, evaluate.student_scores(matched, cells), sorted((r["q"] for r in ids), key=lambda q: (len(q), q)))
+    return eval_matrix(cells, evaluate.student_scores(matched, cells), LEAVES)
+
+
+@query("rep_eval_by_exam", f"""
+with o as (select scan_id, string_agg(q_number, ',' order by length(q_number), q_number) as ids from (select distinct scan_id, q_number from ({EVAL_RESULTS_SQL})) group by 1),
+c as (select scan_id, student, q_number, case when ok then extracted else extracted || '/' || expected end as shown from ({EVAL_CELLS_SQL})),
+x as (select s.scan_id, s.student, unnest(string_split(ids, ',')) as q from ({SCORES_SQL}) s join o using (scan_id))
+select x.scan_id, x.student, string_agg('q' || q || '=' || coalesce(shown, '–'), ' ' order by length(q), q) as cells from x left join c on x.scan_id = c.scan_id and x.student = c.student and x.q = c.q_number group by 1, 2""")
+def rep_eval_by_exam(spark, sf_dir):
+    """Every scan with the leaves of its own exam, as a map in their order."""
+    matched, cells = evaluation(spark, sf_dir)
+    leaves = mc_grades(spark, sf_dir).select("scan_id", "q_number").distinct()
+    return eval_map(cells, evaluate.student_scores(matched, cells), leaves).select("scan_id", "student", map_text("cells").alias("cells"))
 
 
 # ---- extraction records --------------------------------------------------------------------------------

@@ -12,6 +12,8 @@ from gradelake.plans.registry import query
 from gradelake.session import table
 
 STUDENT = ["scan_id", "student"]
+#: Numbers that a line of an order can have.
+LEAVES = [str(n) for n in range(1, 8)]
 
 # ---- bindings: one reply per (student, question), the key of its part ------------------------
 
@@ -254,10 +256,23 @@ def rep_results_matrix(spark, sf_dir):
     from gradelake.operators.report import results_matrix
 
     grades = mc_grades(spark, sf_dir)
-    # The leaves of an exam are a short list, read from its questions.
-    ids = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("string").alias("q")).distinct().collect()
-    out = results_matrix(grades, sorted((r["q"] for r in ids), key=lambda q: (len(q), q)))
-    return out.withColumn("pct", F.round("pct", 6))
+    return results_matrix(grades, LEAVES).withColumn("pct", F.round("pct", 6))
+
+
+@query("rep_results_by_exam", f"""
+with g as ({MC_GRADES_SQL}), o as (select scan_id, string_agg(q_number, ',' order by length(q_number), q_number) as ids from (select distinct scan_id, q_number from g) group by 1),
+x as (select s.scan_id, s.student, unnest(string_split(ids, ',')) as q from (select distinct scan_id, student from g) s join o using (scan_id)),
+m as (select x.scan_id, x.student, string_agg('q' || q || '=' || coalesce(printf('%.1f', marks), '–'), ' ' order by length(q), q) as cells
+  from x left join g on x.scan_id = g.scan_id and x.student = g.student and x.q = g.q_number group by 1, 2)
+select scan_id, student, cells, total, case when max_marks <> 0 then round(total / max_marks * 100, 6) else 0.0 end as pct, {S.band("(case when max_marks <> 0 then total / max_marks * 100 else 0.0 end)")} as band
+from m join ({TOTALS_SQL}) using (scan_id, student)""")
+def rep_results_by_exam(spark, sf_dir):
+    """Every scan with the leaves of its own exam, as a map in their order."""
+    from gradelake.operators.report import map_text, results_map
+
+    grades = mc_grades(spark, sf_dir)
+    out = results_map(grades, grades.select("scan_id", "q_number").distinct())
+    return out.select(*STUDENT, map_text("cells").alias("cells"), "total", F.round("pct", 6).alias("pct"), "band")
 
 
 # ---- filters ---------------------------------------------------------------------------------

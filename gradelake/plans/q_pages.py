@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gradelake.operators import grade, match
 from gradelake.operators.report import page_summary
+from gradelake.plans import sqlbits as S
 from gradelake.plans.registry import query
 from gradelake.session import table
 
@@ -148,14 +149,27 @@ def swapped(name):
     return F.concat(F.left(name, n - 3), F.substr(name, n - 1, F.lit(1)), F.substr(name, n - 2, F.lit(1)), F.lit("o"))
 
 
-@query("join_fuzzy_name_similar")
+SWAPPED_SQL = "left(c_name, length(c_name) - 3) || substr(c_name, (length(c_name) - 1)::int, 1) || substr(c_name, (length(c_name) - 2)::int, 1) || 'o'"
+SIMILAR_SQL = f"""with r as (select c_custkey // 40 as scan_id, c_custkey as pos, c_name as student, {SWAPPED_SQL} as name from customer),
+p as materialized (select distinct a.scan_id, a.name, lower(trim(a.name)) as low, b.student, lower(b.student) as clow, b.pos from r a join r b on a.scan_id = b.scan_id),
+t as materialized (select scan_id, name, arg_min(student, case when low = clow then 0 else 1000000000000 end + pos) as matched, min(case when low = clow then 1 else 2 end) as tier
+  from p where low = clow or contains(low, clow) or contains(clow, low) group by 1, 2),
+o as materialized (select p.* from p anti join t using (scan_id, name)),
+q as ({S.ratios("select low as a, clow as b from o")})
+select scan_id, name, matched, tier::int as tier from t union all
+select scan_id, name, arg_max(student, (ratio, -pos)), 3 from o join q on low = a and clow = b where ratio >= 0.6 group by 1, 2"""
+
+
+@query("join_fuzzy_name_similar", SIMILAR_SQL)
 def join_fuzzy_name_similar(spark, sf_dir):
     rows = name_reads(spark, sf_dir)
     reads = rows.select("scan_id", swapped(F.col("student")).alias("name"))
     return match.match_names(reads, rows.select("scan_id", "student", "pos"))
 
 
-@query("fn_seq_ratio")
+@query("fn_seq_ratio", f"""with n as (select c_custkey, lower(c_name) as a, lower({SWAPPED_SQL}) as b from customer),
+q as materialized ({S.ratios("select b as a, a as b from n union all select a, b from n")})
+select c_custkey, x.ratio as ratio, y.ratio as reverse_ratio from n join q x on x.a = n.b and x.b = n.a join q y on y.a = n.a and y.b = n.b""")
 def fn_seq_ratio(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.lower("c_name").alias("a"), F.lower(swapped(F.col("c_name"))).alias("b"))
     return rows.select("c_custkey", match.seq_ratio("b", "a").alias("ratio"), match.seq_ratio("a", "b").alias("reverse_ratio"))

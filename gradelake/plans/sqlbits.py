@@ -90,3 +90,19 @@ def answer_fields(x: str) -> tuple[str, str]:
       when length({first}) <= 4 and regexp_matches({first}, '^[\d\sA-Da-d.]+$') and regexp_matches({first}, '\b[A-Da-d]\b')
         then upper(regexp_extract({first}, '\b([A-Da-d])\b', 1)) end"""
     return f"case when {x} <> '' then coalesce({letter}, nullif({first}, '')) end", f"case when {x} <> '' then nullif({rest}, '') end"
+
+
+def ratios(pairs: str) -> str:
+    """``a, b, ratio`` of distinct pairs ``a, b`` after Ratcliff and Obershelp: the longest common block, then what lies left and right of it.
+
+    Among equally long blocks the first in ``a``, then in ``b`` counts. The query starts with ``with recursive``.
+    """
+    prefix = "list_max(list_transform(range(0, least(ahi - i, bhi - j) + 1), lambda k: case when substr(a, (i + 1)::int, k::int) = substr(b, (j + 1)::int, k::int) then k else 0 end))"
+    best = f"list_sort(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(blo, bhi), lambda j: [{prefix}, -i, -j]))), 'DESC')[1]"
+    return f"""with recursive seg as (
+      select a, b, {best} as m, alo, ahi, blo, bhi from (select distinct a, b, 0::bigint as alo, length(a)::bigint as ahi, 0::bigint as blo, length(b)::bigint as bhi from ({pairs}))
+      union all
+      select a, b, {best}, alo, ahi, blo, bhi from (
+        select a, b, u.alo as alo, u.ahi as ahi, u.blo as blo, u.bhi as bhi from (select a, b, unnest([
+          {{'alo': alo, 'ahi': -m[2], 'blo': blo, 'bhi': -m[3]}}, {{'alo': m[1] - m[2], 'ahi': ahi, 'blo': m[1] - m[3], 'bhi': bhi}}]) as u from seg where m[1] > 0)) where alo < ahi and blo < bhi)
+    select a, b, 2.0::double * sum(m[1]) / (length(a) + length(b)) as ratio from seg group by a, b"""
