@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradelake.functions import numbers
-from gradelake.functions.replies import NOT_ATTEMPTED, UNREADABLE, salvaged_object
+from gradelake.functions.replies import NOT_ATTEMPTED, UNREADABLE, bound, salvaged_object
 from gradelake.functions.text import strip
 from gradelake.operators.match import match_names
 from gradelake.operators.ordered import block_of, carry_forward, rank_in_order
@@ -143,10 +143,11 @@ def first_readable(reads: DataFrame, keys: Sequence[str], order: Sequence[str])
 
 def mc_answer(raw: Column) -> Column:
     """Answer of a letter reply as it is given, in capitals; ``?`` where the reply names none."""
-    record = salvaged_object(raw)
-    said = F.get_json_object(record, "$.answer")
-    absent = F.when(F.array_contains(F.json_object_keys(record), "answer"), "NONE").otherwise(UNREADABLE)
-    return F.upper(strip(F.coalesce(said, absent)))
+    def said(record: Column) -> Column:
+        absent = F.when(F.array_contains(F.json_object_keys(record), "answer"), "NONE").otherwise(UNREADABLE)
+        return F.upper(strip(F.coalesce(F.get_json_object(record, "$.answer"), absent)))
+
+    return bound(salvaged_object(raw), said)
 
 
 def mc_marks(answer: Column, correct: Column, max_marks: Column) -> Column:
