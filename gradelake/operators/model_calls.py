@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from gradelake.session import staged
+
 # Tries per row and pauses between them, for marking and for extraction.
 TRIES = 3
 MARKING_PAUSES = (2.0, 4.0)
@@ -50,6 +52,36 @@ def call_model(df: DataFrame, client_factory: Callable[[], Callable[[dict], str]
     return df.mapInPandas(batches, schema)
 
 
+#: Requests that one task asks before their replies are stored, and tasks of a batch.
+ASKED_BY_TASK = 64
+TASKS = 64
+
+
+def call_once(df: DataFrame, client_factory: Callable[[], Callable[[dict], str]], inputs: Sequence[str], folder: str,
+              pauses: Sequence[float] = MARKING_PAUSES, out: str = "raw", asked_by_task: int = ASKED_BY_TASK, tasks: int = TASKS) -> DataFrame:
+    """As :func:`call_model`, but a request is asked once and its reply kept in ``folder``.
+
+    Requests are told apart by a hash of their inputs, so equal rows share a reply. Those without a stored reply are asked in
+    batches, and every batch is stored before the next begins: a lost task asks at most its ``asked_by_task`` requests
+    again, a repeated run only what failed or is missing. Failures are stored too, but asked again by the next run.
+    """
+    spark, request = df.sparkSession, F.sha2(F.to_json(F.struct(*inputs)), 256)
+    schema = StructType([StructField("request", StringType()), StructField(out, StringType()), StructField("attempts", IntegerType()), StructField("error", StringType())])
+    keyed = df.withColumn("request", request)
+    spark.createDataFrame([], schema).write.mode("append").parquet(folder)
+    answered = spark.read.schema(schema).parquet(folder).filter(F.col("error").isNull()).select("request")
+    todo = keyed.groupBy("request").agg(*[F.first(i).alias(i) for i in inputs]).join(answered, "request", "left_anti")
+    todo = staged(todo.withColumn("part", F.xxhash64("request")), "requests")
+    batches = -(-todo.count() // (asked_by_task * tasks))
+    for batch in range(batches):
+        due = todo.filter(F.pmod("part", F.lit(batches)) == batch).repartition(tasks, "request").select("request", *inputs)
+        call_model(due, client_factory, inputs, pauses, out).select("request", out, "attempts", "error").write.mode("append").parquet(folder)
+    replies = spark.read.schema(schema).parquet(folder)
+    # A reply wins over a failure of an earlier run.
+    best = replies.groupBy("request").agg(F.max(F.struct(F.col("error").isNull().alias("ok"), out, "attempts", "error")).alias("_b"))
+    return keyed.join(best, "request").select(*df.columns, f"_b.{out}", "_b.attempts", "_b.error")
+
+
 def unresolved(candidates: DataFrame, graded: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows that still need a call: those without a readable reply so far."""
     return candidates.join(graded.filter(F.col("answer") != "?").select(*keys).distinct(), list(keys), "left_anti")

@@ -101,12 +101,37 @@ def rotations(meta: DataFrame, use_osd: bool = False) -> DataFrame:
     return meta.withColumns({"landscape": landscape, "rotation": F.when(landscape, 0).otherwise(own)})
 
 
-def blank_states(flags: DataFrame) -> DataFrame:
-    """Stored state of the blank search: totals and page lists of every scan."""
+#: Version of the stored blank search.
+BLANKS_VERSION = 1
+
+
+def blank_states(flags: DataFrame, use_osd: bool | None = None, dpi: int | None = None) -> DataFrame:
+    """Stored state of the blank search: totals and page lists of every scan.
+
+    Render sizes are stored where ``flags`` carry ``w`` and ``h``, the rotation switch and the resolution where they are given.
+    """
     pages = lambda keep: F.array_sort(F.collect_list(F.when(keep, F.col("page"))))
-    return flags.groupBy("scan_id").agg(F.to_json(F.struct(
-        F.lit(1).alias("schema_version"), F.count("*").alias("total_pages"), pages(~F.col("blank")).alias("content_page_nums"),
-        pages(F.col("blank")).alias("blank_page_nums"), F.lit(BLANK_MEAN).alias("blank_mean"), F.lit(BLANK_STD).alias("blank_std"))).alias("state"))
+    fields = [F.lit(BLANKS_VERSION).alias("schema_version"), F.count("*").alias("total_pages"), pages(~F.col("blank")).alias("content_page_nums"),
+              pages(F.col("blank")).alias("blank_page_nums")]
+    if {"w", "h"} <= set(flags.columns):
+        sized = F.array_sort(F.collect_list(F.struct("page", F.array("w", "h").alias("s"))))
+        fields.append(F.transform(sized, lambda p: p["s"]).alias("page_render_sizes"))
+    fields += [F.lit(BLANK_MEAN).alias("blank_mean"), F.lit(BLANK_STD).alias("blank_std")]
+    fields += [F.lit(v).alias(n) for n, v in (("use_tesseract_rotation", use_osd), ("analysis_dpi", dpi)) if v is not None]
+    return flags.groupBy("scan_id").agg(F.to_json(F.struct(*fields)).alias("state"))
+
+
+def read_blank_states(states: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages ``scan_id, page, blank, w, h`` of stored states, and the states of another version."""
+    schema = "schema_version int, content_page_nums array<long>, blank_page_nums array<long>, page_render_sizes array<array<int>>"
+    parsed = states.withColumn("_s", F.from_json("state", schema))
+    known = F.coalesce(F.col("_s.schema_version") == BLANKS_VERSION, F.lit(False))
+    listed = lambda name, blank: F.transform(F.col(f"_s.{name}"), lambda p: F.struct(p.alias("page"), F.lit(blank).alias("blank")))
+    every = F.array_sort(F.concat(listed("content_page_nums", False), listed("blank_page_nums", True)))
+    pages = parsed.filter(known).select("scan_id", "_s.page_render_sizes", F.posexplode(every).alias("_i", "_p"))
+    size = F.get("page_render_sizes", F.col("_i"))
+    return (pages.select("scan_id", "_p.page", "_p.blank", F.get(size, F.lit(0)).alias("w"), F.get(size, F.lit(1)).alias("h")),
+            parsed.filter(~known).select("scan_id", F.col("_s.schema_version").alias("version")))
 
 
 # ---- threshold -------------------------------------------------------------------------------------

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradelake.functions.replies import salvaged_object
 from gradelake.functions.text import strip
+from gradelake.session import staged
+from gradelake.sources import store
 
 # Defaults, limits and the words that name a task or a switch.
 DEFAULT_DPI = 400
@@ -131,3 +135,21 @@ def fresh_caches(sources: DataFrame, caches: DataFrame, key: str) -> DataFrame:
     newest = sources.groupBy(key).agg(F.max("mtime").alias("newest"))
     return newest.join(caches.select(key, F.col("mtime").alias("cached")), key).withColumn(
         "fresh", F.col("newest") <= F.col("cached"))
+
+
+def refreshed(sources: DataFrame, folder: str, key: str, build: Callable[[DataFrame], DataFrame], version: int) -> DataFrame:
+    """Builds the stored rows of stale keys anew and returns the table with ``rebuilt``.
+
+    ``sources`` carry ``key, mtime``; stored rows carry the ``mtime`` of what they were built of. A key is stale without a stored row,
+    or with a newer source. ``build`` sees the sources of stale keys only, and only their ranges of the table are written.
+    """
+    spark = sources.sparkSession
+    newest = sources.groupBy(key).agg(F.max("mtime").alias("newest"))
+    if store.stored_version(spark, folder) == version:
+        stored = store.load(spark, folder, version).select(key, F.col("mtime").alias("cached"))
+        stale = newest.join(stored, key, "left").filter(F.col("cached").isNull() | (F.col("newest") > F.col("cached"))).select(key)
+    else:
+        stale = newest.select(key)
+    stale = staged(stale, "stale")
+    store.replace(build(sources.join(stale, key, "left_semi")), folder, [key], version)
+    return store.load(spark, folder, version).join(stale.withColumn("rebuilt", F.lit(True)), key, "left").withColumn("rebuilt", F.coalesce("rebuilt", F.lit(False)))

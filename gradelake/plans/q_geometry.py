@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from gradelake.operators import geometry as G
 from gradelake.plans import sqlbits as S
 from gradelake.plans.registry import query
-from gradelake.session import shared_folder, table
+from gradelake.session import shared_folder, staged, table
+from gradelake.sources import store
 
 DPI, W, H = 300, 595.0, 842.0
 BOX = ("x0", "y0", "x1", "y1")
@@ -109,9 +110,9 @@ def geo_page_transforms_all_or_none(spark, sf_dir):
     return rounded(complete(spark, sf_dir), TF).select("scan_id", "page", "half", *TF)
 
 
-@query("join_boxes_to_pages", f"select scan_id, page, half, count(*)::bigint as boxes, min(box_id) as first_box from ({PROJECTED_SQL}) group by 1, 2, 3")
+@query("join_boxes_to_pages", f"select scan_id, page, half, box_id from ({PROJECTED_SQL})")
 def join_boxes_to_pages(spark, sf_dir):
-    return projected(spark, sf_dir).groupBy("scan_id", "page", "half").agg(F.count("*").alias("boxes"), F.min("box_id").alias("first_box"))
+    return projected(spark, sf_dir).select("scan_id", "page", "half", "box_id")
 
 
 @query("geo_project_bbox", f"select scan_id, page, box_id, half, {_r()} from ({PROJECTED_SQL})")
@@ -161,9 +162,9 @@ def adjusted(spark, sf_dir):
     return G.adjusted_boxes(tops, strips, flags)
 
 
-@query("join_strip_to_box", f"select scan_id, page, count(*)::bigint as boxes, count(*) filter (expanded)::bigint as expanded from ({ADJUSTED_SQL}) group by 1, 2")
+@query("join_strip_to_box", f"select scan_id, page, box_id, expanded from ({ADJUSTED_SQL})")
 def join_strip_to_box(spark, sf_dir):
-    return adjusted(spark, sf_dir).groupBy("scan_id", "page").agg(F.count("*").alias("boxes"), F.count_if("expanded").alias("expanded"))
+    return adjusted(spark, sf_dir).select("scan_id", "page", "box_id", "expanded")
 
 
 @query("geo_adjusted_boxes", f"select scan_id, page, box_id, expanded, {_r()} from ({ADJUSTED_SQL})")
@@ -171,24 +172,41 @@ def geo_adjusted_boxes(spark, sf_dir):
     return rounded(adjusted(spark, sf_dir)).select("scan_id", "page", "box_id", "expanded", *BOX)
 
 
-@query("set_union_pages", f"""select scan_id, page, count(*)::bigint as boxes, count(distinct box_id)::bigint as distinct_boxes from (
-  select scan_id, page, box_id from ({RECTS_SQL}) where not is_blank union all select scan_id, page, box_id from ({RECTS_SQL}) where is_blank union all select scan_id, page, box_id from ({STRIPS_SQL})) group by 1, 2""")
+@query("set_union_pages", f"""select scan_id, page, box_id, kind from (select scan_id, page, box_id, case when is_blank then 'blank' else 'exercise' end as kind from ({RECTS_SQL})
+  union all select scan_id, page, box_id, 'strip' from ({STRIPS_SQL}))""")
 def set_union_pages(spark, sf_dir):
     found = rects(spark, sf_dir).select("scan_id", "page", "box_id", "is_blank", "w", *BOX)
     cols = ["scan_id", "page", "box_id"]
-    every = found.filter(~F.col("is_blank")).select(*cols).unionByName(found.filter("is_blank").select(*cols)).unionByName(G.margin_strips(found).select(*cols))
-    return every.groupBy("scan_id", "page").agg(F.count("*").alias("boxes"), F.count_distinct("box_id").alias("distinct_boxes"))
+    kind = lambda df, name: df.select(*cols, F.lit(name).alias("kind"))
+    plain, blank = kind(found.filter(~F.col("is_blank")), "exercise"), kind(found.filter("is_blank"), "blank")
+    return plain.unionByName(blank).unionByName(kind(G.margin_strips(found), "strip"))
 
 
-@query("sink_box_tables", f"""select scan_id, page, '{{"page":' || page || ',"exercise":' || (count(*) filter (not is_blank)) || ',"eq_blank":' || (count(*) filter (is_blank)) || '}}' as payload,
-  round(sum(x0), 4) as x0_sum from ({RECTS_SQL}) group by 1, 2""")
+NUMBERS = ("a", "b", "c", "d")
+
+
+def _stored(kind: str, sql: str, ref: str, cols=BOX, flag: str = "null::boolean") -> str:
+    shown = [f"round({c}, 5)" for c in cols] + ["null::double"] * (4 - len(cols))
+    return f"select '{kind}' as kind, scan_id, page, {ref} as ref, {', '.join(f'{v} as {n}' for v, n in zip(shown, NUMBERS, strict=True))}, {flag} as flag from ({sql})"
+
+
+@query("sink_box_tables", " union all ".join((
+    _stored("transform", COMPLETE_SQL, "half", TF), _stored("box", RECTS_SQL, "box_id::varchar", flag="is_blank"), _stored("strip", STRIPS_SQL, "box_id::varchar"),
+    _stored("adjusted", ADJUSTED_SQL, "box_id::varchar", flag="expanded"))))
 def sink_box_tables(spark, sf_dir):
-    """Projected boxes written by scan and read back."""
+    """Transforms, boxes, strips and adjusted boxes of every scan stored in one table, half of the scans again, and read back."""
     import uuid
 
-    path = f"{shared_folder(spark)}/boxes-{uuid.uuid4().hex}"
-    rects(spark, sf_dir).select("scan_id", "page", "box_id", "is_blank", *BOX).withColumn("part", F.col("scan_id") % 8).repartition("part").write.partitionBy("part").parquet(path)
-    back = spark.read.parquet(path)
-    return back.groupBy("scan_id", "page").agg(
-        F.to_json(F.struct(F.first("page").alias("page"), F.count_if(~F.col("is_blank")).alias("exercise"), F.count_if("is_blank").alias("eq_blank"))).alias("payload"),
-        F.round(F.sum("x0"), 4).alias("x0_sum"))
+    def rows(kind, df, ref, cols=BOX, flag=None):
+        shown = [F.round(c, 5) for c in cols] + [F.lit(None).cast("double")] * (4 - len(cols))
+        return df.select(F.lit(kind).alias("kind"), "scan_id", "page", F.col(ref).cast("string").alias("ref"), *[v.alias(n) for v, n in zip(shown, NUMBERS, strict=True)],
+                         (F.col(flag) if flag else F.lit(None).cast("boolean")).alias("flag"))
+
+    found = rects(spark, sf_dir)
+    every = rows("transform", complete(spark, sf_dir), "half", TF).unionByName(rows("box", found, "box_id", flag="is_blank"))
+    every = every.unionByName(rows("strip", G.margin_strips(found), "box_id")).unionByName(rows("adjusted", adjusted(spark, sf_dir), "box_id", flag="expanded"))
+    folder = f"{shared_folder(spark)}/boxes-{uuid.uuid4().hex}"
+    every = staged(every, "boxes")
+    store.replace(every, folder, ["scan_id"], 1)
+    store.replace(every.filter(F.col("scan_id") % 2 == 0), folder, ["scan_id"], 1)
+    return store.load(spark, folder, 1)

@@ -94,14 +94,10 @@ def written_reads(spark, sf_dir):
 WRITTEN_MARKS_SQL = f"""select *, case when try_cast(value as double) is null then 0.0::double else least(value::double, max_marks::double) end as marks from ({WRITTEN_SQL})"""
 
 
-@query("mdl_grade_written", f"""select scan_id, q_number, count(*)::bigint as reads, sum(marks) as marks, min(marks) as lowest,
-  count(*) filter (trim(answer) = '')::bigint as unreadable from ({WRITTEN_MARKS_SQL}) group by 1, 2""")
+@query("mdl_grade_written", f"select scan_id, student, q_number, answer, marks from ({WRITTEN_MARKS_SQL})")
 def mdl_grade_written(spark, sf_dir):
     marks = grade.written_marks(F.col("value"), F.col("max_marks"))
-    return (written_reads(spark, sf_dir).select("scan_id", "q_number", "answer", marks.alias("marks"))
-            .groupBy("scan_id", "q_number").agg(
-                F.count("*").alias("reads"), F.sum("marks").alias("marks"), F.min("marks").alias("lowest"),
-                F.count_if(F.trim("answer") == "").alias("unreadable")))
+    return written_reads(spark, sf_dir).select("scan_id", "student", "q_number", "answer", marks.alias("marks"))
 
 
 FIRST_READ_SQL = f"""with r as (select *, row_number() over (partition by student, q_number order by l_shipdate, l_partkey, l_suppkey, marks) as rn
@@ -120,11 +116,9 @@ def win_first_readable_page(spark, sf_dir):
     return grade.first_readable(reads, [*STUDENT, "q_number"], ["l_shipdate", "l_partkey", "l_suppkey", F.col("marks").alias("m")])
 
 
-@query("mdl_unattempted", f"""select scan_id, q_number, count(*)::bigint as skipped from ({MC_GRADES_SQL})
-  where answer = '-' and marks = 0 group by 1, 2""")
+@query("mdl_unattempted", f"select scan_id, student, q_number, marks from ({MC_GRADES_SQL}) where answer = '-' and marks = 0")
 def mdl_unattempted(spark, sf_dir):
-    return (mc_grades(spark, sf_dir).filter((F.col("answer") == replies.NOT_ATTEMPTED) & (F.col("marks") == 0))
-            .groupBy("scan_id", "q_number").agg(F.count("*").alias("skipped")))
+    return mc_grades(spark, sf_dir).filter((F.col("answer") == replies.NOT_ATTEMPTED) & (F.col("marks") == 0)).select(*STUDENT, "q_number", "marks")
 
 
 @query("join_attempts_default", """

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gradelake.operators import raster as R
 from gradelake.operators.ordered import rank_in_order
 from gradelake.operators.report import rotation_summary
 from gradelake.plans.registry import query
-from gradelake.session import staged, table
+from gradelake.session import shared_folder, staged, table
+from gradelake.sources import store
 
 PAGE = ["scan_id", "page"]
 GREY_SQL = """select vec_id // 20 as scan_id, (vec_id % 20 + 1)::int as page, i, case when label = 0 then 250 + g % 6 else g end as g from (
@@ -44,10 +47,30 @@ def ras_blank_pages(spark, sf_dir):
     return flags(spark, sf_dir).select(*PAGE, "blank")
 
 
-@query("sink_scan_blanks", f"""select scan_id, '{{"schema_version":1,"total_pages":' || count(*) || ',"content_page_nums":[' || coalesce(string_agg(page::varchar, ',' order by page) filter (not blank), '')
-  || '],"blank_page_nums":[' || coalesce(string_agg(page::varchar, ',' order by page) filter (blank), '') || '],"blank_mean":250,"blank_std":6}}' as state from (select scan_id, page::bigint as page, blank from ({FLAGS_SQL})) group by 1""")
+STATES_SQL = f"""select scan_id, '{{"schema_version":1,"total_pages":' || count(*) || ',"content_page_nums":[' || coalesce(string_agg(page::varchar, ',' order by page) filter (not blank), '')
+  || '],"blank_page_nums":[' || coalesce(string_agg(page::varchar, ',' order by page) filter (blank), '') || '],"page_render_sizes":[' || string_agg('[8,' || (8 + page) || ']', ',' order by page)
+  || '],"blank_mean":250,"blank_std":6,"use_tesseract_rotation":false,"analysis_dpi":150}}' as state from (select scan_id, page::bigint as page, blank from ({FLAGS_SQL})) group by 1"""
+
+
+def blank_store(spark, sf_dir):
+    """States written twice, as a repeated run does, and read from the table."""
+    sized = flags(spark, sf_dir).select(*PAGE, "blank", F.lit(8).alias("w"), (F.col("page") + 8).alias("h"))
+    states, folder = R.blank_states(sized, use_osd=False, dpi=150), f"{shared_folder(spark)}/blanks-{uuid.uuid4().hex}"
+    store.replace(states, folder, ["scan_id"], R.BLANKS_VERSION)
+    store.replace(states.filter(F.col("scan_id") % 2 == 0), folder, ["scan_id"], R.BLANKS_VERSION)
+    return store.load(spark, folder, R.BLANKS_VERSION)
+
+
+@query("sink_scan_blanks", STATES_SQL)
 def sink_scan_blanks(spark, sf_dir):
-    return R.blank_states(flags(spark, sf_dir))
+    return blank_store(spark, sf_dir).select("scan_id", "state")
+
+
+@query("src_scan_blanks", f"select scan_id, page::bigint as page, blank, 8::int as w, (8 + page)::int as h from ({FLAGS_SQL}) where scan_id % 3 <> 0")
+def src_scan_blanks(spark, sf_dir):
+    """Stored states back as pages; every third one is of another version and is rejected."""
+    other = F.when(F.col("scan_id") % 3 == 0, F.replace("state", F.lit('"schema_version":1'), F.lit('"schema_version":2'))).otherwise(F.col("state"))
+    return R.read_blank_states(blank_store(spark, sf_dir).withColumn("state", other))[0]
 
 
 META_SQL = """select p_partkey // 25 as scan_id, (p_partkey % 25 + 1)::int as page, 600 + p_size as w, case when (p_partkey // 25) % 4 = 0 then 500 when (p_partkey // 25) % 4 = 1 then 900 else 620 end as h,

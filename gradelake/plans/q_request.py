@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gradelake.functions import replies
 from gradelake.operators import request
-from gradelake.operators.model_calls import call_model
+from gradelake.operators.model_calls import call_once
 from gradelake.plans.registry import query
-from gradelake.session import table
-from gradelake.sources import files, records
+from gradelake.session import shared_folder, table
+from gradelake.sources import files, records, store
 
 PHRASES = ("count the marks", "check MC for first 5", " grade multiple choice quick", "skip the scan", "force clean", "reparse, no report",
            "skip clean and Re-Clean fast", "first 0 terminal only")
@@ -87,6 +89,24 @@ def project_cache_valid(spark, sf_dir):
     return request.fresh_caches(o.filter(F.col("o_orderstatus") != "P"), caches, "exam_id").select("exam_id", "fresh")
 
 
+REFRESH_SQL = """
+with o as (select o_custkey as exam_id, o_orderdate as t, o_orderstatus as st, o_totalprice as price from orders),
+s as (select exam_id, max(t) as newest from o group by 1), c as (select exam_id, max(t) as cached from o where st = 'P' group by 1)
+select s.exam_id, coalesce(newest > cached, true) as rebuilt, count(*)::bigint as n, round(max(price), 2) as best
+from s left join c using (exam_id) join o on o.exam_id = s.exam_id and (coalesce(newest > cached, true) or o.st = 'P') group by 1, 2"""
+
+
+@query("project_cache_refresh", REFRESH_SQL)
+def project_cache_refresh(spark, sf_dir):
+    """Exams summed up as of their last open order, then those with newer orders built anew from all of theirs; the others keep what is stored."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("exam_id"), F.col("o_orderdate").alias("mtime"), "o_orderstatus", "o_totalprice")
+    built = lambda df: df.groupBy("exam_id").agg(F.count("*").alias("n"), F.round(F.max("o_totalprice"), 2).alias("best"), F.max("mtime").alias("mtime"))
+    folder = f"{shared_folder(spark)}/exams-{uuid.uuid4().hex}"
+    store.replace(built(rows.filter(F.col("o_orderstatus") == "P")), folder, ["exam_id"], 1)
+    found = request.refreshed(rows, folder, "exam_id", built, 1)
+    return found.select("exam_id", "rebuilt", "n", "best")
+
+
 # ---- choice of files -----------------------------------------------------------------------------
 
 FILES_SQL = """select o_custkey as folder, o_orderkey as id, o_orderdate as mtime, case o_orderkey % 9 when 0 then 'Ground Truth' when 1 then 'answers.txt' when 2 then 'Raw Exam 4UP.pdf'
@@ -137,8 +157,11 @@ select page_number, answer from done union all select page_number, answer from n
 def sink_results_incremental(spark, sf_dir):
     k = F.col("o_custkey")
     done = table(spark, sf_dir, "orders").select(F.when(k % 3 > 0, k).alias("page_number"), F.col("o_orderstatus").alias("answer"), F.col("o_orderkey").alias("pos"))
-    new = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_number"), F.left("c_mktsegment", F.lit(1)).alias("answer"))
-    return files.resumed(done, new).select("page_number", "answer")
+    new = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_number"), F.left("c_mktsegment", F.lit(1)).alias("answer"), F.lit(0).cast("bigint").alias("pos"))
+    folder = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    files.resume(done, folder)
+    files.resume(new, folder)
+    return files.resume(new.withColumn("answer", F.lit("late")), folder).select("page_number", "answer")
 
 
 # ---- replies --------------------------------------------------------------------------------------
@@ -203,4 +226,15 @@ def mdl_batch_call(spark, sf_dir):
         return reply
 
     rows = table(spark, sf_dir, "events").select("event_id", "props")
-    return call_model(rows, factory, ["event_id", "props"], pauses=(0.0, 0.0)).drop("props")
+    folder = f"{shared_folder(spark)}/replies-{uuid.uuid4().hex}"
+    big = {"asked_by_task": 4096, "tasks": 8}
+    call_once(rows, factory, ["event_id", "props"], folder, pauses=(0.0, 0.0), **big)
+
+    def down():
+        def reply(row):
+            raise RuntimeError("down")
+
+        return reply
+
+    # The second run asks only what failed, and fails again.
+    return call_once(rows, down, ["event_id", "props"], folder, pauses=(0.0, 0.0), **big).drop("props")

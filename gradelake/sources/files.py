@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradelake.sources import store
+
 # File names and words that mark the role of a file.
 TRUTH_FILES = ("ground_truth.txt", "ground_truth.tsv", "Ground Truth ", "Ground Truth", "Ground Truth.txt", "answers.txt")
 FOUR_UP_EXACT = "raw exam 4up.pdf"
@@ -82,3 +84,16 @@ def resumed(done: DataFrame, new: DataFrame, key: str = "page_number") -> DataFr
 def write_records(records: DataFrame, path: str, key: str = "page_number") -> None:
     """JSON lines in key order, absent keys first."""
     records.repartitionByRange(F.coalesce(key, F.lit(0))).sortWithinPartitions(F.coalesce(key, F.lit(0))).write.mode("overwrite").json(path)
+
+
+def resume(new: DataFrame, folder: str, key: str = "page_number", version: int = 1) -> DataFrame:
+    """Adds the records to the stored ones whose key isn't there yet, and returns the whole table as it is read back.
+
+    Of repeated new keys the last by ``pos`` counts. A table of another version is built anew.
+    """
+    spark = new.sparkSession
+    todo = deduplicated(new, key)
+    if store.stored_version(spark, folder) == version:
+        todo = todo.join(store.load(spark, folder, version).select(key), key, "left_anti")
+    store.replace(todo, folder, [key], version)
+    return store.load(spark, folder, version)
