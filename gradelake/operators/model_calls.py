@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -68,15 +69,18 @@ def call_once(df: DataFrame, client_factory: Callable[[], Callable[[dict], str]]
     spark, request = df.sparkSession, F.sha2(F.to_json(F.struct(*inputs)), 256)
     schema = StructType([StructField("request", StringType()), StructField(out, StringType()), StructField("attempts", IntegerType()), StructField("error", StringType())])
     keyed = df.withColumn("request", request)
-    spark.createDataFrame([], schema).write.mode("append").parquet(folder)
-    answered = spark.read.schema(schema).parquet(folder).filter(F.col("error").isNull()).select("request")
+    # Each run writes a folder of its own, so that a plan never takes an older listing of the replies for the present one.
+    own = f"{folder}/run-{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.mode("append").parquet(own)
+    stored = lambda: spark.read.schema(schema).parquet(f"{folder}/run-*")
+    answered = stored().filter(F.col("error").isNull()).select("request")
     todo = keyed.groupBy("request").agg(*[F.first(i).alias(i) for i in inputs]).join(answered, "request", "left_anti")
     todo = staged(todo.withColumn("part", F.xxhash64("request")), "requests")
     batches = -(-todo.count() // (asked_by_task * tasks))
     for batch in range(batches):
         due = todo.filter(F.pmod("part", F.lit(batches)) == batch).repartition(tasks, "request").select("request", *inputs)
-        call_model(due, client_factory, inputs, pauses, out).select("request", out, "attempts", "error").write.mode("append").parquet(folder)
-    replies = spark.read.schema(schema).parquet(folder)
+        call_model(due, client_factory, inputs, pauses, out).select("request", out, "attempts", "error").write.mode("append").parquet(own)
+    replies = stored()
     # A reply wins over a failure of an earlier run.
     best = replies.groupBy("request").agg(F.max(F.struct(F.col("error").isNull().alias("ok"), out, "attempts", "error")).alias("_b"))
     return keyed.join(best, "request").select(*df.columns, f"_b.{out}", "_b.attempts", "_b.error")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from gradelake.functions import replies
-from gradelake.operators import request
+from gradelake.operators import providers, request
 from gradelake.operators.model_calls import call_once
 from gradelake.plans.registry import query
 from gradelake.session import shared_folder, table
@@ -238,3 +238,47 @@ def mdl_batch_call(spark, sf_dir):
 
     # The second run asks only what failed, and fails again.
     return call_once(rows, down, ["event_id", "props"], folder, pauses=(0.0, 0.0), **big).drop("props")
+
+
+# ---- providers: two stub models read every event, the second one differs on every third ---------------------
+
+STUBS = records.Profile("stubs", ("q1", "q2"))
+
+
+def _stub(model: str):
+    def reply(row):
+        shift = 1 if model.startswith("other") and row["event_id"] % 3 == 0 else 0
+        if row["event_id"] % 10 == 9 and not shift:
+            return "no reading"
+        name = row["event_type"] if row["event_id"] % 4 else "UNKNOWN"
+        return f'{{"student_name": "{name}", "q1": "{"ABCD"[(row["event_id"] + shift) % 4]}", "q2": "{"AB"[row["event_id"] % 2]}", "confidence": "{"low" if shift else "high"}"}}'
+
+    return reply
+
+
+providers.register(providers.Provider("stub", ("stub-",), _stub))
+providers.register(providers.Provider("other", ("", "other-"), _stub))
+
+STUB_SQL = """select event_id as page, event_id % 3 = 0 as shifted, event_id % 10 = 9 as bad, case when event_id % 4 > 0 then event_type else 'UNKNOWN' end as name,
+  chr((65 + event_id % 4)::int) as q1, chr((65 + (event_id + 1) % 4)::int) as q1b, chr((65 + event_id % 2)::int) as q2 from events"""
+
+
+@query("mdl_extract_provider", f"""select page, case when bad then 'EXTRACTION_ERROR' else name end as student_name, case when bad then '?' else q1 end as q1, case when bad then '?' else q2 end as q2,
+  case when bad then 'failed' else 'high' end as confidence from ({STUB_SQL})""")
+def mdl_extract_provider(spark, sf_dir):
+    """One model, chosen by the prefix of its name, without a vote."""
+    return stub_records(spark, sf_dir, voting=False)
+
+
+@query("mdl_extract_ensemble", f"""select page, case when name = 'UNKNOWN' and bad then 'EXTRACTION_ERROR' when bad and not shifted then 'EXTRACTION_ERROR' else name end as student_name,
+  case when bad then '?' else q1 end as q1, case when bad then '?' else q2 end as q2, case when bad then 'failed' else 'high' end as confidence from ({STUB_SQL})""")
+def mdl_extract_ensemble(spark, sf_dir):
+    """Both models with a vote; where they differ the first reading counts, and a name that one of them read wins over none."""
+    return stub_records(spark, sf_dir, voting=True)
+
+
+def stub_records(spark, sf_dir, voting):
+    pages = table(spark, sf_dir, "events").select(F.col("event_id").alias("page"), "event_id", "event_type")
+    folder = f"{shared_folder(spark)}/replies-{uuid.uuid4().hex}"
+    found = providers.extract(pages, ["stub-1", "other-2"], STUBS, ["event_id", "event_type"], folder, voting=voting, pauses=(), asked_by_task=8192, tasks=8)
+    return found.select("page", "student_name", "q1", "q2", "confidence")
