@@ -18,7 +18,7 @@ from gradelake.session import staged, unstaged
 
 FOLDS, HELD_OUT = 7, 2
 #: Tokens of a chunk: the texts that share a local vocabulary. A longer text is a chunk of its own.
-CHUNK = 3 << 20
+CHUNK = 5 << 19
 #: Rows in which a task hands on its sums.
 SLICES = 16
 #: Groups of tasks whose sums meet first.
