@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gradelake.functions import text as T
 from gradelake.functions.text import strip
 from gradelake.operators.ordered import block_of, rank_in_order
+from gradelake.session import staged
 
 # Limits, version and wording of the stored tree.
 SCHEMA_VERSION = 15
@@ -104,9 +105,12 @@ def merge_answer_key(nodes: DataFrame, margin: DataFrame, table_rows: DataFrame,
     only their parts are listed for lose their own answer. ``letters``: ``exam_id, pos, letter`` go
     to the multiple choice leaves by position.
     """
-    m = margin.select("exam_id", "number", F.col("answer").alias("_a"), F.col("criteria").alias("_c"), F.lit(True).alias("_m"))
-    b = table_rows.filter(strip(F.col("body")) != "").select("exam_id", "number", strip(F.col("body")).alias("_b"))
-    df = nodes.join(m, ["exam_id", "number"], "left").join(b, ["exam_id", "number"], "left")
+    entry = F.struct(F.col("answer").alias("a"), F.col("criteria").alias("c"))
+    beside = margin.select("exam_id", "number", entry.alias("_e"), F.lit(None).cast("string").alias("_b"))
+    rows = table_rows.filter(strip(F.col("body")) != "").select("exam_id", "number", F.lit(None).cast(beside.schema["_e"].dataType).alias("_e"), strip(F.col("body")).alias("_b"))
+    sources = beside.unionByName(rows).groupBy("exam_id", "number").agg(F.max("_e").alias("_e"), F.max("_b").alias("_b"))
+    # Three branches read the tree with its sources, so the join is done once.
+    df = staged(nodes.join(sources, ["exam_id", "number"], "left"), "sourced").withColumns({"_a": F.col("_e.a"), "_c": F.col("_e.c"), "_m": F.col("_e").isNotNull()}).drop("_e")
     covered = ancestors_of(df.filter(F.col("_b").isNotNull()).select("exam_id", "path")).distinct().withColumn("_below", F.lit(True))
     df = df.join(covered, ["exam_id", "path"], "left")
     lost = F.col("_below").isNotNull() & F.col("_b").isNull()
