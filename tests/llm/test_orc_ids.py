@@ -82,3 +82,13 @@ def test_query(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
     found = queries.QUERIES["op11_orc_ids"](spark, sf).orderBy("doc_id").collect()
     assert [tuple(r) for r in found] == expected([(d["doc_id"], d["text"]) for d in docs])
+
+
+def test_pieces_are_cut_as_the_library_cuts():
+    """Every kind of character that the two patterns or the two cutters could tell apart."""
+    encoder = orc_ids.Encoder(VOCABULARY)
+    latin = ["".join(f"a{chr(c)}1{chr(c)}!{chr(c)} {chr(c)}{chr(c)}x " for c in range(start, start + 16)) for start in range(0, 256, 16)]
+    texts = latin + [t + "“π”" for t in latin] + ["it's we'll I'D  \n\n x\t ", "՘a՘ 1\U0010fffe", "日本語 ³ Ⅷ ١٢", "", "é   \x1c \x85"]
+    want = [encoder.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):  # the second time from what is remembered
+        assert [np.frombuffer(i, np.int32).tolist() for i in encoder.encode(texts)] == want
