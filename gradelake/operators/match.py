@@ -1,6 +1,7 @@
 """Matching of read names to rosters and of folder hints to catalogues.
 
-No pair of a read and a candidate is formed before a shared key has been found:
+A scan of up to ``LISTED`` names meets each of its reads with the list of them, in one join. In larger scans no pair of
+a read and a candidate is formed before a shared key has been found:
 
 * equal names join on the name,
 * containment joins on the rarest three characters of the shorter text,
@@ -16,7 +17,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from gradelake.functions.replies import FAILED_NAME, NO_NAME
 from gradelake.functions.text import strip
@@ -26,6 +27,7 @@ from gradelake.session import staged
 MIN_RATIO = 0.6
 CONTAINED_RATIO = 0.75
 EXAM_WORDS = ("test", "exam")
+LISTED = 256
 
 
 @F.pandas_udf(DoubleType())
@@ -34,6 +36,20 @@ def seq_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)], dtype="float64")
 
 
+def _ratio(a: str, b: str) -> float:
+    """The ratio where it can reach ``MIN_RATIO``, else 0; both quick ratios are bounds from above."""
+    m = SequenceMatcher(None, a, b)
+    return m.ratio() if m.real_quick_ratio() >= MIN_RATIO and m.quick_ratio() >= MIN_RATIO else 0.0
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _list_ratios(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([[_ratio(a, b) for b in many] for a, many in zip(left, right, strict=True)], dtype="object")
+
+
+# A filter on the ratios would else be moved below them and compute them twice.
+list_ratios = _list_ratios.asNondeterministic()
+
 GRAM = 3
 
 
@@ -45,21 +61,31 @@ def _grams(text: Column, sizes: Sequence[int]) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), *[of_size(n) for n in sizes]))
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """Joined by shuffle and merge alone: Spark takes exploded rows for as few as their source's and would send them to every task."""
+    return df.hint("merge")
+
+
 def _holding(needles: DataFrame, hay: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Pairs ``keys, n, h`` of texts of which the second contains the first.
 
     A needle is looked up by the one of its grams (of three characters, or all of a shorter needle) that the fewest texts
-    have, so grams grow with the length of the texts and common ones make no pairs.
+    have, so grams grow with the length of the texts and common ones make no pairs. Shorter grams are cut only where a
+    shorter needle asks for them.
     """
     keys = list(keys)
-    found = hay.select(*keys, "h", F.explode(_grams(F.col("h"), range(1, GRAM + 1))).alias("g"))
+    brief = needles.filter(F.length("n") < GRAM).select(*keys).distinct()
+    whole = hay.select(*keys, "h", F.explode(_grams(F.col("h"), [GRAM])).alias("g")).filter(F.length("g") == GRAM)
+    parts = (_merged(hay).join(brief, keys, "left_semi").select(*keys, "h", F.explode(_grams(F.col("h"), range(1, GRAM))).alias("g"))
+             .filter(F.length("g") < GRAM))
+    found = whole.unionByName(parts)
     often = found.groupBy(*keys, "g").agg(F.count("*").alias("df"))
     size = F.least(F.length("n"), F.lit(GRAM))
-    own = F.filter(_grams(F.col("n"), range(1, GRAM + 1)), lambda g: F.length(g) == F.least(F.length("n"), F.lit(GRAM)))
-    rarest = (needles.select(*keys, "n", F.explode(own).alias("g")).filter(F.length("g") == size).join(often, [*keys, "g"], "left")
+    own = F.filter(_grams(F.col("n"), range(1, GRAM + 1)), lambda g: F.length(g) == size)
+    rarest = (_merged(needles.select(*keys, "n", F.explode(own).alias("g"))).join(often, [*keys, "g"], "left")
               .groupBy(*keys, "n").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")).alias("r")))
     keyed = rarest.filter(F.col("r.df") > 0).select(*keys, "n", F.col("r.g").alias("g"))
-    return keyed.join(found, [*keys, "g"]).filter(F.contains("h", "n")).select(*keys, "n", "h")
+    return _merged(keyed).join(found, [*keys, "g"]).filter(F.contains("h", "n")).select(*keys, "n", "h")
 
 
 def _numbered_chars(text: Column) -> Column:
@@ -78,10 +104,10 @@ def contained(reads: DataFrame, names: DataFrame, keys: Sequence[str]) -> DataFr
     keys = list(keys)
     as_read, as_name = reads.select(*keys, "low"), names.select(*keys, "clow")
     inside = _holding(as_read.withColumnRenamed("low", "n"), as_name.withColumnRenamed("clow", "h"), keys)
-    inside = inside.withColumnsRenamed({"n": "low", "h": "clow"}).join(names, [*keys, "clow"]).groupBy(*keys, "low").agg(F.min("first").alias("inside"))
+    inside = _merged(inside.withColumnsRenamed({"n": "low", "h": "clow"})).join(names, [*keys, "clow"]).groupBy(*keys, "low").agg(F.min("first").alias("inside"))
     around = _holding(as_name.withColumnRenamed("clow", "n"), as_read.withColumnRenamed("low", "h"), keys)
-    around = around.withColumnsRenamed({"h": "low", "n": "clow"}).join(names, [*keys, "clow"]).groupBy(*keys, "low").agg(F.min("first").alias("around"))
-    return inside.join(around, [*keys, "low"], "full").select(*keys, "low", F.least("inside", "around").alias("first"))
+    around = _merged(around.withColumnsRenamed({"h": "low", "n": "clow"})).join(names, [*keys, "clow"]).groupBy(*keys, "low").agg(F.min("first").alias("around"))
+    return _merged(inside).join(around, [*keys, "low"], "full").select(*keys, "low", F.least("inside", "around").alias("first"))
 
 
 def similar(reads: DataFrame, names: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -94,7 +120,7 @@ def similar(reads: DataFrame, names: DataFrame, keys: Sequence[str]) -> DataFram
     def prefixed(side: DataFrame, extra: Sequence[str]) -> DataFrame:
         # Common characters >= 3/7 of either length, so the rarest 4/7 (+1) must share one.
         keep = F.size("toks") - F.ceil(F.size("toks") * F.lit(3.0) / 7 - 1e-9).cast("int") + 1
-        ranked = (side.select(*keys, "s", *extra, "toks", F.explode("toks").alias("t")).join(freq, [*keys, "t"], "left")
+        ranked = (_merged(side.select(*keys, "s", *extra, "toks", F.explode("toks").alias("t"))).join(freq, [*keys, "t"], "left")
                   .groupBy(*keys, "s").agg(
                       F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))).alias("r"),
                       F.first("toks").alias("toks"), *[F.first(c).alias(c) for c in extra]))
@@ -105,13 +131,13 @@ def similar(reads: DataFrame, names: DataFrame, keys: Sequence[str]) -> DataFram
     b = prefixed(right, ["first"]).select(*keys, F.col("s").alias("clow"), "first", F.col("toks").alias("tb"),
                                           F.col("pre").alias("pb"), F.explode("pre").alias("t"))
     both = F.size("ta") + F.size("tb")
-    pairs = (a.join(b, [*keys, "t"])
+    pairs = (_merged(a).join(b, [*keys, "t"])
              .filter(F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("t"))
              .filter(F.size(F.array_intersect("ta", "tb")) * 2 >= both * MIN_RATIO - 1e-9)
              .select(*keys, "low", "clow", "first"))
     # The ratio costs far more than moving two short strings, so the pairs are spread first.
-    return (pairs.repartition(_tasks(pairs)).withColumn("ratio", seq_ratio("low", "clow"))
-            .filter(F.col("ratio") >= MIN_RATIO))
+    ratio = F.get(list_ratios("low", F.array("clow")), F.lit(0))
+    return pairs.repartition(_tasks(pairs)).withColumn("ratio", ratio).filter(F.col("ratio") >= MIN_RATIO)
 
 
 def _tasks(df: DataFrame) -> int:
@@ -124,35 +150,68 @@ def _candidates(roster: DataFrame, keys: Sequence[str], name: str, pos: str) ->
             .agg(F.min(F.struct(F.col(pos).alias("pos"), F.col(name).alias("cand"))).alias("first")))
 
 
-def match_names(reads: DataFrame, roster: DataFrame, keys: Sequence[str] = ("scan_id",), read: str = "name",
-                name: str = "student", pos: str = "pos", similarity: bool = True) -> DataFrame:
-    """``keys, read, matched, tier`` for every distinct usable read that has a match.
-
-    Tier 1 equal, tier 2 contained either way, tier 3 most similar; the first roster entry wins
-    inside tiers 1 and 2 and among equal ratios. The distinct names of both sides are written
-    once, as every tier reads them again.
-    """
-    keys = list(keys)
-    names = staged(_candidates(roster, keys, name, pos), "candidates")
-    usable = (reads.select(*keys, read).distinct()
-              .filter(F.col(read).isNotNull() & (F.col(read) != "") & ~F.col(read).isin(NO_NAME, FAILED_NAME))
-              .withColumn("low", strip(F.lower(read))))
+def _by_lists(usable: DataFrame, names: DataFrame, keys: Sequence[str], similarity: bool) -> DataFrame:
+    """Every usable read (``keys, read, low``) beside the listed names of its scan; for scans of at most ``LISTED`` names."""
+    listed = names.groupBy(*keys).agg(F.collect_list(F.struct("first.pos", "first.cand", "clow")).alias("cands"))
+    low = F.col("low")
+    hits = F.filter("cands", lambda c: F.contains(c["clow"], low) | F.contains(low, c["clow"]))
+    sure = F.array_min(F.transform(hits, lambda c: F.struct(F.when(c["clow"] == low, 1).otherwise(2).alias("tier"), c["pos"], c["cand"])))
+    met = _merged(usable).join(listed, keys).withColumn("sure", sure)
+    first = met.select(*keys, "read", F.col("sure.cand").alias("matched"), F.col("sure.tier").alias("tier"))
+    if not similarity:
+        return first.filter(F.col("tier").isNotNull())
+    # The ratio costs far more than moving short strings, so the open reads are spread first.
+    near = F.filter("cands", lambda c: 2 * F.least(F.length(c["clow"]), F.length(low)) >= (F.length(c["clow"]) + F.length(low)) * MIN_RATIO - 1e-9)
+    tried = met.withColumn("cands", F.when(F.col("sure").isNull(), near).otherwise(F.slice("cands", F.lit(1), F.lit(0))))
+    tried = tried.filter(F.col("sure").isNotNull() | (F.size("cands") > 0))
+    tried = tried.repartition(_tasks(tried)).withColumn("ratios", list_ratios("low", F.transform("cands", lambda c: c["clow"])))
+    scored = F.transform("cands", lambda c, i: F.struct(F.get("ratios", i).alias("ratio"), (-c["pos"]).alias("o"), c["cand"]))
+    best = F.array_max(F.filter(scored, lambda c: c["ratio"] >= MIN_RATIO))
+    return (tried.withColumn("best", best).filter(F.col("sure").isNotNull() | F.col("best").isNotNull())
+            .select(*keys, "read", F.coalesce("sure.cand", "best.cand").alias("matched"), F.coalesce("sure.tier", F.lit(3)).alias("tier")))
+
+
+def _by_keys(usable: DataFrame, names: DataFrame, keys: Sequence[str], similarity: bool) -> DataFrame:
+    """As :func:`_by_lists` for scans of any number of names, tier by tier over shared keys."""
     usable = staged(usable, "reads")
     low = usable.select(*keys, "low").distinct()
-    equal = low.join(names.withColumnRenamed("clow", "low"), [*keys, "low"]).select(
+    equal = _merged(low).join(names.withColumnRenamed("clow", "low"), [*keys, "low"]).select(
         *keys, "low", F.col("first.cand").alias("matched"), F.lit(1).alias("tier"))
-    rest = low.join(equal, [*keys, "low"], "left_anti")
-    parts = contained(rest, names, keys).select(
-        *keys, "low", F.col("first.cand").alias("matched"), F.lit(2).alias("tier"))
+    rest = _merged(low).join(equal, [*keys, "low"], "left_anti")
+    parts = staged(contained(rest, names, keys).select(
+        *keys, "low", F.col("first.cand").alias("matched"), F.lit(2).alias("tier")), "parts")
     found = equal.unionByName(parts)
     if similarity:
-        open_reads = rest.join(parts, [*keys, "low"], "left_anti")
+        open_reads = _merged(rest).join(parts, [*keys, "low"], "left_anti")
         best = (similar(open_reads, names, keys)
                 .groupBy(*keys, "low").agg(F.max(F.struct("ratio", (-F.col("first.pos")).alias("o"),
                                                           F.col("first.cand").alias("cand"))).alias("b"))
                 .select(*keys, "low", F.col("b.cand").alias("matched"), F.lit(3).alias("tier")))
         found = found.unionByName(best)
-    return usable.join(found, [*keys, "low"]).select(*keys, read, "matched", "tier")
+    return _merged(usable).join(found, [*keys, "low"]).select(*keys, "read", "matched", "tier")
+
+
+def match_names(reads: DataFrame, roster: DataFrame, keys: Sequence[str] = ("scan_id",), read: str = "name",
+                name: str = "student", pos: str = "pos", similarity: bool = True) -> DataFrame:
+    """``keys, read, matched, tier`` for every distinct usable read that has a match.
+
+    Tier 1 equal, tier 2 contained either way, tier 3 most similar; the first roster entry wins
+    inside tiers 1 and 2 and among equal ratios. The distinct names are written once, as they are
+    counted before they are met.
+    """
+    keys = list(keys)
+    names = staged(_candidates(roster, keys, name, pos), "candidates")
+    usable = (reads.select(*keys, F.col(read).alias("read")).distinct()
+              .filter(F.col("read").isNotNull() & (F.col("read") != "") & ~F.col("read").isin(NO_NAME, FAILED_NAME))
+              .withColumn("low", strip(F.lower("read"))))
+    crowded = names.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > LISTED).select(*keys)
+    if crowded.isEmpty():
+        found = _by_lists(usable, names, keys, similarity)
+    else:
+        of_few = [_merged(df).join(crowded, keys, "left_anti") for df in (usable, names)]
+        of_many = [_merged(df).join(crowded, keys, "left_semi") for df in (usable, names)]
+        found = _by_lists(*of_few, keys, similarity).unionByName(_by_keys(*of_many, keys, similarity))
+    return found.withColumnRenamed("read", read)
 
 
 def match_folders(requests: DataFrame, catalogue: DataFrame, keys: Sequence[str] = ("root",)) -> DataFrame:
