@@ -44,8 +44,9 @@ def evaluated_cells(results: DataFrame, truth: DataFrame, matched: DataFrame, le
     """
     expected = truth.filter(F.col("value").isNotNull()).select(
         "scan_id", F.col("student").alias("matched"), "q_number", F.col("value").alias("expected"))
-    cells = (matched.join(expected, ["scan_id", "matched"]).join(leaves.select("scan_id", "q_number").distinct(), ["scan_id", "q_number"])
-             .join(results, [*KEYS, "q_number"], "left"))
+    # Names and cells compress well, so files of them look small enough to send to every task; they are merged instead.
+    cells = (matched.hint("merge").join(expected, ["scan_id", "matched"]).join(leaves.select("scan_id", "q_number").distinct(), ["scan_id", "q_number"])
+             .join(results.hint("merge"), [*KEYS, "q_number"], "left"))
     args = (F.col("answer"), F.col("marks"), F.col("expected"))
     return cells.select(*KEYS, "matched", "q_number", "expected", shown_value(*args).alias("extracted"), cell_ok(*args).alias("ok"))
 
@@ -53,7 +54,7 @@ def evaluated_cells(results: DataFrame, truth: DataFrame, matched: DataFrame, le
 def student_scores(matched: DataFrame, cells: DataFrame) -> DataFrame:
     """Correct, total and accuracy of every matched student, also of those without any cell."""
     counts = cells.groupBy(*KEYS).agg(F.count_if("ok").alias("correct"), F.count("*").alias("total"))
-    out = matched.join(counts, KEYS, "left").select(
+    out = matched.hint("merge").join(counts, KEYS, "left").select(
         *KEYS, "matched", F.coalesce("correct", F.lit(0)).alias("correct"), F.coalesce("total", F.lit(0)).alias("total"))
     return out.withColumn("accuracy_pct", pct(F.col("correct"), F.col("total")))
 
