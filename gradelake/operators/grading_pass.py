@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.functions.replies import NOT_ATTEMPTED
 from gradelake.operators import grade
 
 KEYS = ["scan_id", "student"]
@@ -31,8 +30,7 @@ def grade_students(assigned: DataFrame, scans: DataFrame, questions: DataFrame,
     asked = (questions.join(tasks.filter(F.col("task").isin(grade.TASK_MC, grade.TASK_ANSWERS)), "scan_id"))
     asked = grade.gradable(asked, F.col("task"))
     flagged = grade.with_attempt_flag(asked, attempts, seen)
-    skipped = flagged.filter(~F.col("attempted")).select(
-        *KEYS, "q_number", F.lit(NOT_ATTEMPTED).alias("answer"), F.lit(0.0).alias("marks"))
+    skipped = grade.unattempted(flagged)
     open_questions = flagged.filter("attempted").select(*KEYS, "q_number", "question_type", "correct_answer", "max_marks")
     marks = F.when(F.col("question_type") == "multiple_choice",
                    grade.mc_marks(F.col("answer"), F.col("correct_answer"), F.col("max_marks"))

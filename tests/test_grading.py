@@ -196,3 +196,10 @@ def test_turned_pages(spark):
 
     kept = spark.createDataFrame([(1, 90), (1, 0), (2, 0)], "scan_id int, rotation int")
     assert {(r.scan_id, r.kept, r.summary) for r in detected_rotation_summary(kept).collect()} == {(1, 2, "1 page(s) rotated via Tesseract OSD"), (2, 1, "All pages already upright")}
+
+
+def test_unattempted_rows_and_their_number(spark):
+    flagged = spark.createDataFrame([(1, "a", "7", False), (1, "b", "7", False), (1, "b", "8", False), (1, "c", "7", True), (2, "a", "7", False)],
+                                    "scan_id int, student string, q_number string, attempted boolean")
+    got = {tuple(r) for r in grade.with_skipped(grade.unattempted(flagged)).select("scan_id", "student", "q_number", "answer", "marks", "skipped").collect()}
+    assert got == {(1, "a", "7", "-", 0.0, 2), (1, "b", "7", "-", 0.0, 2), (1, "b", "8", "-", 0.0, 1), (2, "a", "7", "-", 0.0, 1)}
