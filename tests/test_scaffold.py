@@ -81,3 +81,25 @@ def test_blobs_cross_many_chunks(spark):
     rows = [(0, y, grid[y].tobytes()) for y in range(3000)]
     found = raster.blob_areas(spark.createDataFrame(rows, "u int, y int, ink binary"), ["u"]).collect()
     assert sorted(r["area"] for r in found) == brute_areas(grid)
+
+
+def test_texts_are_cut_into_lines_once(spark):
+    """Every branch read the documents and cut their texts again."""
+    from gradelake.plans import registry
+
+    registry.load_all()
+    plan = registry.QUERIES["win_leaf_top_adjust"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode(split(" not in plan and "documents.parquet" not in plan
+
+
+def test_stored_documents_are_parsed_once_and_read_by_type(spark):
+    rows = [(1, '{"schema_version":15,"questions":[{"number":"1","marks":"3","bbox":{"x0":1,"page":"2"},"text":7,"images":5,"subquestions":[{"number":"1a","bbox":4,'
+                '"answer_options":[{"letter":"A","text":"x"},{"letter":""}]}]},{"number":"2","marks":[1],"content_summary":"old","answer_key_text":" B "}]}'),
+            (2, '{"schema_version":14,"questions":[{"number":"9"}]}'), (3, "broken")]
+    nodes, rejected = tree.read_documents(spark.createDataFrame(rows, "exam_id int, raw string"))
+    got = {r["number"]: r for r in nodes.collect()}
+    assert set(got) == {"1", "1a", "2"} and {(r.exam_id, r.version) for r in rejected.collect()} == {(2, 14), (3, None)}
+    assert (got["1"].marks, got["1"].text, got["1"].bbox.x0, got["1"].bbox.page, got["1"].images) == (3, "7", 1.0, 2, [])
+    assert (got["1a"].marks, got["1a"].bbox.x0, got["1a"].bbox.page, [o.letter for o in got["1a"].answer_options]) == (1, 0.0, 1, ["A"])
+    assert (got["2"].marks, got["2"].text, got["2"].correct_answer) == (1, "old", "B")
+    assert nodes._jdf.queryExecution().optimizedPlan().toString().count("parseJson(") == 1
