@@ -77,8 +77,11 @@ def call_once(df: DataFrame, client_factory: Callable[[], Callable[[dict], str]]
     todo = keyed.groupBy("request").agg(*[F.first(i).alias(i) for i in inputs]).join(answered, "request", "left_anti")
     todo = staged(todo.withColumn("part", F.xxhash64("request")), "requests")
     batches = -(-todo.count() // (asked_by_task * tasks))
+    if batches > 1:
+        # A batch lies in a folder of its own; else each would read all requests to find its part.
+        todo = staged(todo.withColumn("batch", F.pmod("part", F.lit(batches))).repartition("batch"), "batches", by="batch")
     for batch in range(batches):
-        due = todo.filter(F.pmod("part", F.lit(batches)) == batch).repartition(tasks, "request").select("request", *inputs)
+        due = (todo.filter(F.col("batch") == batch) if batches > 1 else todo).repartition(tasks, "request").select("request", *inputs)
         call_model(due, client_factory, inputs, pauses, out).select("request", out, "attempts", "error").write.mode("append").parquet(own)
     replies = stored()
     # A reply wins over a failure of an earlier run.

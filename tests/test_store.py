@@ -4,6 +4,8 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from gradelake.operators.model_calls import call_once
 from gradelake.sources import files, store
 
@@ -82,3 +84,15 @@ def test_a_killed_task_does_not_ask_again(spark, tmp_path):
     assert 33 in again and len(again) <= 8 and all(second[q] == 1 for q in range(40) if q not in again and q % 10 != 7)
     third = call_once(df, counting(str(log), fail=range(0, 7)), ["q"], folder, **small).collect()
     assert sorted(third) == sorted(found) and all(asked(log)[q] == second[q] for q in range(40) if q % 10 != 7)
+
+
+def test_a_batch_reads_only_its_own_requests(spark, tmp_path, monkeypatch):
+    """Each batch read all requests to find its part, which grew with the square of their number."""
+    from gradelake.operators import model_calls
+
+    plans, ask = [], model_calls.call_model
+    monkeypatch.setattr(model_calls, "call_model", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or ask(df, *a))
+    df = spark.range(40).select(F.col("id").alias("q"))
+    found = call_once(df, lambda: lambda row: str(row["q"]), ["q"], str(tmp_path / "kept"), pauses=(), asked_by_task=5, tasks=2)
+    assert {(r.q, r.raw) for r in found.collect()} == {(n, str(n)) for n in range(40)}
+    assert len(plans) == 4 and all("PartitionFilters: [isnotnull(batch#" in p for p in plans)
