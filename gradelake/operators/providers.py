@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gradelake.functions.replies import with_failed_record
 from gradelake.operators import vote
 from gradelake.operators.model_calls import EXTRACTION_PAUSES, call_once
+from gradelake.session import staged
 from gradelake.sources.records import Profile, read_records
 
 Client = Callable[[dict], str]
@@ -66,6 +67,7 @@ def extract(pages: DataFrame, models: Sequence[str], profile: Profile, inputs: S
         for number, model in enumerate(models):
             one = extracted(pages, model, profile, inputs, folder, passes, **calls).withColumn("pass", F.col("pass") + number * passes)
             rows = one if rows is None else rows.unionByName(one)
-        return vote.ensemble(rows, profile.answer_fields)
+        # Each field is voted on in a branch of its own, which would read all replies anew.
+        return vote.ensemble(staged(rows, "readings"), profile.answer_fields)
     rows = extracted(pages, models[0], profile, inputs, folder, passes, **calls)
     return rows.drop("pass") if passes == 1 else vote.multi_pass(rows, profile.fields, profile.answer_fields)

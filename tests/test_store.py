@@ -96,3 +96,11 @@ def test_a_batch_reads_only_its_own_requests(spark, tmp_path, monkeypatch):
     found = call_once(df, lambda: lambda row: str(row["q"]), ["q"], str(tmp_path / "kept"), pauses=(), asked_by_task=5, tasks=2)
     assert {(r.q, r.raw) for r in found.collect()} == {(n, str(n)) for n in range(40)}
     assert len(plans) == 4 and all("PartitionFilters: [isnotnull(batch#" in p for p in plans)
+
+
+def test_replies_are_read_once_before_a_vote(spark):
+    from gradelake.plans import registry
+
+    registry.load_all()
+    plan = registry.QUERIES["mdl_extract_ensemble"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "get_json_object" not in plan and "events.parquet" not in plan
