@@ -55,9 +55,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, source, n_tokens, ids`` (four bytes each), and whether decoding gives the text back."""
     tokenizer = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     text = F.coalesce("text", F.lit(""))
-    ids = docs.select("doc_id", "source", text.alias("text"), tokenizer.encode(text).alias("ids"))
-    same = tokenizer.decode(F.col("ids")) == F.col("text").cast("binary")
-    return ids.select("doc_id", "source", bpe.count(F.col("ids")).alias("n_tokens"), "ids", same.alias("decodes"))
+    both = docs.select("doc_id", "source", text.alias("text"), tokenizer.round_trip(text).alias("both")).select("doc_id", "source", "text", "both.*")
+    same = F.col("decoded") == F.col("text").cast("binary")
+    return both.select("doc_id", "source", bpe.count(F.col("ids")).alias("n_tokens"), "ids", same.alias("decodes"))
 
 
 STAGES = [

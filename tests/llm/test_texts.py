@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import pickle
 import random
 import zlib
 
@@ -39,6 +40,28 @@ def test_bpe_matches_and_returns(spark, reference):
     assert frame.limit(0).select(tokenizer.encode(F.col("text"))).count() == 0
 
 
+def test_bpe_merges_unknown_pieces_together_and_remembers_them(spark, reference, monkeypatch):
+    """Pieces in one queue don't meet across their fences, and a worker's next task finds them merged."""
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choices("abcdefgh\u00e9", k=rng.randrange(1, 70))) for _ in range(40)) for _ in range(60)] + [None, ""]
+    for name, value in (("LOT", 64), ("TOGETHER", 500), ("REMEMBERED", 300)):
+        monkeypatch.setattr(bpe, name, value)
+    codec = bpe.Codec(bpe.read_ranks(PATH), public_tokenizers.PATTERN)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode_all(texts)] == [reference.encode_ordinary(t or "") for t in texts]
+    assert not any(codec.bitmap) and max(map(len, codec.young)) <= bpe.REMEMBERED_CHARS
+    # A merge that makes a pair of a lower rank comes before the rest of its own rank.
+    odd = bpe.Codec({b"a": 0, b"b": 1, b"abca": 2, b"abc": 3, b"ab": 4, b"c": 5}, ".+")
+    assert odd.merge([b"abcab", b"abab", b"cab"]) == [np.array(x, "<u4").tobytes() for x in ([2, 1], [4, 4], [5, 4])]
+    monkeypatch.undo()
+    tokenizer = bpe.Tokenizer(spark, PATH, public_tokenizers.PATTERN)
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(1)
+    got = frame.select("text", tokenizer.round_trip(F.col("text")).alias("b")).select("text", "b.*").collect()
+    assert all(bytes(r.decoded) == (r.text or "").encode() and np.frombuffer(r.ids, "<u4").tolist() == reference.encode_ordinary(r.text or "") for r in got)
+    sent = pickle.loads(pickle.dumps(codec))
+    assert not sent.young and sent.encode_all(texts) == codec.encode_all(texts)
+
+
 def test_windows_cover_whole_texts():
     for n in (0, 1, 255, 256, 257, 508, 509, 510, 5000):
         text = "".join(random.Random(n).choices("abc", k=n))
