@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,7 +55,8 @@ def _chunked(batches_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sums: list[int] = []
     lengths: list[int] = []
     parts: list[np.ndarray] = []
-    numbers: dict[bytes, int] = {}
+    numbers: defaultdict[bytes, int] = defaultdict()
+    numbers.default_factory = lambda: len(numbers) + 1
     size = 0
 
     def chunk() -> pd.DataFrame:
@@ -74,8 +76,7 @@ def _chunked(batches_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches_:
         for key, crc, text in zip(batch["key"], batch["sum"], batch["text"], strict=True):
             words = (text or "").encode("utf-8").lower().split()
-            number = numbers.setdefault
-            ids = np.fromiter((number(w, len(numbers) + 1) for w in words), np.int32, len(words))
+            ids = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
             keys.append(None if pd.isna(key) else int(key))
             sums.append(int(crc))
             lengths.append(len(words) + 1)
@@ -103,20 +104,25 @@ class Vocabulary:
         """Hash, class, member, log10 share inside the class and count of each word, after those of the text end."""
         out = np.zeros(len(words) + 1, _INFO)
         out[maxent.END] = (maxent.word_hash(b"\n"), 0, 0, 0.0, self.ends)
+        n = len(words)
+        out["hash"][1:] = np.fromiter(map(maxent.word_hash, words), np.uint32, n)
+        out["count"][1:] = counts
+        place = np.fromiter((self.head.get(w, 0) for w in words), np.int64, n)  # place 0 is the text end's
         bands = np.searchsorted(np.array(maxent.BANDS), counts)
-        for i, (word, count, band) in enumerate(zip(words, counts.tolist(), bands.tolist(), strict=True), 1):
-            place = self.head.get(word)
-            if place is not None:
-                out[i] = (maxent.word_hash(word), place // maxent.MEMBERS, place % maxent.MEMBERS, 0.0, count)
-                continue
-            end = maxent.ending(word)
-            cls = maxent.HEAD_CLASSES + band * maxent.ENDINGS + end
-            if band:
-                share = count / self.mass[cls]
-            else:
-                unknown, known = self.rare.get(end) or maxent.spread({})
-                share = known[count] if count else unknown
-            out[i] = (maxent.word_hash(word), cls, -1, np.log10(share), count)
+        ends = np.fromiter(map(maxent.ending, words), np.int64, n)
+        cls = maxent.HEAD_CLASSES + bands * maxent.ENDINGS + ends
+        share = np.ones(n)
+        # Words of the first band have the shares of their ending's counts, the others one by their class's mass.
+        rare = np.array([[unknown, *(known[c] for c in range(1, maxent.BANDS[0] + 1))] for end in range(maxent.ENDINGS) for unknown, known in [self.rare.get(end) or maxent.spread({})]])
+        low = (place == 0) & (bands == 0)
+        share[low] = rare[ends[low], counts[low]]
+        high = (place == 0) & (bands > 0)
+        mass = np.array([self.mass.get(c, 1) for c in range(maxent.CLASSES)])
+        share[high] = counts[high] / mass[cls[high]]
+        head = place > 0
+        out["class"][1:] = np.where(head, place // maxent.MEMBERS, cls)
+        out["member"][1:] = np.where(head, place % maxent.MEMBERS, -1)
+        out["inner"][1:] = np.log10(share)
         return out
 
 

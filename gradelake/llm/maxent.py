@@ -22,7 +22,9 @@ CLASS_TEMPLATES, MEMBER_TEMPLATES = 4, 3
 END = 0
 #: Weight of each feature's own log ratio at the start, pseudo-counts, rate of the gradient steps and their number.
 START, PRIOR, RATE, STEPS = 0.45, 20.0, 0.6, 3
-BATCH = 1 << 15
+BATCH, BLOCK = 1 << 15, 1 << 12
+#: Scores up to here have exponentials, and sums of them, well inside the range of single precision.
+FAR = 80.0
 _PAIR, _CLASS = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
@@ -101,36 +103,46 @@ def batches(hashes: np.ndarray, cls: np.ndarray, member: np.ndarray, starts: np.
         yield slice(low, at[-1] + 1), Batch(cls[at], member[at], rows)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+def _scores(tables: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Exponentials of each token's scores, up to a factor of its own."""
+    z = np.take(tables[0], rows[0], axis=0)
+    for table, at in zip(tables[1:], rows[1:], strict=True):
+        z += np.take(table, at, axis=0)
+    z += bias
+    if len(z) and max(z.max(), -z.min()) > FAR:
+        z -= z.max(axis=1, keepdims=True)
+    return np.exp(z, out=z)
 
 
-def class_shares(w: Tables, b: Batch) -> np.ndarray:
-    z = w.classes[0][b.rows[0]]
-    for t in range(1, CLASS_TEMPLATES):
-        z += w.classes[t][b.rows[t]]
-    z += w.class_bias
-    return _softmax(z)
+def _blocks(n: int) -> Iterator[slice]:
+    """Parts of a batch whose scores fit a core's cache."""
+    return (slice(low, low + BLOCK) for low in range(0, n, BLOCK))
 
 
-def member_shares(w: Tables, b: Batch, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = w.members[0][rows[0]]
-    for t in range(1, MEMBER_TEMPLATES):
-        z += w.members[t][rows[t]]
-    z += w.member_bias[b.cls[at]]
-    return _softmax(z)
+def _class_scores(w: Tables, b: Batch) -> Iterator[tuple[slice, np.ndarray]]:
+    for part in _blocks(len(b.cls)):
+        yield part, _scores(w.classes, b.rows[:, part], w.class_bias)
+
+
+def _member_scores(w: Tables, b: Batch, at: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    rows = b.member_rows(at)
+    for part in _blocks(len(at)):
+        yield part, _scores(w.members, rows[:, part], w.member_bias[b.cls[at[part]]])
+
+
+def _shares(scores: Iterator[tuple[slice, np.ndarray]], chosen: np.ndarray) -> np.ndarray:
+    """Share of the chosen outcome of each token."""
+    out = np.empty(len(chosen), np.float32)
+    for part, z in scores:
+        out[part] = z[np.arange(len(z)), chosen[part]] / (z @ np.ones(z.shape[1], np.float32))
+    return out
 
 
 def log10_shares(w: Tables, b: Batch) -> np.ndarray:
     """log10 of each token's class probability, and for frequent words times the member's."""
-    n = np.arange(len(b.cls))
-    share = class_shares(w, b)[n, b.cls]
+    share = _shares(_class_scores(w, b), b.cls)
     at = np.flatnonzero(b.member >= 0)
-    if len(at):
-        share[at] *= member_shares(w, b, at, b.member_rows(at))[np.arange(len(at)), b.member[at]]
+    share[at] *= _shares(_member_scores(w, b, at), b.member[at])
     return np.log10(share.astype(np.float64))
 
 
@@ -149,17 +161,21 @@ def observe(b: Batch, into: Tables, cls: np.ndarray | None = None, member: np.nd
         into.members[t] += sign * np.bincount(rows[t].astype(np.int64) * MEMBERS + member, minlength=ROWS * MEMBERS).reshape(ROWS, MEMBERS)
 
 
-def _drawn(shares: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    total = np.cumsum(shares, axis=1)
-    return np.minimum((total < rng.random((len(total), 1), dtype=np.float32) * total[:, -1:]).sum(axis=1), shares.shape[1] - 1)
+def _drawn(scores: Iterator[tuple[slice, np.ndarray]], n: int, rng: np.random.Generator) -> np.ndarray:
+    """One outcome for each token, drawn by its shares."""
+    out, dice = np.empty(n, np.int64), rng.random((n, 1), dtype=np.float32)
+    for part, z in scores:
+        total = z @ np.triu(np.ones((z.shape[1], z.shape[1]), np.float32))  # running sums
+        out[part] = (total >= dice[part] * total[:, -1:]).argmax(axis=1)
+    return out
 
 
 def gradient(w: Tables, b: Batch, into: Tables, rng: np.random.Generator) -> None:
     """Adds observed minus expected feature counts; the expectation is estimated without bias by one draw per token."""
     observe(b, into)
     at = np.flatnonzero(b.member >= 0)
-    member = _drawn(member_shares(w, b, at, b.member_rows(at)), rng) if len(at) else None
-    observe(b, into, _drawn(class_shares(w, b), rng), member, -1)
+    member = _drawn(_member_scores(w, b, at), len(at), rng) if len(at) else None
+    observe(b, into, _drawn(_class_scores(w, b), len(b.cls), rng), member, -1)
 
 
 def start(counts: Tables) -> Tables:

@@ -62,6 +62,49 @@ def test_bpe_merges_unknown_pieces_together_and_remembers_them(spark, reference,
     assert not sent.young and sent.encode_all(texts) == codec.encode_all(texts)
 
 
+def test_shares_in_blocks_match_plain_softmax(monkeypatch):
+    """Shares, also of scores far beyond the range of exponentials, and draws by them."""
+    monkeypatch.setattr(maxent, "BLOCK", 7)
+    rng = np.random.default_rng(3)
+    n = 60
+    hashes, cls = rng.integers(0, 2**32, n).astype(np.uint32), rng.integers(0, maxent.CLASSES, n).astype(np.int32)
+    member = np.where(cls < maxent.HEAD_CLASSES, rng.integers(0, maxent.MEMBERS, n), -1).astype(np.int32)
+    for scale in (1.0, 300.0):
+        w = maxent.Tables(*(rng.normal(size=p.shape, scale=scale).astype(np.float32) for p in maxent.Tables.zeros().parts()))
+        (_, b), = maxent.batches(hashes, cls, member, np.array([0, 25]))
+        z = sum(w.classes[t][b.rows[t]].astype(float) for t in range(maxent.CLASS_TEMPLATES)) + w.class_bias
+        share = z - z.max(axis=1, keepdims=True) - np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True))
+        want = share[np.arange(n), cls]
+        at = np.flatnonzero(member >= 0)
+        rows = b.member_rows(at)
+        z = sum(w.members[t][rows[t]].astype(float) for t in range(maxent.MEMBER_TEMPLATES)) + w.member_bias[cls[at]]
+        inner = z - z.max(axis=1, keepdims=True) - np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True))
+        want[at] += inner[np.arange(len(at)), member[at]]
+        shown = want > -80  # beyond single precision a share is zero
+        with np.errstate(divide="ignore"):
+            assert np.allclose(maxent.log10_shares(w, b)[shown], want[shown] / math.log(10), atol=1e-3 * scale)
+    drawn = maxent._drawn(iter([(slice(0, 3), np.array([[0, 1, 0, 1]] * 3, np.float32))]), 3, np.random.default_rng(1))
+    assert drawn.tolist() == [1 if x <= 0.5 else 3 for x in np.random.default_rng(1).random(3, dtype=np.float32)]
+
+
+def test_word_facts_match_plain_loop():
+    vocabulary = lm_scoring.Vocabulary(900, 9, 50, {b"the": 1, b"of": 40}, {2: maxent.spread({1: 3, 2: 1})}, {c: 500 + c for c in range(maxent.CLASSES)})
+    words = [f"w{i}".encode() for i in range(200)] + [b"the", b"of"]
+    counts = np.array([i % 60 for i in range(202)])
+    got = vocabulary.info(words, counts)
+    assert got[0].tolist() == (maxent.word_hash(b"\n"), 0, 0, 0.0, 50)
+    for word, count, row in zip(words, counts.tolist(), got[1:], strict=True):
+        cls, member, share = maxent.HEAD_CLASSES + sum(count > x for x in maxent.BANDS) * maxent.ENDINGS + maxent.ending(word), -1, 1.0
+        if word in vocabulary.head:
+            cls, member = divmod(vocabulary.head[word], maxent.MEMBERS)
+        elif count > maxent.BANDS[0]:
+            share = count / vocabulary.mass[cls]
+        else:
+            unknown, known = vocabulary.rare.get(maxent.ending(word)) or maxent.spread({})
+            share = known[count] if count else unknown
+        assert row.tolist() == (maxent.word_hash(word), cls, member, np.float32(np.log10(share)), count)
+
+
 def test_windows_cover_whole_texts():
     for n in (0, 1, 255, 256, 257, 508, 509, 510, 5000):
         text = "".join(random.Random(n).choices("abc", k=n))
