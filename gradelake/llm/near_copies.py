@@ -12,14 +12,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradelake.llm.components import components
-from gradelake.llm.shared import small_batches
+from gradelake.llm.shared import free_name, small_batches
 from gradelake.session import staged, unstaged
 
 SEED = 42
 WIDTH = 256
 SEGMENTS, SEGMENT = 14, 18
 #: Bits of a segment, those with the closest votes, that lookups try both ways.
-DOUBTFUL = 3
+DOUBTFUL = 2
+#: Longer texts are also looked up by bands: smallest shingle hashes in so many parts of the hashes' range, a few together.
+BANDS, BAND = 16, 4
 SIMILARITY = 0.8
 #: Texts with as many different shingles at most are also looked up by their smallest shingle hashes; bits in which such candidates may differ, as votes of few shingles often tie.
 SHORT, SHORT_REACH = 256, 80
@@ -30,6 +32,11 @@ _MASK = (1 << 64) - 1
 CODE = ["c0", "c1", "c2", "c3"]
 
 
+def segment(rows: int) -> int:
+    """Bits of a segment: with each doubling of the table by one more, so that texts meet by chance as often at any size."""
+    return min(62, max(SEGMENT, math.ceil(math.log2(max(rows, 1))) + 2))
+
+
 def reach(similarity: float = SIMILARITY) -> int:
     """Bits in which candidates may differ: the mean at that Jaccard similarity of equal sizes, and four deviations."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -55,42 +62,57 @@ def _votes(text: str | None, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return votes, hashes
 
 
-def text_code(text: str | None, shingle: int = 5, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bands(hashes: np.ndarray) -> np.ndarray:
+    """Negative numbers of a text's bands; of sorted hashes, the first one of each part of the range is the smallest there."""
+    parts = BANDS * BAND
+    edges = np.searchsorted(hashes, np.arange(parts, dtype=np.uint64) * np.uint64((1 << 64) // parts))
+    ends = np.append(edges[1:], len(hashes))
+    least = np.where(edges < ends, hashes[np.minimum(edges, len(hashes) - 1)], np.uint64(0)).reshape(BANDS, BAND)
+    mixed = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(_ODD[0])
+    for i in range(BAND):
+        mixed = (mixed ^ least[:, i]) * np.uint64(_ODD[1])
+        mixed ^= mixed >> np.uint64(31)
+    return -1 - (mixed >> np.uint64(2)).astype(np.int64)
+
+
+def text_code(text: str | None, shingle: int = 5, similarity: float = SIMILARITY, width: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The fingerprint as four signed numbers, the table slots where a text is looked up, and its shingles' hashes.
 
-    A slot is a segment's number and a value of its bits: of each segment first the own value, then those
+    A slot is a segment's number and a value of its ``width`` bits: of each segment first the own value, then those
     with one to ``DOUBTFUL`` of its bits flipped. The flipped bits are the ones whose vote was closest; a
-    copy with small changes differs there first. A short text, in which such bits are many, has negative
-    slots besides: of n shingles the n - ceil(similarity n) + 1 with the smallest hashes, of which two texts
-    with that Jaccard similarity always share one.
+    copy with small changes differs there first. All texts have negative slots besides, by shingle hashes. A short
+    text, in which doubtful bits are many, has them of n shingles for the n - ceil(similarity n) + 1 with the
+    smallest hashes, of which two texts with that Jaccard similarity always share one. A longer text has one for each
+    band of ``BAND`` smallest hashes, each of which two texts share with the probability of their similarity.
+    Texts with more than half of ``SHORT`` shingles have bands too, as texts on both sides of that border may be alike.
     """
     votes, hashes = _votes(text, shingle)
     n = len(hashes)
     bits = 2 * votes > n
     code = np.packbits(bits, bitorder="little").view(np.int64)
-    used = SEGMENTS * SEGMENT
-    weights = 1 << np.arange(SEGMENT)
-    own = (bits[:used].reshape(SEGMENTS, SEGMENT) * weights).sum(axis=1)
-    doubt = np.argsort(np.abs(2 * votes[:used] - n).reshape(SEGMENTS, SEGMENT), axis=1, kind="stable")[:, :DOUBTFUL]
+    places = (np.arange(SEGMENTS)[:, None] * WIDTH // SEGMENTS + np.arange(width)) % WIDTH
+    weights = 1 << np.arange(width, dtype=np.int64)
+    own = (bits[places] * weights).sum(axis=1)
+    doubt = np.argsort(np.abs(2 * votes - n)[places], axis=1, kind="stable")[:, :DOUBTFUL]
     flips = (_FLIPS[None] * weights[doubt][:, None]).sum(axis=2)
-    slots = ((np.arange(SEGMENTS)[:, None] << SEGMENT) + (own[:, None] ^ flips)).ravel()
+    slots = [((own[:, None] ^ flips) * SEGMENTS + np.arange(SEGMENTS)[:, None]).ravel()]
     if 0 < n <= SHORT:
         first = hashes[: n - math.ceil(similarity * n - 1e-9) + 1]
-        slots = np.concatenate([slots, np.unique(-1 - (first >> np.uint64(33)).astype(np.int64))])
-    return code, slots.astype(np.int32), hashes.view(np.int64)
+        slots.append(-1 - (first >> np.uint64(2)).astype(np.int64))
+    if n > SHORT // 2:
+        slots.append(_bands(hashes))
+    return code, np.concatenate(slots).astype(np.int64), hashes.view(np.int64)
 
 
-def coded(text: Column, shingle: int = 5, similarity: float = SIMILARITY, grams: bool = False) -> Column:
-    """Struct of the fingerprint's four numbers and the lookup slots, with ``grams`` also the shingles' hashes."""
+def coded(text: Column, shingle: int = 5, similarity: float = SIMILARITY, width: int = SEGMENT, grams: bool = False) -> Column:
+    """Struct of the fingerprint's four numbers and the lookup slots, with ``grams`` the shingles' hashes in place of these."""
 
-    @F.pandas_udf("c0 long, c1 long, c2 long, c3 long, slots array<int>" + ", grams array<long>" * grams)
+    @F.pandas_udf("c0 long, c1 long, c2 long, c3 long, " + ("grams" if grams else "slots") + " array<long>")
     def code(texts: pd.Series) -> pd.DataFrame:
-        found = [text_code(t, shingle, similarity) for t in texts]
+        found = [text_code(t, shingle, similarity, width) for t in texts]
         codes = np.array([c for c, _, _ in found], dtype=np.int64).reshape(-1, len(CODE))
-        lists = {"slots": pd.Series([s for _, s, _ in found], dtype=object)}
-        if grams:
-            lists["grams"] = pd.Series([g for _, _, g in found], dtype=object)
-        return pd.DataFrame({name: codes[:, i] for i, name in enumerate(CODE)} | lists)
+        lists = pd.Series([g if grams else s for _, s, g in found], dtype=object)
+        return pd.DataFrame({name: codes[:, i] for i, name in enumerate(CODE)} | {"grams" if grams else "slots": lists})
 
     return code(text)
 
@@ -110,22 +132,23 @@ def alike(pairs: DataFrame, codes: DataFrame, texts: DataFrame, shingle: int = 5
     wanted = staged(ids.join(codes.select("id", "least", *CODE), "id").select("id", *_keyed("least"), *CODE), "wanted")
     fresh = texts.select(*_keyed("key"), "text").join(wanted.select("key", "none"), ["key", "none"], "left_semi")
     fresh = fresh.select(coded(F.col("text"), shingle, similarity, grams=True).alias("f")).select(*(f"f.{c}" for c in CODE), "f.grams")
+    fresh = staged(fresh, "grams")  # else the join's test for nulls would be pushed down and fingerprint all texts
     sets = staged(fresh.join(wanted.select("id", *CODE), CODE).groupBy("id").agg(F.min("grams").alias("grams")), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
     common = F.size(F.array_intersect("ga", "gb"))
     links = staged(both.where(common >= similarity * (F.size("ga") + F.size("gb") - common) - 1e-9).select("la", "lb").distinct(), "confirmed")
-    for done in (pairs, wanted, sets):
+    for done in (pairs, wanted, fresh, sets):
         unstaged(done)
     return links
 
 
-def _keyed(key: str) -> tuple[Column, Column]:
+def _keyed(key: str | Column) -> tuple[Column, Column]:
     """A key that joins rows without one too."""
     return F.coalesce(key, F.lit(0)).alias("key"), F.isnull(key).alias("none")
 
 
 def roots(codes: DataFrame, texts: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """``id, root`` of the ``id, least, c0..c3, slots`` that links at that similarity connect; single codes may be absent.
+    """The staged ``id, least, c0..c3, slots`` with the ``root`` of what links at that similarity connect; the given table is deleted.
 
     Every code stands in the table under its own value of each segment and looks up its slots; pairs that
     meet in a slot are candidates if the complete distance is within reach, and links if the shingles of
@@ -135,7 +158,7 @@ def roots(codes: DataFrame, texts: DataFrame, shingle: int = 5, similarity: floa
     label, and lookups without their pivot's label of all other entries; pairs of one label are connected.
     """
     keep = ["id", *CODE]
-    own = F.filter("slots", lambda x, i: (i < SEGMENTS * len(_FLIPS)) & (i % len(_FLIPS) == 0) | (x < 0))
+    own = F.filter("slots", lambda x, i: (x < 0) | (i % len(_FLIPS) == 0))
     both = F.col("x.slot") == F.col("p.slot")
     near = _distance("x", "p") <= F.when(F.col("x.slot") < 0, SHORT_REACH).otherwise(reach(similarity))
     other = F.col("x.label") != F.col("p.label")
@@ -144,8 +167,12 @@ def roots(codes: DataFrame, texts: DataFrame, shingle: int = 5, similarity: floa
         pairs = rows.select(F.col("x.id").alias("a"), F.col("p.id").alias("b"), F.col("x.label").alias("la"), F.col("p.label").alias("lb"))
         return components(alike(pairs, codes, texts, shingle, similarity), "la", "lb").select(F.col("node").alias("label"), "root")
 
-    def relabelled(rows: DataFrame, found: DataFrame) -> DataFrame:
-        return staged(rows.join(found, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root"), "labelled")
+    def relabelled(found: DataFrame, *tables: DataFrame) -> list[DataFrame]:
+        found = staged(found, "labels")
+        new = [staged(rows.join(found, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root"), "labelled") for rows in tables]
+        for done in (found, *tables):
+            unstaged(done)
+        return new
 
     codes = codes.withColumn("label", F.col("id"))
     table = codes.select(*keep, "label", F.explode(own).alias("slot"))
@@ -153,11 +180,9 @@ def roots(codes: DataFrame, texts: DataFrame, shingle: int = 5, similarity: floa
     pivots = shared.join(codes.select(F.col("id").alias("pivot"), *CODE, "label"), "pivot")
     pivots = staged(pivots.select("slot", "n", F.col("pivot").alias("id"), *CODE, "label"), "pivots")
 
-    found = staged(confirmed(table.alias("x").join(pivots.where("n > 1").alias("p"), both & other & near)), "labels")
-    codes, pivots = relabelled(codes, found), relabelled(pivots, found)
+    codes, pivots = relabelled(confirmed(table.alias("x").join(pivots.where("n > 1").alias("p"), both & other & near)), codes, pivots)
     probes = codes.select(*keep, "label", F.explode("slots").alias("slot"))
-    found = staged(confirmed(probes.alias("x").join(pivots.alias("p"), both & other & near)), "labels")
-    codes, pivots = relabelled(codes, found), relabelled(pivots, found)
+    codes, pivots = relabelled(confirmed(probes.alias("x").join(pivots.alias("p"), both & other & near)), codes, pivots)
 
     crowded = pivots.where("n > 1")
     columns = [F.col(f"x.{c}") for c in (*keep, "label", "slot")]
@@ -168,7 +193,9 @@ def roots(codes: DataFrame, texts: DataFrame, shingle: int = 5, similarity: floa
     stray = probes.alias("x").join(crowded.alias("p"), both & other).select(*columns)
     further = [rows.alias("x").join(others.alias("p"), both & other & near) for rows, others in ((probes, outside), (stray, inside))]
     further = [rows.select(F.struct("x.id", "x.label").alias("x"), F.struct("p.id", "p.label").alias("p")) for rows in further]
-    return relabelled(codes, confirmed(further[0].unionByName(further[1]))).select("id", F.col("label").alias("root"))
+    codes, pivots = relabelled(confirmed(further[0].unionByName(further[1])), codes, pivots)
+    unstaged(pivots)
+    return codes.withColumnRenamed("label", "root")
 
 
 def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
@@ -178,22 +205,27 @@ def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", shin
     text of fewer words is one shingle. Fingerprints only find the candidates. Groups are what links reach. Equal
     fingerprints, null and empty texts among them, are folded before any pairing. A row without a key stays
     only where its whole group has none; of repeated keys in a group the row with the smallest fingerprint
-    stays, then the one with the smallest text. An empty table gives no rows.
+    stays, then the one with the smallest digest. Texts are fingerprinted once; afterwards their key and digest stand
+    for them. An empty table gives no rows.
     """
     small_batches(documents.sparkSession)
-    rows = documents.select(F.col(key).cast("long").alias("key"), coded(F.col(text), shingle, similarity).alias("f")).select("key", "f.*")
-    rows = staged(rows, "wide")
+    width = segment(documents.count())
+    digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+    rows = documents.select(F.col(key).cast("long").alias("key"), digest.alias("digest"), coded(F.col(text), shingle, similarity, width).alias("f"))
+    rows = staged(rows.select("key", "digest", "f.*"), "wide")
     codes = rows.groupBy(*CODE).agg(F.min("key").alias("least"), F.min("slots").alias("slots"))
     codes = staged(codes.withColumn("id", F.monotonically_increasing_id()), "codes")
+    prints = staged(rows.select(*_keyed("key"), "digest", *CODE), "prints")
     unstaged(rows)
-    grouped = codes.select("id", "least", *CODE).join(roots(codes.select("id", "least", *CODE, "slots"), documents.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), shingle, similarity), "id", "left")
-    best = grouped.groupBy(F.coalesce("root", "id")).agg(F.min(F.struct(F.isnull("least"), "least", *CODE)).alias("best"))
-    keys = ["__key", "__none", "__code"]
-    best = best.select(
-        F.coalesce("best.least", F.lit(0)).alias(keys[0]), F.isnull("best.least").alias(keys[1]), F.xxhash64(*(f"best.{c}" for c in CODE)).alias(keys[2])
-    )
-    id_ = F.col(key).cast("long")
-    fresh = documents.withColumn("__f", coded(F.col(text), shingle))
-    fresh = fresh.withColumns({keys[0]: F.coalesce(id_, F.lit(0)), keys[1]: F.isnull(id_), keys[2]: F.xxhash64(*(f"__f.{c}" for c in CODE))}).drop("__f")
-    order = Window.partitionBy(*keys).orderBy(F.col(text).asc_nulls_last())
-    return fresh.join(best, keys, "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop(*keys, "__n")
+    grouped = roots(codes, documents.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), shingle, similarity)
+    best = grouped.groupBy("root").agg(F.min(F.struct(F.isnull("least"), "least", *CODE)).alias("best"))
+    best = best.select("best.*").select(*_keyed("least"), *CODE)
+    best = prints.join(best, ["key", "none", *CODE]).groupBy("key", "none", *CODE).agg(F.min("digest").alias("digest"))
+    best = staged(best.select("key", "none", "digest"), "best")
+    for done in (grouped, prints):
+        unstaged(done)
+    names = [free_name(documents, f"__{name}") for name in ("key", "none", "digest", "place")]
+    fresh = documents.withColumns(dict(zip(names, (*_keyed(F.col(key).cast("long")), digest), strict=False)))
+    order = Window.partitionBy(*names[:3]).orderBy(F.col(text).asc_nulls_last())
+    one = fresh.join(best.toDF(*names[:3]), names[:3], "left_semi").withColumn(names[3], F.row_number().over(order))
+    return one.where(F.col(names[3]) == 1).select(*documents.columns)

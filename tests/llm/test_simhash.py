@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from gradelake.llm import near_copies, simhash
 from gradelake.llm.components import components
@@ -104,6 +106,34 @@ def test_near_copies(spark):
     assert near_copies.keep_one(frame.limit(0)).count() == 0
 
 
+def test_only_candidates_are_fingerprinted_again(spark, monkeypatch):
+    words = " ".join(f"w{i}" for i in range(40))
+    texts = spark.createDataFrame([(1, words), (2, words + " more"), (3, "never read")], "key long, text string")
+    first = texts.where("key < 3").select(F.col("key").alias("id"), F.col("key").alias("least"), near_copies.coded(F.col("text")).alias("f")).select("id", "least", "f.*")
+    pairs = spark.createDataFrame([(1, 2, 1, 2)], "a long, b long, la long, lb long")
+    plain = near_copies.coded
+    guard = lambda text, *args, **named: plain(F.when(text == "never read", F.raise_error(F.lit("read")).cast("string")).otherwise(text), *args, **named)
+    codes = near_copies.staged(first, "codes")
+    monkeypatch.setattr(near_copies, "coded", guard)
+    assert [tuple(r) for r in near_copies.alike(pairs, codes, texts).collect()] == [(1, 2)]
+
+
+def test_lookups_find_long_texts_at_the_border_at_any_width(monkeypatch):
+    """Of long texts whose sets are similar by 0.8, nearly all meet in a band, however wide the segments are."""
+    rng = np.random.default_rng(4)
+    for width in (18, 26):
+        missed = 0
+        for _ in range(150):
+            hashes = rng.integers(0, 2**64, 667, dtype=np.uint64)
+            slots = []
+            for some in (np.sort(hashes[:600]), np.sort(hashes[67:])):
+                monkeypatch.setattr(near_copies, "_votes", lambda *_, h=some: (np.zeros(near_copies.WIDTH, np.int64), h))
+                slots.append([x for x in near_copies.text_code("x", width=width)[1].tolist() if x < 0])
+            missed += not set(slots[0]) & set(slots[1])
+        assert missed <= 1
+    assert near_copies.segment(200) == 18 and near_copies.segment(10**6) + 3 == near_copies.segment(8 * 10**6)
+
+
 def test_near_copies_by_exact_similarity(spark):
     """Copies at Jaccard 0.8 are found, also among short texts, and texts below it stay."""
     rng = random.Random(8)
