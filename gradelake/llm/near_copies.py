@@ -25,6 +25,8 @@ BANDS, BAND = 16, 4
 SIMILARITY = 0.8
 #: Texts with as many different shingles at most are also looked up by their smallest shingle hashes; bits in which such candidates may differ, as votes of few shingles often tie.
 SHORT, SHORT_REACH = 256, 80
+#: Parts of the hashes' range in which a text's shingles are counted, to bound from above how many two texts share.
+PARTS = 256
 _BLOCK = 1 << 14
 _FLIPS = np.array(sorted(product((0, 1), repeat=DOUBTFUL)))
 _ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -104,15 +106,24 @@ def text_code(text: str | None, shingle: int = 5, similarity: float = SIMILARITY
     return code, np.concatenate(slots).astype(np.int64), hashes.view(np.int64)
 
 
+def spread(grams: np.ndarray) -> np.ndarray | None:
+    counts = np.bincount((grams.view(np.uint64) // np.uint64((1 << 64) // PARTS)).astype(np.int64), minlength=PARTS)
+    return counts.astype(np.int8) if counts.max() < 128 else None
+
+
 def coded(text: Column, shingle: int = 5, similarity: float = SIMILARITY, width: int = SEGMENT, grams: bool = False) -> Column:
-    """Struct of the fingerprint's four numbers and the lookup slots, with ``grams`` the shingles' hashes in place of these."""
+    """Struct of the fingerprint's four numbers and the lookup slots, with ``grams`` the shingles' hashes and their ``spread`` in place of these.
+
+    The spread counts the hashes in each of the ``PARTS`` of their range; it is null where a count is above 127.
+    """
 
-    @F.pandas_udf("c0 long, c1 long, c2 long, c3 long, " + ("grams" if grams else "slots") + " array<long>")
+    @F.pandas_udf("c0 long, c1 long, c2 long, c3 long, " + ("grams array<long>, spread array<tinyint>" if grams else "slots array<long>"))
     def code(texts: pd.Series) -> pd.DataFrame:
         found = [text_code(t, shingle, similarity, width) for t in texts]
         codes = np.array([c for c, _, _ in found], dtype=np.int64).reshape(-1, len(CODE))
         lists = pd.Series([g if grams else s for _, s, g in found], dtype=object)
-        return pd.DataFrame({name: codes[:, i] for i, name in enumerate(CODE)} | {"grams" if grams else "slots": lists})
+        out = pd.DataFrame({name: codes[:, i] for i, name in enumerate(CODE)} | {"grams" if grams else "slots": lists})
+        return out.assign(spread=pd.Series([spread(g) for g in lists], dtype=object)) if grams else out
 
     return code(text)
 
@@ -121,23 +132,38 @@ def _distance(a: str, b: str) -> Column:
     return F.expr(" + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in CODE))
 
 
-def alike(pairs: DataFrame, codes: DataFrame, texts: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+def gram_sets(ids: DataFrame, codes: DataFrame, texts: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """The staged ``id, n, spread, grams`` of codes, with the number of shingles. Only texts under their keys are read again."""
+    # Written, so that Spark knows its size before it would shuffle the texts.
+    wanted = staged(ids.join(codes.select("id", "least", *CODE), "id").select("id", *_keyed("least"), *CODE), "wanted")
+    fresh = texts.select(*_keyed("key"), "text").join(wanted.select("key", "none"), ["key", "none"], "left_semi")
+    fresh = fresh.select(coded(F.col("text"), shingle, similarity, grams=True).alias("f")).select(*(f"f.{c}" for c in CODE), F.struct(F.size("f.grams").alias("n"), "f.spread", "f.grams").alias("s"))
+    fresh = staged(fresh, "grams")  # else the join's test for nulls would be pushed down and fingerprint all texts
+    sets = staged(fresh.join(wanted.select("id", *CODE), CODE).groupBy("id").agg(F.min(F.struct("s.grams", "s.n", "s.spread")).alias("s")).select("id", "s.*"), "sets")
+    for done in (wanted, fresh):
+        unstaged(done)
+    return sets
+
+
+def alike(pairs: DataFrame, codes: DataFrame, texts: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, sets: DataFrame | None = None) -> DataFrame:
     """Labels ``la, lb`` of those of the ``pairs`` of ids ``a, b`` whose shingle sets have that Jaccard similarity, counted exactly.
 
-    Only texts under the keys of codes that stand in a pair are read again, for their shingles' hashes.
+    ``sets``: those of :func:`gram_sets` that are there already; only texts of other ids in a pair are read again. Two texts share
+    at most the smaller count in each part of the hashes' range; pairs which that already rules out never carry their shingles.
     """
     pairs = staged(pairs.distinct(), "candidates")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    # Written, so that Spark knows its size before it would shuffle the texts.
-    wanted = staged(ids.join(codes.select("id", "least", *CODE), "id").select("id", *_keyed("least"), *CODE), "wanted")
-    fresh = texts.select(*_keyed("key"), "text").join(wanted.select("key", "none"), ["key", "none"], "left_semi")
-    fresh = fresh.select(coded(F.col("text"), shingle, similarity, grams=True).alias("f")).select(*(f"f.{c}" for c in CODE), "f.grams")
-    fresh = staged(fresh, "grams")  # else the join's test for nulls would be pushed down and fingerprint all texts
-    sets = staged(fresh.join(wanted.select("id", *CODE), CODE).groupBy("id").agg(F.min("grams").alias("grams")), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
-    common = F.size(F.array_intersect("ga", "gb"))
-    links = staged(both.where(common >= similarity * (F.size("ga") + F.size("gb") - common) - 1e-9).select("la", "lb").distinct(), "confirmed")
-    for done in (pairs, wanted, fresh, sets):
+    more = gram_sets(ids if sets is None else ids.join(sets.select("id"), "id", "left_anti"), codes, texts, shingle, similarity)
+    every = more if sets is None else sets.unionByName(more)
+    of = lambda end, *names: every.select(F.col("id").alias(end), *(F.col(n).alias(f"{n}{end}") for n in names))
+    enough = lambda common: common >= similarity * (F.col("na") + F.col("nb") - common) - 1e-9
+    least = F.aggregate(F.zip_with("spreada", "spreadb", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+    sized = pairs.join(of("a", "n"), "a").join(of("b", "n"), "b").where(enough(F.least("na", "nb")))
+    spreads = sized.join(of("a", "spread"), "a").join(of("b", "spread"), "b")
+    close = staged(spreads.where(F.coalesce(enough(least), F.lit(True))).drop("spreada", "spreadb"), "close")
+    both = close.join(of("a", "grams"), "a").join(of("b", "grams"), "b")
+    links = staged(both.where(enough(F.size(F.array_intersect("gramsa", "gramsb")))).select("la", "lb").distinct(), "confirmed")
+    for done in (pairs, close, more):
         unstaged(done)
     return links
 
@@ -147,55 +173,77 @@ def _keyed(key: str | Column) -> tuple[Column, Column]:
     return F.coalesce(key, F.lit(0)).alias("key"), F.isnull(key).alias("none")
 
 
+def meetings(codes: DataFrame) -> DataFrame:
+    """The staged ``id, slot, own, pivot, n`` of lookups that meet another code: in slots with two rows or more and an entry.
+
+    Every code stands in the table under its ``own`` values and looks up all its slots; the ``pivot`` is the smallest id that
+    stands in a slot, ``n`` how many do. Most lookups meet nothing and end here, before they carry anything but their id.
+    """
+    lookup = F.transform("slots", lambda x, i: F.struct(x.alias("slot"), ((x < 0) | (i % len(_FLIPS) == 0)).alias("own")))
+    here = Window.partitionBy("slot")
+    stands = F.when(F.col("own"), F.col("id"))
+    rows = codes.select("id", F.inline(lookup)).withColumns({"pivot": F.min(stands).over(here), "n": F.count(stands).over(here), "rows": F.count(F.lit(1)).over(here)})
+    return staged(rows.where("pivot is not null and rows > 1").drop("rows"), "met")
+
+
 def roots(codes: DataFrame, texts: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """The staged ``id, least, c0..c3, slots`` with the ``root`` of what links at that similarity connect; the given table is deleted.
+    """The staged ``id, least, c0..c3`` with the ``root`` of what links at that similarity connect; the given table is deleted.
 
-    Every code stands in the table under its own value of each segment and looks up its slots; pairs that
-    meet in a slot are candidates if the complete distance is within reach, and links if the shingles of
-    the ``key, text`` of ``texts`` confirm it; ``least`` is a key of the code. In each slot the entry with the smallest id is the pivot. First, entries are linked to their pivots,
+    Pairs that meet in a slot (:func:`meetings`) are candidates if the complete distance is within reach, and links if the shingles of
+    the ``key, text`` of ``texts`` confirm it; ``least`` is a key of the code. First, codes are linked to the closest of their pivots,
     and the components of these links give labels, so that most of a crowded group has one label; then
-    lookups are linked to the pivots. What remains are lookups of entries that don't have their pivot's
+    to their other pivots of another label. What remains are lookups of entries that don't have their pivot's
     label, and lookups without their pivot's label of all other entries; pairs of one label are connected.
     """
-    keep = ["id", *CODE]
-    own = F.filter("slots", lambda x, i: (x < 0) | (i % len(_FLIPS) == 0))
-    both = F.col("x.slot") == F.col("p.slot")
-    near = _distance("x", "p") <= F.when(F.col("x.slot") < 0, SHORT_REACH).otherwise(reach(similarity))
-    other = F.col("x.label") != F.col("p.label")
-
-    def confirmed(rows: DataFrame) -> DataFrame:
-        pairs = rows.select(F.col("x.id").alias("a"), F.col("p.id").alias("b"), F.col("x.label").alias("la"), F.col("p.label").alias("lb"))
-        return components(alike(pairs, codes, texts, shingle, similarity), "la", "lb").select(F.col("node").alias("label"), "root")
-
-    def relabelled(found: DataFrame, *tables: DataFrame) -> list[DataFrame]:
-        found = staged(found, "labels")
-        new = [staged(rows.join(found, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root"), "labelled") for rows in tables]
-        for done in (found, *tables):
+    met = meetings(codes)
+    slim = staged(codes.select("id", "least", *CODE), "slim")
+    unstaged(codes)
+    prints = slim.select("id", *CODE)
+    within = lambda short: _distance("x", "p") <= F.when(short, SHORT_REACH).otherwise(reach(similarity))
+
+    # One partitioning by id serves the folding of repeated meetings and the join with the fingerprints.
+    pairs = met.where("id <> pivot").repartition("id").groupBy("id", "pivot").agg(F.max(F.col("slot") < 0).alias("short"))
+    pairs = pairs.join(prints.alias("x"), "id").join(prints.withColumnRenamed("id", "pivot").alias("p"), "pivot")
+    near = staged(pairs.where(within(F.col("short"))).select("id", "pivot", _distance("x", "p").alias("far")), "near")
+    sets = gram_sets(near.select(F.explode(F.array("id", "pivot")).alias("id")).distinct(), slim, texts, shingle, similarity)
+
+    def relabelled(labels: DataFrame, candidates: DataFrame) -> DataFrame:
+        links = alike(candidates, slim, texts, shingle, similarity, sets)
+        found = components(links, "la", "lb").select(F.col("node").alias("label"), "root")
+        new = staged(labels.join(found, "label", "left").select("id", F.coalesce("root", "label").alias("label")), "labels")
+        for done in (links, labels):
             unstaged(done)
         return new
 
-    codes = codes.withColumn("label", F.col("id"))
-    table = codes.select(*keep, "label", F.explode(own).alias("slot"))
-    shared = table.groupBy("slot").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n"))
-    pivots = shared.join(codes.select(F.col("id").alias("pivot"), *CODE, "label"), "pivot")
-    pivots = staged(pivots.select("slot", "n", F.col("pivot").alias("id"), *CODE, "label"), "pivots")
-
-    codes, pivots = relabelled(confirmed(table.alias("x").join(pivots.where("n > 1").alias("p"), both & other & near)), codes, pivots)
-    probes = codes.select(*keep, "label", F.explode("slots").alias("slot"))
-    codes, pivots = relabelled(confirmed(probes.alias("x").join(pivots.alias("p"), both & other & near)), codes, pivots)
-
-    crowded = pivots.where("n > 1")
-    columns = [F.col(f"x.{c}") for c in (*keep, "label", "slot")]
-    table = codes.select(*keep, "label", F.explode(own).alias("slot"))
-    probes = codes.select(*keep, "label", F.explode("slots").alias("slot"))
-    entries = table.alias("x").join(crowded.alias("p"), both & (F.col("x.id") != F.col("p.id")))
-    outside, inside = entries.where(other).select(*columns), entries.where(~other).select(*columns)
-    stray = probes.alias("x").join(crowded.alias("p"), both & other).select(*columns)
-    further = [rows.alias("x").join(others.alias("p"), both & other & near) for rows, others in ((probes, outside), (stray, inside))]
-    further = [rows.select(F.struct("x.id", "x.label").alias("x"), F.struct("p.id", "p.label").alias("p")) for rows in further]
-    codes, pivots = relabelled(confirmed(further[0].unionByName(further[1])), codes, pivots)
-    unstaged(pivots)
-    return codes.withColumnRenamed("label", "root")
+    def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """``la, lb``: labels of the rows' id and pivot."""
+        of = lambda key, name: labels.select(F.col("id").alias(key), F.col("label").alias(name))
+        return rows.join(of("id", "la"), "id").join(of("pivot", "lb"), "pivot")
+
+    labels = staged(slim.select("id", F.col("id").alias("label")), "labels")
+    closest = near.groupBy("id").agg(F.min(F.struct("far", "pivot")).alias("best")).select("id", "best.pivot")
+    closest = staged(closest, "closest")
+    ends = lambda rows: rows.select(F.col("id").alias("a"), F.col("pivot").alias("b"), "la", "lb")
+    labels = relabelled(labels, ends(labelled(closest, labels)))
+    rest = near.join(closest, ["id", "pivot"], "left_anti")
+    labels = relabelled(labels, ends(labelled(rest, labels).where("la <> lb")))
+    for done in (near, closest):
+        unstaged(done)
+
+    # A slot whose rows all have the pivot's label connects nothing more.
+    crowded = labelled(met.where("n > 1"), labels).withColumn("other", F.max(F.col("la") != F.col("lb")).over(Window.partitionBy("slot"))).where("other")
+    crowded = staged(crowded.select("id", "slot", "own", "pivot", F.col("la").alias("label"), (F.col("la") != F.col("lb")).alias("other")).join(prints, "id"), "crowded")
+    unstaged(met)
+    entries = crowded.where("own and id <> pivot")
+    outside, inside, stray = entries.where("other"), entries.where("not other"), crowded.where("other")
+    apart = (F.col("x.slot") == F.col("p.slot")) & (F.col("x.label") != F.col("p.label")) & within(F.col("x.slot") < 0)
+    further = [rows.alias("x").join(others.alias("p"), apart) for rows, others in ((crowded, outside), (stray, inside))]
+    further = [rows.select(F.col("x.id").alias("a"), F.col("p.id").alias("b"), F.col("x.label").alias("la"), F.col("p.label").alias("lb")) for rows in further]
+    labels = relabelled(labels, further[0].unionByName(further[1]))
+    grouped = staged(slim.join(labels.withColumnRenamed("label", "root"), "id"), "grouped")
+    for done in (crowded, sets, slim, labels):
+        unstaged(done)
+    return grouped
 
 
 def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:

@@ -146,3 +146,33 @@ def test_near_copies_by_exact_similarity(spark):
         want |= {10 * g + i for i in (0, 2, 3, 4, 5, 6)}  # 4 of 5, 3 of 6, 165 of 235, 180 of 220 shingles are common
     kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id for r in kept.collect()} == want
+
+
+def test_lookups_that_meet_nothing_carry_nothing(spark):
+    """Only lookups that meet another code go on, and of pairs only those whose counts leave the similarity possible."""
+    rng = random.Random(3)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    one, two = fresh(200), fresh(200)
+    texts = [*(" ".join(fresh(200)) for _ in range(100)), " ".join(one), " ".join(one[:-1]), " ".join(two), " ".join(two[:60] + fresh(140))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    codes = near_copies.staged(rows.select(F.col("key").alias("id"), F.col("key").alias("least"), near_copies.coded(F.col("text")).alias("f")).select("id", "least", "f.*"), "codes")
+    met = near_copies.meetings(codes)
+    assert met.columns == ["id", "slot", "own", "pivot", "n"] and met.where("id in (100, 101) and id <> pivot and own").count() > 0
+    assert met.count() * 10 < codes.select(F.sum(F.size("slots"))).first()[0]
+    sets = near_copies.gram_sets(codes.select("id"), codes, rows)
+    assert sorted((r.id, r.n) for r in sets.collect()) == [(i, len(t.split()) - 4) for i, t in enumerate(texts)]
+    # Without its shingles no pair can be confirmed, so a null list would raise none but lose the link.
+    bare = near_copies.staged(sets.withColumn("grams", F.when(F.col("id") < 102, F.col("grams"))), "bare")
+    pairs = spark.createDataFrame([(101, 100, 101, 100), (103, 102, 103, 102)], "a long, b long, la long, lb long")
+    assert [tuple(r) for r in near_copies.alike(pairs, codes, rows, sets=bare).collect()] == [(101, 100)]
+
+
+def test_counts_bound_what_two_texts_share():
+    rng = np.random.default_rng(6)
+    for n in (1, 50, 3000):
+        hashes = np.sort(rng.integers(0, 2**64, 2 * n, dtype=np.uint64))
+        a, b = rng.choice(hashes, n, replace=False), rng.choice(hashes, n, replace=False)
+        bound = np.minimum(near_copies.spread(a.view(np.int64)), near_copies.spread(b.view(np.int64))).astype(int).sum()
+        assert len(np.intersect1d(a, b)) <= bound <= n
+    assert near_copies.spread(np.arange(200, dtype=np.int64)) is None
+    assert near_copies.spread(np.zeros(0, np.int64)).tolist() == [0] * near_copies.PARTS
