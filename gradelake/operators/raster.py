@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from gradelake.operators.components import component_roots
 from gradelake.session import staged
@@ -293,11 +293,11 @@ def skew_angles(rows: DataFrame, keys: Sequence[str], proxy: bool = True) -> Dat
 # ---- vertical runs, ruling lines ----------------------------------------------------------------------
 
 
-def vertical_runs(ink: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Unbroken vertical ink runs: ``keys, x, y0, y1``.
+def vertical_runs(ink: DataFrame, keys: Sequence[str], least: int = 1) -> DataFrame:
+    """Unbroken vertical ink runs: ``keys, x, y0, y1``; shorter ones than ``least`` may be left out unless they touch the image's border.
 
     Runs are found inside chunks of ``ROWS_PER_CHUNK`` rows and joined across the chunk borders;
-    only the runs, not the pixels, take part in the second step.
+    only the runs that touch a border, not the other ones or the pixels, take part in the second step.
     """
     keys = list(keys)
     chunked = ink.withColumn("chunk", F.floor(F.col("y") / ROWS_PER_CHUNK))
@@ -312,15 +312,24 @@ def vertical_runs(ink: DataFrame, keys: Sequence[str]) -> DataFrame:
         x0, s = np.nonzero(edge == 1)
         _x1, e = np.nonzero(edge == -1)
         out = pd.DataFrame({"x": x0.astype(np.int64), "y0": (s + y[0]).astype(np.int64), "y1": (e + y[0] - 1).astype(np.int64)})
+        out["border"] = (out["y0"] == y[0]) | (out["y1"] == y[-1])
+        out = out[out["border"] | (out["y1"] - out["y0"] + 1 >= least)]
         for name in keys:
             out[name] = part[name].iloc[0]
-        return out[[*keys, "x", "y0", "y1"]]
+        return out[[*keys, "x", "y0", "y1", "border"]]
 
-    found = chunked.groupBy(*keys, "chunk").applyInPandas(runs, _keyed(ink, keys, _long("x"), _long("y0"), _long("y1")))
+    found = chunked.groupBy(*keys, "chunk").applyInPandas(runs, _keyed(ink, keys, _long("x"), _long("y0"), _long("y1"), StructField("border", BooleanType())))
+    found = staged(found, "found")
     order = Window.partitionBy(*keys, "x").orderBy("y0")
     fresh = F.coalesce(F.lag("y1").over(order) + 1 < F.col("y0"), F.lit(True)).cast("int")
-    marked = found.withColumn("_f", fresh).withColumn("_g", F.sum("_f").over(order))
-    return marked.groupBy(*keys, "x", "_g").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1")).drop("_g")
+    marked = found.where("border").withColumn("_f", fresh).withColumn("_g", F.sum("_f").over(order))
+    joined = marked.groupBy(*keys, "x", "_g").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1")).drop("_g")
+    return joined.unionByName(found.where("not border").drop("border"))
+
+
+def shortest_inside(kernel: int | Column) -> int | Column:
+    """Length of the shortest run that :func:`surviving` keeps away from the image's border, for that kernel or a larger one."""
+    return kernel * 2 - 1
 
 
 def surviving(runs: DataFrame, kernel: Column, height: Column) -> DataFrame:
@@ -331,7 +340,7 @@ def surviving(runs: DataFrame, kernel: Column, height: Column) -> DataFrame:
     anchor = F.floor(kernel / 2)
     length = F.col("y1") - F.col("y0") + 1
     at_top, at_bottom = F.col("y0") == 0, F.col("y1") == height - 1
-    need = (F.when(at_top & at_bottom, F.lit(1)).when(at_top, (kernel - 1 - anchor) * 2 + 1).when(at_bottom, anchor * 2 + 1).otherwise(kernel * 2 - 1))
+    need = (F.when(at_top & at_bottom, F.lit(1)).when(at_top, (kernel - 1 - anchor) * 2 + 1).when(at_bottom, anchor * 2 + 1).otherwise(shortest_inside(kernel)))
     return runs.filter(length >= need)
 
 
@@ -419,7 +428,7 @@ def ruling_lines(ink: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     keys = list(keys)
     sizes = ink.select(*keys, "hh").distinct()
-    runs = surviving(vertical_runs(ink, keys).join(sizes, keys), F.lit(RULE_KERNEL), F.col("hh"))
+    runs = surviving(vertical_runs(ink, keys, shortest_inside(RULE_KERNEL)).join(sizes, keys), F.lit(RULE_KERNEL), F.col("hh"))
     runs = staged(runs.select(*keys, "x", "y0", "y1", "hh"), "runs")
     blobs = (touching_runs(runs, keys).groupBy(*keys, "blob", "hh")
              .agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")))
@@ -514,7 +523,7 @@ def handwriting_flags(rows: DataFrame, keys: Sequence[str], min_blob: int = MIN_
     sizes = rows.groupBy(*keys).agg(F.sum(F.length("px")).alias("pixels"), F.max("hh").alias("hh"))
     ink = ink_rows(rows, otsu(rows, keys), keys)
     ink = staged(ink)
-    cleaned = without_rects(ink, vline_rects(vertical_runs(ink, keys), sizes, keys), keys)
+    cleaned = without_rects(ink, vline_rects(vertical_runs(ink, keys, shortest_inside(MASK_MIN_KERNEL)), sizes, keys), keys)
     kept = blob_areas(cleaned, keys).filter(F.col("area") >= min_blob).groupBy(*keys).agg(F.sum("area").alias("ink"))
     return (sizes.join(kept, keys, "left").withColumn("ink", F.coalesce("ink", F.lit(0)))
             .withColumn("has_handwriting", F.col("ink") / F.greatest("pixels", F.lit(1)) > min_share).drop("hh"))

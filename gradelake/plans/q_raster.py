@@ -212,7 +212,7 @@ def sheet_ink(spark, sf_dir, lines=True):
 @query("ras_vline_mask", f"""with {INK_SQL} select sheet, x - 4 as x0, x + 4 as x1, y0, y1 from (select *, greatest(hh // 10, 20) as k from runs) where {_outlast('k')}""")
 def ras_vline_mask(spark, sf_dir):
     ink = staged(sheet_ink(spark, sf_dir), "ink")
-    return R.vline_rects(R.vertical_runs(ink, ["sheet"]), ink.select("sheet", "hh").distinct(), ["sheet"])
+    return R.vline_rects(R.vertical_runs(ink, ["sheet"], R.shortest_inside(R.MASK_MIN_KERNEL)), ink.select("sheet", "hh").distinct(), ["sheet"])
 
 
 @query("ras_ruling_lines", f"""

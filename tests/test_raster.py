@@ -55,6 +55,25 @@ def test_runs_cross_chunks(spark, monkeypatch):
     assert sorted((r.x, r.y0, r.y1) for r in R.vertical_runs(ink, ["u"]).collect()) == [(2, 100, 599), (4, 0, 2)]
 
 
+def test_only_runs_at_a_border_meet(spark):
+    """Short runs inside a chunk end in their task; what outlasts the openings is the same."""
+    rng = np.random.default_rng(2)
+    g = np.where(rng.random((700, 40)) < 0.5, 0, 255).astype(np.uint8)
+    g[240:270, 3] = g[300:500, 4] = g[0:25, 5] = g[680:700, 6] = g[0:700, 7] = g[252:256, 8] = g[300:340, 9] = 0
+    ink = R.ink_rows(rows(spark, g), R.otsu(rows(spark, g), ["u"]), ["u"])
+    every = sorted((r.x, r.y0, r.y1) for r in R.vertical_runs(ink, ["u"]).collect())
+    want = []
+    for x in range(40):
+        edge = np.diff(np.concatenate([[0], (g[:, x] == 0).astype(int), [0]]))
+        want += [(x, int(a), int(b) - 1) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
+    assert every == want
+    few = R.vertical_runs(ink, ["u"], R.shortest_inside(R.MASK_MIN_KERNEL))
+    assert few.count() < len(every) / 20
+    size = spark.createDataFrame([(0, 700)], "u int, hh int")
+    found = [sorted((r.x0, r.x1, r.y0, r.y1) for r in R.vline_rects(runs, size, ["u"]).collect()) for runs in (few, R.vertical_runs(ink, ["u"]))]
+    assert found[0] == found[1] and {(r[0] + R.MASK_HALF) for r in found[0]} >= {4, 7}
+
+
 def test_ruling_lines(spark):
     g = white(800, 200)
     for x in (50, 100, 150):
