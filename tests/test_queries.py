@@ -53,3 +53,11 @@ def test_no_python_in_the_plan(spark, key):
 def test_scans_read_only_their_columns(spark):
     plan = registry.QUERIES["fn_normalize_mc_answer"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_returnflag:string,l_linestatus:string>" in plan
+
+
+@needs_data
+@pytest.mark.parametrize("key", ["mdl_grade_students", "rep_results_by_exam"])
+def test_replies_are_read_from_one_written_table(spark, key):
+    """All branches read the written replies, none the lines again."""
+    files = registry.QUERIES[key](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not any("lineitem" in f for f in files)
