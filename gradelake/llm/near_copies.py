@@ -25,6 +25,12 @@ BANDS, BAND = 16, 4
 SIMILARITY = 0.8
 #: Texts with as many different shingles at most are also looked up by their smallest shingle hashes; bits in which such candidates may differ, as votes of few shingles often tie.
 SHORT, SHORT_REACH = 256, 80
+#: Where more texts than this stand in a slot, they aren't compared with all that look them up there: all these meet by their rarest shingles.
+CROWDED = 16
+#: Negative slots lie in three ranges: of smallest shingle hashes, below them of rarest shingles, below these of bands.
+_RAREST, _BANDED = 1 << 61, 1 << 62
+#: Bits of the fixed table that keeps most texts which are not wanted out of a join.
+SIEVE = 1 << 24
 #: Parts of the hashes' range in which a text's shingles are counted, to bound from above how many two texts share.
 PARTS = 256
 _BLOCK = 1 << 14
@@ -74,7 +80,7 @@ def _bands(hashes: np.ndarray) -> np.ndarray:
     for i in range(BAND):
         mixed = (mixed ^ least[:, i]) * np.uint64(_ODD[1])
         mixed ^= mixed >> np.uint64(31)
-    return -1 - (mixed >> np.uint64(2)).astype(np.int64)
+    return -1 - _BANDED - (mixed >> np.uint64(2)).astype(np.int64)
 
 
 def text_code(text: str | None, shingle: int = 5, similarity: float = SIMILARITY, width: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,7 +92,7 @@ def text_code(text: str | None, shingle: int = 5, similarity: float = SIMILARITY
     text, in which doubtful bits are many, has them of n shingles for the n - ceil(similarity n) + 1 with the
     smallest hashes, of which two texts with that Jaccard similarity always share one. A longer text has one for each
     band of ``BAND`` smallest hashes, each of which two texts share with the probability of their similarity.
-    Texts with more than half of ``SHORT`` shingles have bands too, as texts on both sides of that border may be alike.
+    Short texts so long that a text beyond ``SHORT`` may be as similar have bands too.
     """
     votes, hashes = _votes(text, shingle)
     n = len(hashes)
@@ -100,8 +106,8 @@ def text_code(text: str | None, shingle: int = 5, similarity: float = SIMILARITY
     slots = [((own[:, None] ^ flips) * SEGMENTS + np.arange(SEGMENTS)[:, None]).ravel()]
     if 0 < n <= SHORT:
         first = hashes[: n - math.ceil(similarity * n - 1e-9) + 1]
-        slots.append(-1 - (first >> np.uint64(2)).astype(np.int64))
-    if n > SHORT // 2:
+        slots.append(-1 - (first >> np.uint64(3)).astype(np.int64))
+    if n > similarity * SHORT:
         slots.append(_bands(hashes))
     return code, np.concatenate(slots).astype(np.int64), hashes.view(np.int64)
 
@@ -112,18 +118,20 @@ def spread(grams: np.ndarray) -> np.ndarray | None:
 
 
 def coded(text: Column, shingle: int = 5, similarity: float = SIMILARITY, width: int = SEGMENT, grams: bool = False) -> Column:
-    """Struct of the fingerprint's four numbers and the lookup slots, with ``grams`` the shingles' hashes and their ``spread`` in place of these.
+    """Struct of the fingerprint's four numbers, the lookup slots and the number of shingles, with ``grams`` the shingles' hashes and their ``spread`` in place of these.
 
     The spread counts the hashes in each of the ``PARTS`` of their range; it is null where a count is above 127.
     """
 
-    @F.pandas_udf("c0 long, c1 long, c2 long, c3 long, " + ("grams array<long>, spread array<tinyint>" if grams else "slots array<long>"))
+    @F.pandas_udf("c0 long, c1 long, c2 long, c3 long, " + ("grams array<long>, spread array<tinyint>" if grams else "slots array<long>, n int"))
     def code(texts: pd.Series) -> pd.DataFrame:
         found = [text_code(t, shingle, similarity, width) for t in texts]
         codes = np.array([c for c, _, _ in found], dtype=np.int64).reshape(-1, len(CODE))
         lists = pd.Series([g if grams else s for _, s, g in found], dtype=object)
         out = pd.DataFrame({name: codes[:, i] for i, name in enumerate(CODE)} | {"grams" if grams else "slots": lists})
-        return out.assign(spread=pd.Series([spread(g) for g in lists], dtype=object)) if grams else out
+        if grams:
+            return out.assign(spread=pd.Series([spread(g) for g in lists], dtype=object))
+        return out.assign(n=np.array([len(g) for _, _, g in found], np.int32))
 
     return code(text)
 
@@ -132,11 +140,31 @@ def _distance(a: str, b: str) -> Column:
     return F.expr(" + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in CODE))
 
 
+def sieved(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``key, none`` may be among the wanted ones: all of these, and a few others whose hash sets the same bit.
+
+    Whole texts would be shuffled to meet the wanted keys; so most that aren't wanted end here. The table has a fixed size.
+    """
+    place = F.pmod(F.xxhash64("key", "none"), F.lit(SIEVE))
+    each = 1 << 15  # bits of one of Spark's bitmaps
+    parts = wanted.select(place.alias("place")).groupBy(F.expr(f"place div {each}").alias("part")).agg(F.bitmap_construct_agg(F.col("place") % each).alias("bits"))
+    table = np.zeros(SIEVE // 8, np.uint8)
+    for part, bits in parts.collect():
+        table[part * each // 8:(part + 1) * each // 8] = np.frombuffer(bits, np.uint8)
+
+    @F.pandas_udf("boolean")
+    def may(places: pd.Series) -> pd.Series:
+        at = places.to_numpy()
+        return pd.Series((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return rows.where(may(place))
+
+
 def gram_sets(ids: DataFrame, codes: DataFrame, texts: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """The staged ``id, n, spread, grams`` of codes, with the number of shingles. Only texts under their keys are read again."""
     # Written, so that Spark knows its size before it would shuffle the texts.
     wanted = staged(ids.join(codes.select("id", "least", *CODE), "id").select("id", *_keyed("least"), *CODE), "wanted")
-    fresh = texts.select(*_keyed("key"), "text").join(wanted.select("key", "none"), ["key", "none"], "left_semi")
+    fresh = sieved(texts.select(*_keyed("key"), "text"), wanted).join(wanted.select("key", "none"), ["key", "none"], "left_semi")
     fresh = fresh.select(coded(F.col("text"), shingle, similarity, grams=True).alias("f")).select(*(f"f.{c}" for c in CODE), F.struct(F.size("f.grams").alias("n"), "f.spread", "f.grams").alias("s"))
     fresh = staged(fresh, "grams")  # else the join's test for nulls would be pushed down and fingerprint all texts
     sets = staged(fresh.join(wanted.select("id", *CODE), CODE).groupBy("id").agg(F.min(F.struct("s.grams", "s.n", "s.spread")).alias("s")).select("id", "s.*"), "sets")
@@ -173,19 +201,50 @@ def _keyed(key: str | Column) -> tuple[Column, Column]:
     return F.coalesce(key, F.lit(0)).alias("key"), F.isnull(key).alias("none")
 
 
-def meetings(codes: DataFrame) -> DataFrame:
+def _looked_up(n: Column, similarity: float) -> Column:
+    """The first shingles of n, in an order that all texts share, of which a text with that similarity has one too."""
+    return n - F.ceil(similarity * n - 1e-9) + 1
+
+
+def _standing(n: Column, similarity: float) -> Column:
+    """The first shingles of n that a text of at least as many shingles looks up, if it is as similar: one of them is common."""
+    return _looked_up(n, 2 * similarity / (1 + similarity))
+
+
+def meetings(codes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The staged ``id, slot, own, pivot, n`` of lookups that meet another code: in slots with two rows or more and an entry.
 
     Every code stands in the table under its ``own`` values and looks up all its slots; the ``pivot`` is the smallest id that
     stands in a slot, ``n`` how many do. Most lookups meet nothing and end here, before they carry anything but their id.
+    Of two short texts the longer one looks the other up, which therefore stands under about half of its smallest hashes.
     """
-    lookup = F.transform("slots", lambda x, i: F.struct(x.alias("slot"), ((x < 0) | (i % len(_FLIPS) == 0)).alias("own")))
+    flipped = SEGMENTS * len(_FLIPS)
+    own = lambda x, i: F.when(x >= 0, i % len(_FLIPS) == 0).otherwise((x < -_BANDED) | (i - flipped < _standing(F.col("n"), similarity)))
+    return _meeting(codes.select("id", F.inline(F.transform("slots", lambda x, i: F.struct(x.alias("slot"), own(x, i).alias("own"))))))
+
+
+def _meeting(lookups: DataFrame) -> DataFrame:
     here = Window.partitionBy("slot")
     stands = F.when(F.col("own"), F.col("id"))
-    rows = codes.select("id", F.inline(lookup)).withColumns({"pivot": F.min(stands).over(here), "n": F.count(stands).over(here), "rows": F.count(F.lit(1)).over(here)})
+    rows = lookups.withColumns({"pivot": F.min(stands).over(here), "n": F.count(stands).over(here), "rows": F.count(F.lit(1)).over(here)})
     return staged(rows.where("pivot is not null and rows > 1").drop("rows"), "met")
 
 
+def rare_meetings(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """:func:`meetings` of texts in slots of their rarest shingles; ``sets`` are those of :func:`gram_sets`.
+
+    In any order of shingles that all texts share, two texts with that similarity have one of their first in common. By hash, texts which only have a passage in common meet in its smallest shingles, all of them with
+    each other; in the order of how many of these texts have a shingle, a passage comes last, and only texts alike on the whole meet.
+    ``size`` and ``left``: a text's shingles, and those from the slot's one on, to which what two texts share is bounded where they meet first.
+    """
+    rows = sets.select("id", "n", F.explode("grams").alias("gram")).withColumn("texts", F.count(F.lit(1)).over(Window.partitionBy("gram")))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("texts", "gram")))
+    rarest = rows.where((F.col("place") <= _looked_up(F.col("n"), similarity)) & (F.col("texts") > 1))
+    own = F.col("place") <= _standing(F.col("n"), similarity)
+    left = (F.col("n") - F.col("place") + 1).alias("left")
+    return _meeting(rarest.select("id", (F.lit(-1 - _RAREST) - F.shiftrightunsigned("gram", 3)).alias("slot"), own.alias("own"), F.col("n").alias("size"), left))
+
+
 def roots(codes: DataFrame, texts: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """The staged ``id, least, c0..c3`` with the ``root`` of what links at that similarity connect; the given table is deleted.
 
@@ -194,18 +253,34 @@ def roots(codes: DataFrame, texts: DataFrame, shingle: int = 5, similarity: floa
     and the components of these links give labels, so that most of a crowded group has one label; then
     to their other pivots of another label. What remains are lookups of entries that don't have their pivot's
     label, and lookups without their pivot's label of all other entries; pairs of one label are connected.
+    Crowded slots only link texts to their pivot, those of smallest shingle hashes not even that: whatever meets there meets by its
+    rarest shingles as well, where no two texts as similar miss each other.
+    As two short texts always meet in a slot of shingles, only these connect them at last; the other slots connect longer texts.
     """
-    met = meetings(codes)
-    slim = staged(codes.select("id", "least", *CODE), "slim")
+    met = meetings(codes, similarity)
+    slim = staged(codes.select("id", "least", *CODE, F.col("n").between(1, SHORT).alias("brief")), "slim")
     unstaged(codes)
-    prints = slim.select("id", *CODE)
+    prints = slim.select("id", "brief", *CODE)
     within = lambda short: _distance("x", "p") <= F.when(short, SHORT_REACH).otherwise(reach(similarity))
 
-    # One partitioning by id serves the folding of repeated meetings and the join with the fingerprints.
-    pairs = met.where("id <> pivot").repartition("id").groupBy("id", "pivot").agg(F.max(F.col("slot") < 0).alias("short"))
-    pairs = pairs.join(prints.alias("x"), "id").join(prints.withColumnRenamed("id", "pivot").alias("p"), "pivot")
-    near = staged(pairs.where(within(F.col("short"))).select("id", "pivot", _distance("x", "p").alias("far")), "near")
-    sets = gram_sets(near.select(F.explode(F.array("id", "pivot")).alias("id")).distinct(), slim, texts, shingle, similarity)
+    def closest_by(met: DataFrame) -> DataFrame:
+        # One partitioning by id serves the folding of repeated meetings and the join with the fingerprints.
+        pairs = met.where("id <> pivot").repartition("id").groupBy("id", "pivot").agg(F.max(F.col("slot") < 0).alias("short"))
+        pairs = pairs.join(prints.alias("x"), "id").join(prints.withColumnRenamed("id", "pivot").alias("p"), "pivot")
+        return staged(pairs.where(within(F.col("short"))).select("id", "pivot", _distance("x", "p").alias("far")), "near")
+
+    given_up = F.col("slot").between(-_RAREST, -1) & (F.col("n") > CROWDED)
+    dense = staged(met.where(F.col("n") > CROWDED).select("id").distinct(), "dense")
+    plain = met.where(~given_up)
+    found = [closest_by(plain)]
+    ends = found[0].select(F.explode(F.array("id", "pivot")).alias("id"))
+    sets = gram_sets(ends.unionByName(dense).distinct(), slim, texts, shingle, similarity)
+    rare = rare_meetings(sets.join(dense, "id", "left_semi"), similarity)
+    found.append(closest_by(rare))
+    near = staged(found[0].unionByName(found[1]).distinct(), "near")
+    every = plain.where(F.col("n") <= CROWDED).unionByName(rare, allowMissingColumns=True)
+    for done in (*found, dense):
+        unstaged(done)
 
     def relabelled(labels: DataFrame, candidates: DataFrame) -> DataFrame:
         links = alike(candidates, slim, texts, shingle, similarity, sets)
@@ -230,13 +305,19 @@ def roots(codes: DataFrame, texts: DataFrame, shingle: int = 5, similarity: floa
     for done in (near, closest):
         unstaged(done)
 
-    # A slot whose rows all have the pivot's label connects nothing more.
-    crowded = labelled(met.where("n > 1"), labels).withColumn("other", F.max(F.col("la") != F.col("lb")).over(Window.partitionBy("slot"))).where("other")
-    crowded = staged(crowded.select("id", "slot", "own", "pivot", F.col("la").alias("label"), (F.col("la") != F.col("lb")).alias("other")).join(prints, "id"), "crowded")
-    unstaged(met)
+    # A slot whose rows all have the pivot's label connects nothing more, nor does a slot of short texts only that isn't one of shingles.
+    crowded = labelled(every.where("n > 1"), labels).join(prints, "id").withColumn("open", F.col("slot").between(-_BANDED, -1) | ~F.col("brief"))
+    here = Window.partitionBy("slot")
+    crowded = crowded.withColumns({"other": F.max(F.col("la") != F.col("lb")).over(here), "open": F.max("open").over(here)}).where("other and open")
+    crowded = staged(crowded.select("id", "slot", "own", "pivot", F.col("la").alias("label"), (F.col("la") != F.col("lb")).alias("other"), "size", "left", "brief", *CODE), "crowded")
+    for done in (met, rare):
+        unstaged(done)
     entries = crowded.where("own and id <> pivot")
     outside, inside, stray = entries.where("other"), entries.where("not other"), crowded.where("other")
     apart = (F.col("x.slot") == F.col("p.slot")) & (F.col("x.label") != F.col("p.label")) & within(F.col("x.slot") < 0)
+    apart = apart & (F.col("x.slot").between(-_BANDED, -1) | ~F.col("x.brief") | ~F.col("p.brief"))
+    common = similarity / (1 + similarity) * (F.col("x.size") + F.col("p.size")) - 1e-9
+    apart = apart & F.coalesce(F.least("x.left", "p.left") >= common, F.lit(True))
     further = [rows.alias("x").join(others.alias("p"), apart) for rows, others in ((crowded, outside), (stray, inside))]
     further = [rows.select(F.col("x.id").alias("a"), F.col("p.id").alias("b"), F.col("x.label").alias("la"), F.col("p.label").alias("lb")) for rows in further]
     labels = relabelled(labels, further[0].unionByName(further[1]))
@@ -261,7 +342,7 @@ def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", shin
     digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
     rows = documents.select(F.col(key).cast("long").alias("key"), digest.alias("digest"), coded(F.col(text), shingle, similarity, width).alias("f"))
     rows = staged(rows.select("key", "digest", "f.*"), "wide")
-    codes = rows.groupBy(*CODE).agg(F.min("key").alias("least"), F.min("slots").alias("slots"))
+    codes = rows.groupBy(*CODE).agg(F.min("key").alias("least"), F.min(F.struct("slots", "n")).alias("s")).select(*CODE, "least", "s.*")
     codes = staged(codes.withColumn("id", F.monotonically_increasing_id()), "codes")
     prints = staged(rows.select(*_keyed("key"), "digest", *CODE), "prints")
     unstaged(rows)

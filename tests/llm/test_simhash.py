@@ -176,3 +176,40 @@ def test_counts_bound_what_two_texts_share():
         assert len(np.intersect1d(a, b)) <= bound <= n
     assert near_copies.spread(np.arange(200, dtype=np.int64)) is None
     assert near_copies.spread(np.zeros(0, np.int64)).tolist() == [0] * near_copies.PARTS
+
+
+def test_short_texts_that_share_a_passage_do_not_meet(spark, monkeypatch):
+    """Texts with one passage in common are no candidates of each other, whatever their number; copies among them are found."""
+    rng = random.Random(9)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = fresh(60)
+    rows = [(10 * i, passage + fresh(40)) for i in range(80)]
+    rows += [(10 * i + 1, rows[i][1][:97]) for i in range(0, 80, 8)] + [(10 * i + 2, rows[i][1] + fresh(20)) for i in range(1, 80, 8)]
+    seen, plain = [], near_copies.alike
+
+    def counted(pairs, *args, **named):
+        seen.append(pairs.distinct().count())
+        return plain(pairs, *args, **named)
+
+    monkeypatch.setattr(near_copies, "alike", counted)
+    kept = near_copies.keep_one(spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == {10 * i for i in range(80)}
+    assert sum(seen) < 3 * len(rows)
+
+
+def test_rarest_shingles_meet_every_similar_pair(spark):
+    rng = np.random.default_rng(7)
+    common, sets = rng.integers(0, 2**63, 60), []
+    for _ in range(60):
+        own = np.concatenate([common[: rng.integers(20, 60)], rng.integers(0, 2**63, rng.integers(5, 60))])
+        sets += [own, np.concatenate([own[rng.random(len(own)) < 0.93], rng.integers(0, 2**63, 3)])]
+    sets = [np.unique(s).tolist() for s in sets]
+    met = near_copies.rare_meetings(spark.createDataFrame([(i, len(s), s) for i, s in enumerate(sets)], "id long, n int, grams array<long>")).collect()
+    slots = {}
+    for r in met:
+        slots.setdefault(r.slot, []).append(r)
+    need = lambda a, b: 0.8 / 1.8 * (a.size + b.size) - 1e-9
+    found = {(min(a.id, b.id), max(a.id, b.id)) for rows in slots.values() for a in rows for b in rows if a.own and a.id != b.id and min(a.left, b.left) >= need(a, b)}
+    share = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if share(sets[i], sets[j]) >= 0.8}
+    assert len(want) > 30 and want <= found and len(found) < 10 * len(want)
