@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
@@ -42,7 +42,9 @@ ANCHOR_ROWS = 350
 ANCHOR_MIN_SCORE = 0.5
 ROWS_PER_CHUNK = 256
 #: Pixels whose ink is turned at once.
-PIXELS_TOGETHER = 1 << 22
+PIXELS_TOGETHER = 1 << 20
+#: Image rows of an Arrow batch at most: a Python worker holds a batch several times over, as bytes, objects and results.
+ROWS_PER_BATCH = 1024
 #: Columns of a bin when runs on both sides of a chunk's border are compared.
 BIN = 64
 
@@ -271,6 +273,13 @@ def best_angles(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return spread.groupBy(*keys).agg(F.max(F.struct("v", (-F.col("angle")).alias("o"), "angle"))["angle"].alias("angle"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size, so that a Python worker holds few image rows at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS_PER_BATCH:
+        spark.conf.set(name, str(ROWS_PER_BATCH))
+
+
 def skew_angles(rows: DataFrame, keys: Sequence[str], proxy: bool = True) -> DataFrame:
     """Skew of every unit in hundredths of a degree: coarse over the whole range, fine around it.
 
@@ -278,6 +287,7 @@ def skew_angles(rows: DataFrame, keys: Sequence[str], proxy: bool = True) -> Dat
     the minimum are reported, ``rotate`` tells whether they are applied. The rows of ink are written once, for both passes.
     """
     keys = list(keys)
+    small_batches(rows.sparkSession)
     ink = staged(ink_rows(rows, otsu(rows, keys), keys, ["hh"]), "ink")
     large = lambda px: (F.floor(F.length(px) / PROXY_SCALE) >= MIN_PROXY) & (F.floor(F.col("hh") / PROXY_SCALE) >= MIN_PROXY)
     first = ink

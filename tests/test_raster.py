@@ -159,3 +159,23 @@ def test_one_blank_state_per_scan(spark):
     flags = spark.createDataFrame([(1, p, p == 999) for p in (998, 999, 1000)], "scan_id int, page long, blank boolean")
     (state,) = [json.loads(r.state) for r in R.blank_states(flags).collect()]
     assert (state["total_pages"], state["content_page_nums"], state["blank_page_nums"]) == (3, [998, 1000], [999])
+
+
+def test_skew_is_found_in_small_batches(spark):
+    """A Python worker gets few rows at a time, and a unit of several batches keeps its angle."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        g = white(240, 200)
+        t = np.tan(np.deg2rad(1.3))
+        for x in (60, 90, 120):
+            for y in range(240):
+                g[y, int(round(x + t * (y - 120)))] = 0
+        many = R.skew_angles(rows(spark, g), ["u"]).first()
+        assert int(spark.conf.get(name)) <= 1024
+        spark.conf.set(name, "16")
+        few = R.skew_angles(rows(spark, g), ["u"]).first()
+        assert spark.conf.get(name) == "16" and few == many and many.rotate
+    finally:
+        spark.conf.set(name, before)
