@@ -203,3 +203,10 @@ def test_unattempted_rows_and_their_number(spark):
                                     "scan_id int, student string, q_number string, attempted boolean")
     got = {tuple(r) for r in grade.with_skipped(grade.unattempted(flagged)).select("scan_id", "student", "q_number", "answer", "marks", "skipped").collect()}
     assert got == {(1, "a", "7", "-", 0.0, 2), (1, "b", "7", "-", 0.0, 2), (1, "b", "8", "-", 0.0, 1), (2, "a", "7", "-", 0.0, 1)}
+
+
+def test_unattempted_rows_without_a_scan_or_number_stay(spark):
+    flagged = spark.createDataFrame([(None, "a", "7", False), (None, "b", "7", False), (None, "c", "7", True), (1, "a", None, False), (1, "a", "7", False)],
+                                    "scan_id int, student string, q_number string, attempted boolean")
+    got = {tuple(r) for r in grade.with_skipped(grade.unattempted(flagged)).select("scan_id", "student", "q_number", "answer", "marks", "skipped").collect()}
+    assert got == {(None, "a", "7", "-", 0.0, 2), (None, "b", "7", "-", 0.0, 2), (1, "a", None, "-", 0.0, 1), (1, "a", "7", "-", 0.0, 1)}

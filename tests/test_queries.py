@@ -61,3 +61,21 @@ def test_replies_are_read_from_one_written_table(spark, key):
     """All branches read the written replies, none the lines again."""
     files = registry.QUERIES[key](spark, "/root/testdata/sf0.001").inputFiles()
     assert files and not any("lineitem" in f for f in files)
+
+
+def test_unattempted_questions_are_whole(spark, tmp_path):
+    """Rows of lines without an order stay, and the counts per scan and question follow from the rows."""
+    import duckdb
+
+    from gradelake.plans.q_grade import MC_GRADES_SQL
+
+    lines = [(None, 1, 1, 7, "A", "F"), (None, 1, 1, 6, "A", "F"), (31, 1, 1, 7, "N", "F"), (32, 2, 1, 7, "R", "F"), (32, 2, 1, 7, "R", "F"), (33, 1, 1, 7, "A", "O"), (61, 2, 1, 7, "A", "F")]
+    lines = spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_returnflag string, l_linestatus string").selectExpr("*", "5.0D as l_quantity", "date'2000-01-01' as l_shipdate")
+    con = duckdb.connect()
+    for name, df in (("lineitem", lines), ("part", spark.createDataFrame([(1, 3, "SMALL"), (2, 4, "LARGE")], "p_partkey bigint, p_size int, p_type string"))):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    rows = registry.QUERIES["mdl_unattempted"](spark, str(tmp_path)).select("scan_id", "student", "q_number", "answer", "marks", "skipped").collect()
+    assert sorted(map(tuple, rows), key=repr) == sorted(con.execute(registry.ORACLES["mdl_unattempted"]).fetchall(), key=repr)
+    counts = con.execute(f"select scan_id, q_number, count(*) from ({MC_GRADES_SQL}) where answer = '-' and marks = 0 group by 1, 2").fetchall()
+    assert {(r.scan_id, r.q_number, r.skipped) for r in rows} == set(counts) == {(None, "7", 1), (1, "7", 2), (2, "7", 1)}
